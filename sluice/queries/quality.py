@@ -168,7 +168,7 @@ def _profile_sql(table: str, columns: dict[str, str], source: str | None = None)
     parts = []
     for name, kind in columns.items():
         number = kind in ("int", "bigint", "double")
-        stats = (f"CAST(min({name}) AS DOUBLE), CAST(max({name}) AS DOUBLE), round(avg({name}), 6), "
+        stats = (f"CAST(min({name}) AS DOUBLE), CAST(max({name}) AS DOUBLE), round(avg({name}), 7), "
                  f"round(stddev_samp({name}), 6), CAST(median({name}) AS DOUBLE)") if number else \
             ", ".join(["CAST(NULL AS DOUBLE)"] * 5)
         parts.append(f"SELECT '{name}', '{kind}', count(*), count(*) - count({name}), {stats}, "
@@ -178,7 +178,7 @@ def _profile_sql(table: str, columns: dict[str, str], source: str | None = None)
 
 
 def _rounded(p: DataFrame) -> DataFrame:
-    return p.withColumns({c: F.round(c, 6) for c in ("mean_value", "std_dev")})
+    return p.withColumns({"mean_value": F.round("mean_value", 7), "std_dev": F.round("std_dev", 6)})
 
 
 _DIRTY_COLUMNS = {"o_orderkey": "bigint", "custkey": "bigint", "priority": "string", "totalprice": "double",
