@@ -1 +1,154 @@
-"""Registered later."""
+"""Sources, sinks and the catalog (area A). Round trips write to a new shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sluice.queries.registry import NAMES, Tables, query
+from sluice.session import scratch_path
+from sluice.sources import catalog, files
+
+
+def _round_trip(t: Tables, df: DataFrame, fmt: str, **options) -> DataFrame:
+    path = f"{scratch_path(t.spark, fmt)}.{fmt}"
+    files.save(df, path)
+    return files.load(t.spark, path, options=options)
+
+
+@query("a1_csv", "SELECT c_custkey::INT AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def _(t: Tables) -> DataFrame:
+    return _round_trip(t, t("customer"), "csv")
+
+
+@query("a2_json", "SELECT * FROM nation")
+def _(t: Tables) -> DataFrame:
+    return _round_trip(t, t("nation"), "json").withColumns(
+        {c: F.col(c).cast("int") for c in ("n_nationkey", "n_regionkey")})
+
+
+@query("a3_parquet", "SELECT * FROM orders")
+def _(t: Tables) -> DataFrame:
+    return files.load(t.spark, t.path("orders"))
+
+
+@query("a5_reader_options", "SELECT s_suppkey::INT AS s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def _(t: Tables) -> DataFrame:
+    path = f"{scratch_path(t.spark, 'piped')}.csv"
+    files.save(t("supplier"), path, options={"sep": "|"})
+    return files.load(t.spark, path, options={"sep": "|"})
+
+
+@query("a6_registered", "SELECT r_name, r_regionkey FROM region WHERE r_regionkey > 1")
+def _(t: Tables) -> DataFrame:
+    files.load(t.spark, t.path("region"), options={"table_name": "sluice_region"})
+    return files.query(t.spark, "SELECT r_name, r_regionkey FROM sluice_region WHERE r_regionkey > 1")
+
+
+@query("a8_path_as_table", "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment")
+def _(t: Tables) -> DataFrame:
+    return files.query(t.spark, "SELECT c_mktsegment, count(*) AS customers FROM people GROUP BY c_mktsegment",
+                       tables={"people": t.path("customer")})
+
+
+_COUNTS = " UNION ALL ".join(f"SELECT 'files' AS source_id, '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in NAMES)
+
+
+def _all(t: Tables) -> dict[str, DataFrame]:
+    return {n: t(n) for n in NAMES}
+
+
+@query("a12_tables", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) > 0 AS filled FROM {n}" for n in NAMES))
+def _(t: Tables) -> DataFrame:
+    listed = catalog.list_files(t.spark, t.folder).select("table_name")
+    counted = catalog.table_metadata(_all(t), "files").select("table_name", (F.col("row_count") > 0).alias("filled"))
+    return listed.join(counted, "table_name")
+
+
+@query("a13_metadata", f"""
+SELECT table_name, row_count, (SELECT count(*) FROM duckdb_columns() WHERE duckdb_columns.table_name = c.table_name)
+  AS column_count FROM ({_COUNTS}) AS c""")
+def _(t: Tables) -> DataFrame:
+    return catalog.table_metadata(_all(t), "files").select(
+        "table_name", "row_count", F.col("column_count").cast("long").alias("column_count"))
+
+
+@query("a14_sample")
+def _(t: Tables) -> DataFrame:
+    return catalog.sample(t("lineitem"), 10)
+
+
+@query("a14_sample_fraction")
+def _(t: Tables) -> DataFrame:
+    return catalog.sample(t("lineitem"), fraction=0.01)
+
+
+_KIND = """CASE WHEN table_name IN ('documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')
+  THEN 'text' ELSE 'tabular' END"""
+
+
+def _discovered(t: Tables) -> DataFrame:
+    text = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+    return catalog.discover({
+        "texts": ("text", {n: t(n) for n in NAMES if n in text}),
+        "rows": ("tabular", {n: t(n) for n in NAMES if n not in text})})
+
+
+@query("a17_discover", f"SELECT {_KIND} AS source_type, table_name, row_count FROM ({_COUNTS}) AS c")
+def _(t: Tables) -> DataFrame:
+    return _discovered(t).select("source_type", "table_name", "row_count")
+
+
+@query("a18_discovery_summary", f"""
+SELECT source_type, 1::BIGINT AS sources, count(*) AS tables, sum(row_count)::BIGINT AS total_rows
+FROM (SELECT {_KIND} AS source_type, row_count FROM ({_COUNTS}) AS c) GROUP BY source_type""")
+def _(t: Tables) -> DataFrame:
+    return catalog.discovery_summary(_discovered(t))
+
+
+@query("a19_save_registered", "SELECT * FROM part WHERE p_size < 10")
+def _(t: Tables) -> DataFrame:
+    t("part").filter("p_size < 10").createOrReplaceTempView("sluice_small_parts")
+    path = f"{scratch_path(t.spark, 'parts')}.parquet"
+    files.save("sluice_small_parts", path, spark=t.spark)
+    return files.load(t.spark, path)
+
+
+@query("a20_rows_written", "SELECT count(*) AS rows FROM lineitem WHERE l_quantity > 30")
+def _(t: Tables) -> DataFrame:
+    written = files.save(t("lineitem").filter("l_quantity > 30"), f"{scratch_path(t.spark, 'items')}.parquet")
+    return t.spark.createDataFrame([(written.get["rows"],)], "rows long")
+
+
+@query("a21_query_to_json", "SELECT o_orderstatus, count(*) AS orders FROM orders GROUP BY o_orderstatus")
+def _(t: Tables) -> DataFrame:
+    found = files.query(t.spark, "SELECT o_orderstatus, count(*) AS orders FROM {orders} GROUP BY o_orderstatus",
+                        tables={"orders": t("orders")})
+    return _round_trip(t, found, "json")
+
+
+@query("a22_optimized_table", "SELECT * FROM supplier")
+def _(t: Tables) -> DataFrame:
+    t("supplier").createOrReplaceTempView("sluice_supplier")
+    files.optimize_table(t.spark, "sluice_supplier", ["s_nationkey", "s_suppkey"])
+    out = t.spark.table("sluice_supplier_optimized")
+    t.spark.catalog.uncacheTable("sluice_supplier")
+    return out
+
+
+@query("a23_partitioned_layout", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '5-LOW'")
+def _(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "by-priority")
+    files.lay_out(t("orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), path, ["o_orderpriority"])
+    return t.spark.read.parquet(path).filter("o_orderpriority = '5-LOW'").select("o_orderkey", "o_totalprice")
+
+
+@query("a23_bucketed_join", """
+SELECT o_orderpriority, count(*) AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority""")
+def _(t: Tables) -> DataFrame:
+    files.bucket(t("orders").select("o_orderkey", "o_orderpriority"), "sluice_orders", ["o_orderkey"], 8,
+                 scratch_path(t.spark, "orders"))
+    files.bucket(t("lineitem").select("l_orderkey", "l_linenumber"), "sluice_items", ["l_orderkey"], 8,
+                 scratch_path(t.spark, "items"))
+    joined = t.spark.table("sluice_orders").join(t.spark.table("sluice_items"), F.expr("o_orderkey = l_orderkey"))
+    return joined.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("items"))
