@@ -12,12 +12,12 @@ from dataclasses import dataclass, field
 from graphlib import TopologicalSorter
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sluice.plans.spec import run_spec
 from sluice.quality.report import report
 from sluice.quality.rules import Rule, assess
+from sluice.session import scratch_path
 from sluice.sources.files import load, query, save
 
 
@@ -53,34 +53,34 @@ def chain(df: DataFrame, steps: Sequence[Mapping[str, Any]], tables: Mapping[str
 
 
 def run_steps(df: DataFrame, steps: Sequence[Mapping[str, Any]], path: str,
-              tables: Mapping[str, DataFrame] | None = None, **save_options: Any) -> RunResult:
-    """Chain the steps, write the result, and report rows per step from that one write.
-
-    A step that cannot be planned stops the run before anything is read. The steps run
-    together, so seconds are known for the run, not for each step.
+              tables: Mapping[str, DataFrame] | None = None, per_step: bool = False, **save_options: Any) -> RunResult:
+    """Chain the steps, write the result, stop at the first failure and report each step.
+
+    All steps run as one plan and the rows written are the last step's. With `per_step`
+    every step but the last is written to the shared scratch folder and the next one reads
+    it: rows and seconds are then known for each step, a failure names its step, and a lost
+    executor costs at most one step. (Counting inside one plan would be wrong: a sort
+    samples its input first, and a recomputed shuffle stage counts its rows again.)
     """
-    started, results, seen = time.monotonic(), [], []
+    started, results = time.monotonic(), []
     for i, step in enumerate(steps):
-        name = step.get("name", f"step_{i}")
+        began, last = time.monotonic(), i == len(steps) - 1
+        result = StepResult(step.get("name", f"step_{i}"), True)
+        results.append(result)
         try:
             df = run_spec(df, step["operations"], tables)
+            if last:
+                result.rows_processed = save(df, path, **save_options).get["rows"]
+            elif per_step:
+                between = scratch_path(df.sparkSession, "step")
+                result.rows_processed = save(df, between, "parquet").get["rows"]
+                df = df.sparkSession.read.schema(df.schema).parquet(between)
         except Exception as e:  # noqa: BLE001 - reported as the step's result
-            results.append(StepResult(name, False, error=str(e)))
-            return RunResult(False, results, time.monotonic() - started)
-        counter = Observation()
-        df = df.observe(counter, F.count(F.lit(1)).alias("rows"))
-        results.append(StepResult(name, True))
-        seen.append(counter)
-    try:
-        save(df, path, **save_options)
-    except Exception as e:  # noqa: BLE001
-        for r in results:
-            r.success = False
-        results[-1].error = str(e)
-        return RunResult(False, results, time.monotonic() - started)
-    for r, counter in zip(results, seen):
-        r.rows_processed = counter.get["rows"]
-    return RunResult(True, results, time.monotonic() - started)
+            result.success, result.error = False, str(e)
+        result.execution_time = time.monotonic() - began
+        if not result.success:
+            break
+    return RunResult(all(r.success for r in results), results, time.monotonic() - started)
 
 
 def run_task(spark: SparkSession, task: Mapping[str, Any]) -> tuple[DataFrame | None, StepResult]:

@@ -100,7 +100,8 @@ def value_key(df: DataFrame, column: str) -> Column:
     if isinstance(kind, T.BinaryType):
         return F.sha2(c, 256)
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.sha2(F.to_json(F.struct(c)), 256)
+        text = F.to_json(F.struct(c), {"ignoreNullFields": "false"})
+        return F.when(c.isNotNull(), F.sha2(text, 256))
     return c.cast("string")
 
 

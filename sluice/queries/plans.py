@@ -62,7 +62,7 @@ UNION ALL SELECT 'named', true, (SELECT count(*) FROM named)
 UNION ALL SELECT 'totals', true, (SELECT count(*) FROM totals)""")
 def _(t: Tables) -> DataFrame:
     path = f"{scratch_path(t.spark, 'steps')}.parquet"
-    run = run_steps(t("orders"), _STEPS, path, {"customer": t("customer")})
+    run = run_steps(t("orders"), _STEPS, path, {"customer": t("customer")}, per_step=True)
     return t.spark.createDataFrame([(r.step, r.success, r.rows_processed) for r in run.results],
                                    "step string, success boolean, rows_processed long")
 
