@@ -91,57 +91,62 @@ def _side(parsed: DataFrame, pairs: DataFrame, side: str, name: str) -> DataFram
     return pairs.select(*PAIR).join(columns, [f"{side}_id", f"{side}_table"])
 
 
-def exact_matches(parsed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Columns with the same name, in any case."""
-    s = _side(parsed, pairs, "source", "s").withColumn("_name", F.lower("s.column_name"))
-    t = _side(parsed, pairs, "target", "t").withColumn("_name", F.lower("t.column_name"))
-    return s.join(t, [*PAIR, "_name"]).select(*PAIR, "s", "t", F.lit("exact").alias("how"))
+def candidates(parsed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Column pairs that may match: equal names (in any case), and others that score above
+    the minimum, as structs `s` and `t` with `how` and `score`.
 
-
-def candidates(parsed: DataFrame, pairs: DataFrame, exact: DataFrame) -> DataFrame:
-    """Remaining column pairs that score above the minimum.
-
-    Without a shared type or type family the score cannot pass 0.4 + 0.1 + 0.1, so only
-    columns of one family meet: the join is on pair and family, never on the pair alone.
+    Without a shared type or type family the score cannot pass 0.4 + 0.1 + 0.1, so columns
+    meet only on an equal name or within one family: one join on those keys, never on the
+    table pair alone.
     """
-    def rest(side: str, name: str) -> DataFrame:
+    def keyed(side: str, name: str) -> DataFrame:
         kind = F.col(f"{name}.data_type")
-        used = exact.select(*PAIR, F.col(f"{name}.column_name").alias("_used"))
-        every = _side(parsed, pairs, side, name).withColumn("_used", F.col(f"{name}.column_name"))
-        return every.join(used, [*PAIR, "_used"], "left_anti").drop("_used").withColumn(
-            "_kind", F.coalesce(type_family(kind), kind))
-
-    met = rest("source", "s").join(rest("target", "t"), [*PAIR, "_kind"])
-    return met.withColumn("score", column_similarity()).filter(F.col("score") > MIN_SCORE).drop("_kind")
-
-
-def _assign(scored: pd.DataFrame) -> pd.DataFrame:
-    """Source columns in order; each takes its best free target, the first one on a tie."""
-    ranked = scored.sort_values(["source_position", "score", "target_position"], ascending=[True, False, True])
-    taken, rows, done = set(), [], set()
-    for row in ranked.itertuples(index=False):
-        if row.source_position in done or row.target_position in taken:
-            continue
-        done.add(row.source_position)
-        taken.add(row.target_position)
-        rows.append(row)
-    return pd.DataFrame(rows, columns=ranked.columns)
+        keys = F.array(F.concat(F.lit("name "), F.lower(f"{name}.column_name")),
+                       F.concat(F.lit("kind "), F.coalesce(type_family(kind), kind)))
+        return _side(parsed, pairs, side, name).withColumn("_key", F.explode(keys))
+
+    met = keyed("source", "s").join(keyed("target", "t"), [*PAIR, "_key"])
+    by_name = F.col("_key").startswith("name ")
+    same_name = F.lower("s.column_name") == F.lower("t.column_name")
+    scored = met.filter(by_name | ~same_name).withColumn("score", column_similarity())
+    return scored.filter(by_name | (F.col("score") > MIN_SCORE)).select(
+        *PAIR, "s", "t", F.when(by_name, "exact").otherwise("similar").alias("how"), "score")
+
+
+def _assign(group: pd.DataFrame) -> pd.DataFrame:
+    """Equal names first; then source columns in order, each taking its best free target,
+    the first one on a tie."""
+    ranked = group.sort_values(["how", "_sp", "score", "_tp"], ascending=[True, True, False, True])
+    sources, targets, keep = set(), set(), []
+    for how, s, t in zip(ranked["how"], ranked["_sp"], ranked["_tp"]):
+        free = s not in sources and t not in targets
+        if free:
+            sources.add(s)
+            targets.add(t)
+        keep.append(free)
+    return ranked[keep]
 
 
 def match_columns(catalog: DataFrame, pairs: DataFrame) -> DataFrame:
     """The mapping: one row per matched source column, with both columns as structs
-    `s` and `t`, `how` (exact or similar) and `score`."""
-    parsed = parse_catalog(catalog)
-    exact = exact_matches(parsed, pairs)
-    scored = candidates(parsed, pairs, exact).select(
-        *PAIR, F.col("s.ordinal_position").alias("source_position"),
-        F.col("t.ordinal_position").alias("target_position"), "score")
-    chosen = scored.groupBy(*PAIR).applyInPandas(_assign, scored.schema)
-    s = _side(parsed, pairs, "source", "s").withColumn("source_position", F.col("s.ordinal_position"))
-    t = _side(parsed, pairs, "target", "t").withColumn("target_position", F.col("t.ordinal_position"))
-    similar = chosen.drop("score").join(s, [*PAIR, "source_position"]).join(t, [*PAIR, "target_position"]).select(
-        *PAIR, "s", "t", F.lit("similar").alias("how"))
-    return exact.unionByName(similar).withColumn("score", column_similarity())
+    `s` and `t`, `how` (exact or similar) and `score`. The greedy choice depends on what
+    earlier columns took, so each table pair's few candidates go through pandas."""
+    found = candidates(parse_catalog(catalog), pairs)
+    flat = found.select(
+        *PAIR, F.to_json("s", {"ignoreNullFields": "false"}).alias("_s"),
+        F.to_json("t", {"ignoreNullFields": "false"}).alias("_t"),
+        F.col("s.ordinal_position").alias("_sp"), F.col("t.ordinal_position").alias("_tp"), "how", "score")
+    chosen = flat.groupBy(*PAIR).applyInPandas(_assign, flat.schema)
+    kinds = {f.name: f.dataType for f in found.schema.fields}
+    return chosen.select(*PAIR, F.from_json("_s", kinds["s"]).alias("s"), F.from_json("_t", kinds["t"]).alias("t"),
+                         "how", "score")
+
+
+def truncates() -> Column:
+    """A bounded text moves into a shorter one."""
+    s, t = (lambda n: F.col(f"s.{n}")), (lambda n: F.col(f"t.{n}"))
+    return ((s("data_type") == "string") & (t("data_type") == "string") & (t("max_length") > 0)
+            & (s("max_length") > t("max_length")))
 
 
 def changes(mapped: DataFrame) -> DataFrame:
@@ -154,8 +159,7 @@ def changes(mapped: DataFrame) -> DataFrame:
     found = F.array_compact(F.array(
         F.when(s("data_type") != t("data_type"), change(
             "type_conversion", F.format_string("Convert %s to %s", s("data_type"), t("data_type")))),
-        F.when((s("data_type") == "string") & (t("data_type") == "string") & (t("max_length") > 0)
-               & (s("max_length") > t("max_length")), change(
+        F.when(truncates(), change(
             "string_truncation",
             F.format_string("Truncate string from %d to %d characters", s("max_length"), t("max_length")))),
         F.when(s("nullable") & ~t("nullable"), change(
@@ -178,27 +182,31 @@ def compatibility(catalog: DataFrame, pairs: DataFrame, mapped: DataFrame) -> Da
 
 
 def issues(catalog: DataFrame, pairs: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Per pair, the texts of what is wrong with a mapping (one row per issue)."""
+    """Per pair, the texts of what is wrong with a mapping (one row per issue). The lists
+    hold names of one table's columns, so they are bounded by the width of a schema."""
     parsed = parse_catalog(catalog)
 
-    def listed(side: str, name: str, keep: Column, words: str) -> DataFrame:
-        used = mapped.select(*PAIR, F.col(f"{name}.column_name").alias("_used"))
-        left = _side(parsed, pairs, side, name).withColumn("_used", F.col(f"{name}.column_name")).join(
-            used, [*PAIR, "_used"], "left_anti").filter(keep)
-        # Bounded by the number of columns of one table.
-        names = F.array_sort(F.collect_list(F.struct(F.col(f"{name}.ordinal_position"), F.col(f"{name}.column_name"))))
-        return left.groupBy(*PAIR).agg(F.concat(
-            F.lit(words), F.array_join(F.transform(names, lambda x: x.column_name), ", ")).alias("issue"))
-
-    unmapped = listed("source", "s", F.lit(True), "Unmapped source columns: ")
-    required = listed("target", "t", ~F.col("t.nullable"), "Required target columns without mapping: ")
-    keyed = _side(parsed, pairs, "source", "s").filter("s.is_primary_key").select(*PAIR).distinct()
-    with_key = mapped.filter("s.is_primary_key").select(*PAIR).distinct()
-    no_key = keyed.join(with_key, PAIR, "left_anti").withColumn(
-        "issue", F.lit("Source primary key columns are not mapped"))
-    lossy = changes(mapped).filter(F.col("change").isin("string_truncation", "type_conversion")).groupBy(*PAIR).agg(
-        F.format_string("Potential data loss in %d transformations", F.count(F.lit(1))).alias("issue"))
-    return unmapped.unionByName(required).unionByName(no_key).unionByName(lossy)
+    def columns(side: str, name: str, alias: str) -> DataFrame:
+        entry = F.struct(f"{name}.ordinal_position", f"{name}.column_name", f"{name}.nullable", f"{name}.is_primary_key")
+        return _side(parsed, pairs, side, name).groupBy(*PAIR).agg(F.array_sort(F.collect_list(entry)).alias(alias))
+
+    conversion = F.col("s.data_type") != F.col("t.data_type")
+    used = mapped.groupBy(*PAIR).agg(
+        F.collect_set("s.column_name").alias("_s_used"), F.collect_set("t.column_name").alias("_t_used"),
+        F.bool_or("s.is_primary_key").alias("_key_mapped"),
+        (F.count_if(conversion) + F.count_if(truncates())).alias("_lossy"))
+    every = columns("source", "s", "_s").join(columns("target", "t", "_t"), PAIR, "full").join(used, PAIR, "left")
+    names = lambda cols: F.array_join(F.transform(cols, lambda c: c.column_name), ", ")
+    taken = lambda c, used: F.coalesce(F.array_contains(used, c.column_name), F.lit(False))
+    unmapped = F.filter("_s", lambda c: ~taken(c, F.col("_s_used")))
+    required = F.filter("_t", lambda c: ~c.nullable & ~taken(c, F.col("_t_used")))
+    return every.select(*PAIR, F.explode(F.array_compact(F.array(
+        F.when(F.size(unmapped) > 0, F.concat(F.lit("Unmapped source columns: "), names(unmapped))),
+        F.when(F.size(required) > 0, F.concat(F.lit("Required target columns without mapping: "), names(required))),
+        F.when(F.exists("_s", lambda c: c.is_primary_key) & ~F.coalesce("_key_mapped", F.lit(False)),
+               F.lit("Source primary key columns are not mapped")),
+        F.when(F.col("_lossy") > 0, F.format_string("Potential data loss in %d transformations", "_lossy")),
+    ))).alias("issue"))
 
 
 def summary(catalog: DataFrame, scores: DataFrame) -> DataFrame:

@@ -38,7 +38,8 @@ SPARK_TYPES = {
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+    """The table as one constant map."""
+    return F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in table.items())))[key]
 
 
 def canonical_type(raw: Column | str) -> Column:
