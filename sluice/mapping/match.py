@@ -7,6 +7,8 @@ compare: source_id, source_table, target_id, target_table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,18 +49,23 @@ def name_similarity(a: Column | str, b: Column | str) -> Column:
     """1 when equal, 0.8 when one holds the other, else shared letters over all letters;
     case does not matter and an empty name scores 0."""
     a, b = (F.lower(F.col(x) if isinstance(x, str) else x) for x in (a, b))
-    shared = F.size(F.array_intersect(letters(a), letters(b)))
-    either = F.size(F.array_union(letters(a), letters(b)))
+    return _similarity(a, b, letters(a), letters(b))
+
+
+def _similarity(a: Column, b: Column, a_letters: Column, b_letters: Column) -> Column:
+    """The same from lower-case names and their distinct letters."""
+    shared = F.size(F.array_intersect(a_letters, b_letters))
     return (
         F.when((F.length(a) == 0) | (F.length(b) == 0) | a.isNull() | b.isNull(), F.lit(0.0))
         .when(a == b, F.lit(1.0))
         .when(F.contains(b, a) | F.contains(a, b), F.lit(0.8))
-        .otherwise(shared / either)
+        .otherwise(shared / (F.size(a_letters) + F.size(b_letters) - shared))
     )
 
 
-def column_similarity(s: str = "s", t: str = "t") -> Column:
-    """Score of a source and a target column given as struct columns `s` and `t`."""
+def column_similarity(s: str = "s", t: str = "t", names: Column | None = None) -> Column:
+    """Score of a source and a target column given as struct columns `s` and `t`; `names`
+    is their name similarity where it is known."""
     def col(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
 
@@ -66,13 +73,14 @@ def column_similarity(s: str = "s", t: str = "t") -> Column:
         return F.when(condition, F.lit(0.1)).otherwise(F.lit(0.0))
 
     same_type = col(s, "data_type") == col(t, "data_type")
-    family = type_family(col(s, "data_type")) == type_family(col(t, "data_type"))
-    types = F.when(same_type, F.lit(0.3)).when(family, F.lit(0.2)).otherwise(F.lit(0.0))
-    both_text = (type_family(col(s, "data_type")) == "text") & (type_family(col(t, "data_type")) == "text")
-    fits = both_text & (col(s, "max_length") > 0) & (col(t, "max_length") > 0) & (
-        col(t, "max_length") >= col(s, "max_length"))
+    s_family, t_family = type_family(col(s, "data_type")), type_family(col(t, "data_type"))
+    types = F.when(same_type, F.lit(0.3)).when(s_family == t_family, F.lit(0.2)).otherwise(F.lit(0.0))
+    fits = (s_family == "text") & (t_family == "text") & (col(s, "max_length") > 0) & (
+        col(t, "max_length") > 0) & (col(t, "max_length") >= col(s, "max_length"))
+    if names is None:
+        names = name_similarity(col(s, "column_name"), col(t, "column_name"))
     score = (
-        name_similarity(col(s, "column_name"), col(t, "column_name")) * 0.4
+        names * 0.4
         + types
         + bonus(col(s, "nullable") == col(t, "nullable"))
         + bonus(col(s, "is_primary_key") == col(t, "is_primary_key"))
@@ -103,40 +111,49 @@ def candidates(parsed: DataFrame, pairs: DataFrame) -> DataFrame:
         kind = F.col(f"{name}.data_type")
         keys = F.array(F.concat(F.lit("name "), F.lower(f"{name}.column_name")),
                        F.concat(F.lit("kind "), F.coalesce(type_family(kind), kind)))
-        return _side(parsed, pairs, side, name).withColumn("_key", F.explode(keys))
+        lower = F.lower(f"{name}.column_name")
+        return _side(parsed, pairs, side, name).select(
+            *PAIR, name, lower.alias(f"_{name}"), letters(lower).alias(f"_{name}_letters"), F.explode(keys).alias("_key"))
 
     met = keyed("source", "s").join(keyed("target", "t"), [*PAIR, "_key"])
     by_name = F.col("_key").startswith("name ")
-    same_name = F.lower("s.column_name") == F.lower("t.column_name")
-    scored = met.filter(by_name | ~same_name).withColumn("score", column_similarity())
+    names = _similarity(F.col("_s"), F.col("_t"), F.col("_s_letters"), F.col("_t_letters"))
+    scored = met.filter(by_name | (F.col("_s") != F.col("_t"))).withColumn("score", column_similarity(names=names))
     return scored.filter(by_name | (F.col("score") > MIN_SCORE)).select(
         *PAIR, "s", "t", F.when(by_name, "exact").otherwise("similar").alias("how"), "score")
 
 
-def _assign(group: pd.DataFrame) -> pd.DataFrame:
-    """Equal names first; then source columns in order, each taking its best free target,
-    the first one on a tie."""
-    ranked = group.sort_values(["how", "_sp", "score", "_tp"], ascending=[True, True, False, True])
-    sources, targets, keep = set(), set(), []
-    for how, s, t in zip(ranked["how"], ranked["_sp"], ranked["_tp"]):
-        free = s not in sources and t not in targets
-        if free:
-            sources.add(s)
-            targets.add(t)
-        keep.append(free)
-    return ranked[keep]
+def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted: per table pair equal names first, then source columns in order,
+    each with its best target first. A row is kept when both its columns are still free."""
+    pair, sources, targets = None, set(), set()
+    for batch in batches:
+        keep = []
+        for row in zip(*[batch[c] for c in PAIR], batch["_sp"], batch["_tp"]):
+            if row[:4] != pair:
+                pair, sources, targets = row[:4], set(), set()
+            free = row[4] not in sources and row[5] not in targets
+            if free:
+                sources.add(row[4])
+                targets.add(row[5])
+            keep.append(free)
+        yield batch[keep]
 
 
 def match_columns(catalog: DataFrame, pairs: DataFrame) -> DataFrame:
     """The mapping: one row per matched source column, with both columns as structs
-    `s` and `t`, `how` (exact or similar) and `score`. The greedy choice depends on what
-    earlier columns took, so each table pair's few candidates go through pandas."""
+    `s` and `t`, `how` (exact or similar) and `score`.
+
+    What a column may take depends on what earlier ones took, so the candidates of a pair
+    are walked in order. Spark sorts them; the walk holds the positions of one pair.
+    """
     found = candidates(parse_catalog(catalog), pairs)
     flat = found.select(
         *PAIR, F.to_json("s", {"ignoreNullFields": "false"}).alias("_s"),
         F.to_json("t", {"ignoreNullFields": "false"}).alias("_t"),
         F.col("s.ordinal_position").alias("_sp"), F.col("t.ordinal_position").alias("_tp"), "how", "score")
-    chosen = flat.groupBy(*PAIR).applyInPandas(_assign, flat.schema)
+    ordered = flat.repartition(*PAIR).sortWithinPartitions(*PAIR, "how", "_sp", F.col("score").desc(), "_tp")
+    chosen = ordered.mapInPandas(_assign, flat.schema)
     kinds = {f.name: f.dataType for f in found.schema.fields}
     return chosen.select(*PAIR, F.from_json("_s", kinds["s"]).alias("s"), F.from_json("_t", kinds["t"]).alias("t"),
                          "how", "score")

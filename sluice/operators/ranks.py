@@ -1,86 +1,89 @@
 """Exact values by rank (median, percentiles) without sorting or collecting a group.
 
 Spark's exact `percentile` keeps every distinct value of a group in one buffer, so a hot
-group does not fit. Here a quantile sketch brackets the wanted rank, one pass counts the
-rows below the bracket, and only the few rows inside it are ranked. When a sketch misses,
-the counts show it and the bracket is widened, so the result is always exact.
+group does not fit. Here a quantile sketch of a sample brackets the wanted rank, one pass
+counts the rows below and inside the bracket, and only the few rows inside it are ranked.
+When a bracket misses, the counts show it and it is widened, so the result is always exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping, Sequence
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+ACCURACY = 10_000  # of the sketch
+SHARE = 1 / 16  # of the rows that go into it
+LEVELS = (0.0005, 0.0015, 0.005, 0.015, 0.05)  # half widths of the bracket, as shares of the group
 
 
-def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, fraction: float,
-                  ranks: Mapping[str, Callable[[Column], Column]],
+def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, fraction: float, ranks: Mapping[str, str],
                   few_groups: bool = False) -> DataFrame:
     """One row per group: the keys, `n` (non-null values) and one column per entry of `ranks`.
 
-    `ranks` maps an output name to a function from the group's row count to a 0-based rank.
-    The ranks must lie near `fraction` of the count; if they do not, the result is still
-    right but more rows are sorted. `few_groups` is for callers that know the number of
-    groups is bounded by their code, which lets the brackets be broadcast.
+    `ranks` maps an output name to a 0-based rank, as an expression over `n`. The ranks must
+    lie near `fraction` of the count; if they do not, the result is still right but more rows
+    are sorted. `few_groups` is for callers that know the number of groups is bounded by
+    their code, which lets the brackets be broadcast.
+
+    Three scans of two columns; only the rows inside the brackets are shuffled by value.
+    The larger a group, the narrower its bracket: five standard errors of the sample.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).alias("_v")).filter("_v IS NOT NULL")
-    slack = 3.0 / ACCURACY
-    bracket = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [max(0.0, fraction - slack), min(1.0, fraction + slack)], ACCURACY).alias("_q"),
-    ).select(*keys, "n", "_min", "_max", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-
-    inside = _with_bracket(data, bracket, keys, few_groups)
-    below = F.count_if(F.col("_v") < F.col("_lo"))
-    upto = F.count_if(F.col("_v") <= F.col("_hi"))
-    wanted = {name: at(F.col("n")).cast("long") for name, at in ranks.items()}
-    missed_low = reduce(lambda a, b: a | b, [at < F.col("_below") for at in wanted.values()])
-    missed_high = reduce(lambda a, b: a | b, [at >= F.col("_upto") for at in wanted.values()])
-    grouped = inside.groupBy(*keys, "n", "_min", "_max", "_lo", "_hi").agg(below.alias("_below"), upto.alias("_upto"))
-    bounds = grouped.select(
-        *keys, "n",
-        F.when(missed_low, F.col("_min")).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(missed_high, F.col("_max")).otherwise(F.col("_hi")).alias("_hi"),
-        F.when(missed_low, F.lit(0)).otherwise(F.col("_below")).alias("_before"),
-    )
-
-    candidates = (
-        _with_bracket(data, bounds, keys, few_groups)
-        .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        .groupBy(*keys, "n", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
+    points = [max(0.0, fraction - w) for w in LEVELS] + [min(1.0, fraction + w) for w in LEVELS]
+    need = f"{3 / ACCURACY}D + 2.5D / sqrt(n * {SHARE}D)"
+
+    def side(offset: int, extreme: str) -> str:
+        cases = " ".join(f"WHEN {need} <= {w}D THEN _q[{offset + i}]" for i, w in enumerate(LEVELS))
+        return f"coalesce(CASE {cases} END, {extreme})"
+
+    sampled = data.selectExpr("*", f"if(rand(11) < {SHARE}D, _v, NULL) AS _s")
+    sketch = sampled.groupBy(*keys).agg(
+        F.expr("count(1) AS n"), F.expr("min(_v) AS _min"), F.expr("max(_v) AS _max"),
+        F.expr(f"percentile_approx(_s, array({', '.join(f'{p}D' for p in points)}), {ACCURACY}) AS _q"))
+    named = [f"`{k}`" for k in keys]
+    bracket = sketch.selectExpr(*named, "n", "_min", "_max", f"{side(0, '_min')} AS _lo",
+                                f"{side(len(LEVELS), '_max')} AS _hi")
+
+    counted = _with_side(data, bracket, keys, few_groups).groupBy(*keys, "n", "_min", "_max", "_lo", "_hi").agg(
+        F.expr("count_if(_v < _lo) AS _below"), F.expr("count_if(_v <= _hi) AS _upto"))
+    low, high = f"least({', '.join(ranks.values())}, n)", f"greatest({', '.join(ranks.values())}, 0)"
+    bounds = counted.selectExpr(
+        *named, "n", f"if({low} < _below, _min, _lo) AS _lo", f"if({high} >= _upto, _max, _hi) AS _hi",
+        f"if({low} < _below, 0L, _below) AS _before")
+
+    inside = _with_side(data, bounds, keys, few_groups).filter("_v >= _lo AND _v <= _hi")
+    counts = inside.groupBy(*keys, "n", "_before", "_v").agg(F.expr("count(1) AS _c"))
     running = Window.partitionBy(*keys).orderBy("_v")
-    ranked = candidates.withColumn("_cum", F.col("_before") + F.sum("_c").over(running))
+    ranked = counts.withColumn("_cum", F.col("_before") + F.sum("_c").over(running))
     return ranked.groupBy(*keys, "n").agg(
-        *[F.min(F.when(F.col("_cum") > at, F.col("_v"))).alias(name) for name, at in wanted.items()]
-    )
+        *[F.expr(f"min(if(_cum > {at}, _v, NULL)) AS `{name}`") for name, at in ranks.items()])
 
 
-def _with_bracket(data: DataFrame, bracket: DataFrame, keys: list[str], few_groups: bool) -> DataFrame:
+def _with_side(data: DataFrame, side: DataFrame, keys: list[str], few_groups: bool) -> DataFrame:
     if not keys:
-        return data.crossJoin(F.broadcast(bracket))  # one row
-    side = bracket.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    out = data.join(F.broadcast(side) if few_groups else side, same)
-    return out.drop(*[f"_k_{k}" for k in keys])
+        return data.crossJoin(F.broadcast(side))  # one row
+    side = side.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = " AND ".join(f"`{k}` <=> `_k_{k}`" for k in keys)
+    return data.join(F.broadcast(side) if few_groups else side, F.expr(same)).drop(*[f"_k_{k}" for k in keys])
 
 
 def median(df: DataFrame, keys: Sequence[str], value: str, alias: str, few_groups: bool = False) -> DataFrame:
     """Exact median per group (mean of the two middle values), one row per key group that
     has a value."""
-    middle = value_at_rank(
-        df, keys, value, 0.5,
-        {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.floor(n / 2)},
-        few_groups,
-    )
-    return middle.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias(alias))
+    middle = value_at_rank(df, keys, value, 0.5, {"_low": "floor((n - 1) / 2)", "_high": "floor(n / 2)"}, few_groups)
+    return middle.selectExpr(*[f"`{k}`" for k in keys], f"(_low + _high) / 2 AS `{alias}`")
+
+
+def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact medians of many numeric columns: one row (column_name, median_value) each."""
+    pairs = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(columns))
+    long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (i, v)")
+    names = F.array(*[F.lit(c) for c in columns])
+    # There are as many groups as columns.
+    return median(long, ["i"], "v", "median_value", few_groups=True).select(
+        names[F.col("i")].alias("column_name"), "median_value")
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, percentile: float, alias: str,
@@ -89,8 +92,5 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, percentile: flo
 
     For 1..100 and p = 95 this is 96, one rank above `percentile_disc`.
     """
-    return value_at_rank(
-        df, keys, value, percentile / 100,
-        {alias: lambda n: F.least(F.floor(n * F.lit(percentile) / 100), n - 1)},
-        few_groups,
-    ).drop("n")
+    at = {alias: f"least(floor(n * {percentile}D / 100), n - 1)"}
+    return value_at_rank(df, keys, value, percentile / 100, at, few_groups).drop("n")

@@ -9,7 +9,6 @@ its own, and the small table of bucket totals supplies what came before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -67,13 +66,9 @@ def window(df: DataFrame, fn: str, alias: str, column: str | None = None, partit
     return df.withColumn(alias, window_column(fn, column, partition, order, offset, descending, frame))
 
 
-def _same(keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.lit(True))
-
-
-def _attach(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    side = side.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    return df.join(side, _same(keys), how).drop(*[f"_k_{k}" for k in keys])
+def _key(keys: Sequence[str]) -> Column:
+    """Columns as one key. Structs with equal nulls are equal, so null keys meet in a join."""
+    return F.struct(*keys)
 
 
 def _whole_partition(df: DataFrame, fn: str, alias: str, column: str | None, partition: list[str]) -> DataFrame:
@@ -82,7 +77,8 @@ def _whole_partition(df: DataFrame, fn: str, alias: str, column: str | None, par
     totals = df.groupBy(*partition).agg(aggregate_column(fn, column).alias(alias))
     if not partition:
         return df.crossJoin(F.broadcast(totals))  # one row
-    return _attach(df, totals, partition)
+    side = totals.select(_key(partition).alias("_g"), alias)
+    return df.withColumn("_g", _key(partition)).join(side, "_g", "left").drop("_g")
 
 
 def _split_window(df: DataFrame, fn: str, alias: str, column: str | None, partition: list[str],
@@ -94,18 +90,19 @@ def _split_window(df: DataFrame, fn: str, alias: str, column: str | None, partit
     if fn not in RANKING + RUNNING:
         raise ValueError(f"{fn} has no bucketed form")
 
-    df = df.withColumn("_bucket", bucket)
-    local = window_spec([*partition, "_bucket"], order, descending)
+    # One key column serves the local window, the totals and the join, so the rows are
+    # shuffled once.
+    df = df.withColumn("_bucket", bucket).withColumn("_g", _key([*partition, "_bucket"])).drop("_bucket")
+    local = window_spec(["_g"], order, descending)
     earlier = _bucket_order(partition, descending).rowsBetween(Window.unboundedPreceding, -1)
     if fn in RANKING:
-        totals = df.groupBy(*partition, "_bucket").agg(F.count(F.lit(1)).alias("_total"))
+        totals = df.groupBy("_g").agg(F.count(F.lit(1)).alias("_total"))
         here, before = getattr(F, fn)().over(local), F.sum("_total").over(earlier)
     else:
-        totals = df.groupBy(*partition, "_bucket").agg(aggregate_column(fn, column).alias("_total"))
+        totals = df.groupBy("_g").agg(aggregate_column(fn, column).alias("_total"))
         merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[fn]
         here, before = aggregate_column(fn, column).over(local), merge("_total").over(earlier)
-    before_each = totals.select(*partition, "_bucket", before.alias("_before"))
-    out = _attach(df.withColumn("_here", here), before_each, [*partition, "_bucket"])
+    out = df.withColumn("_here", here).join(totals.select("_g", before.alias("_before")), "_g", "left")
     if fn in ("min", "max"):
         value = (F.least if fn == "min" else F.greatest)("_here", "_before")  # both skip nulls
     elif fn == "sum":  # null until the first non-null value
@@ -113,54 +110,40 @@ def _split_window(df: DataFrame, fn: str, alias: str, column: str | None, partit
             F.col("_here") + F.coalesce(F.col("_before"), F.lit(0)))
     else:
         value = (F.col("_here") + F.coalesce(F.col("_before"), F.lit(0))).cast("int" if fn in RANKING else "long")
-    return out.withColumn(alias, value).drop("_bucket", "_here", "_before")
+    return out.withColumn(alias, value).drop("_g", "_here", "_before")
 
 
 def _bucket_order(partition: list[str], descending: bool) -> WindowSpec:
-    b = F.col("_bucket")
-    return Window.partitionBy(*partition).orderBy(b.desc_nulls_last() if descending else b.asc_nulls_last())
+    """Buckets of a partition in order, from the key column."""
+    b = F.col("_g._bucket")
+    spec = Window.partitionBy(*[F.col(f"_g.`{p}`") for p in partition])
+    return spec.orderBy(b.desc_nulls_last() if descending else b.asc_nulls_last())
 
 
 def _split_lag(df: DataFrame, alias: str, column: str, partition: list[str], order: list[str], offset: int,
-               descending: bool, bucket: Column, reverse_nulls: bool) -> DataFrame:
+               descending: bool, bucket: Column, nulls_first: bool) -> DataFrame:
     """Only the first `offset` rows of a bucket look across its edge, and what they look for
     is among the last `offset` rows of an earlier bucket; those few are joined by position."""
-    def ordered(c: Column, down: bool) -> Column:
-        nulls_last = not reverse_nulls
-        if down:
-            return c.desc_nulls_last() if nulls_last else c.desc_nulls_first()
-        return c.asc_nulls_last() if nulls_last else c.asc_nulls_first()
-
-    def flipped(c: Column, down: bool) -> Column:
-        nulls_last = reverse_nulls
-        if down:
-            return c.asc_nulls_last() if nulls_last else c.asc_nulls_first()
-        return c.desc_nulls_last() if nulls_last else c.desc_nulls_first()
-
-    df = df.withColumn("_bucket", bucket)
-    group = Window.partitionBy(*partition, "_bucket")
-    forward = group.orderBy(*[ordered(F.col(c), descending) for c in order])
-    backward = group.orderBy(*[flipped(F.col(c), descending) for c in order])
-    across = Window.partitionBy(*partition).orderBy(ordered(F.col("_bucket"), descending))
-    before = (
-        df.groupBy(*partition, "_bucket").agg(F.count(F.lit(1)).alias("_total"))
-        .select(*partition, "_bucket",
-                F.coalesce(F.sum("_total").over(across.rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)).alias("_before"))
-    )
+    def ordered(c: Column, down: bool, first: bool) -> Column:
+        return getattr(c, f"{'desc' if down else 'asc'}_nulls_{'first' if first else 'last'}")()
+
+    df = df.withColumn("_bucket", bucket).withColumn("_g", _key([*partition, "_bucket"])).drop("_bucket")
+    group = Window.partitionBy("_g")
+    forward = group.orderBy(*[ordered(F.col(c), descending, nulls_first) for c in order])
+    backward = group.orderBy(*[ordered(F.col(c), not descending, not nulls_first) for c in order])
+    across = Window.partitionBy(*[F.col(f"_g.`{p}`") for p in partition]).orderBy(
+        ordered(F.col("_g._bucket"), descending, nulls_first)).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy("_g").agg(F.count(F.lit(1)).alias("_size")).withColumn(
+        "_before", F.coalesce(F.sum("_size").over(across), F.lit(0)))
+    position = lambda at: F.struct(*[F.col(f"_g.`{p}`").alias(p) for p in partition], at.alias("_at"))
+
     placed = df.withColumn("_pos", F.row_number().over(forward)).withColumn(
         alias, F.lag(column, offset).over(forward))
-    inner = placed.filter(F.col("_pos") > offset).drop("_pos", "_bucket")
-    heads = _attach(
-        placed.filter(F.col("_pos") <= offset).drop(alias), before, [*partition, "_bucket"]
-    ).withColumn("_want", F.col("_before") + F.col("_pos") - offset)
-    tails = _attach(
-        df.withColumn("_back", F.row_number().over(backward)).filter(F.col("_back") <= offset)
-        .select(*partition, "_bucket", "_back", F.col(column).alias(alias)),
-        df.groupBy(*partition, "_bucket").agg(F.count(F.lit(1)).alias("_size")),
-        [*partition, "_bucket"],
-    )
-    tails = _attach(tails, before, [*partition, "_bucket"]).select(
-        *partition, (F.col("_before") + F.col("_size") - F.col("_back") + 1).alias("_want"), alias)
-    edges = _attach(heads, tails, [*partition, "_want"]).drop("_pos", "_bucket", "_before", "_want")
+    inner = placed.filter(F.col("_pos") > offset).drop("_pos", "_g")
+    heads = df.withColumn("_pos", F.row_number().over(forward)).filter(F.col("_pos") <= offset).join(
+        sizes, "_g").withColumn("_want", position(F.col("_before") + F.col("_pos") - offset))
+    tails = df.withColumn("_back", F.row_number().over(backward)).filter(F.col("_back") <= offset).join(
+        sizes, "_g").select(position(F.col("_before") + F.col("_size") - F.col("_back") + 1).alias("_want"),
+                            F.col(column).alias(alias))
+    edges = heads.join(tails, "_want", "left").drop("_pos", "_size", "_before", "_want", "_g")
     return inner.unionByName(edges)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,33 +49,71 @@ CONDITION_PATTERNS = [
 ]
 TIME_WORDS = ["last", "next", "previous", "recent", "current", "past", "future", "today", "yesterday", "tomorrow"]
 
+# Every character that counts as white space in a request.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006" \
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RARE_SPACE = WHITE_SPACE.replace("\n", "").replace(" ", "")
 _UNIX_LINES = "(?d)"  # only \n ends a line, so `.` matches all else
 
 
-def _all(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(_UNIX_LINES + pattern), F.lit(group))
+# Words a text must hold for a pattern to match, one of each list. A substring test is far
+# cheaper than a pattern, and most long texts fail it.
+_VERBS = {
+    "extract": ["extract", "get", "fetch", "pull", "retrieve"],
+    "clean": ["clean", "normalize", "format"],
+    "aggregate": ["aggregate", "group", "sum", "count", "average"],
+    "join": ["join", "merge", "combine"],
+    "load": ["load", "insert", "save", "write", "store"],
+}
+_DAYS = ["day", "week", "month"]
+_TABLES = ["table", "view"]
+_NEEDED = {
+    "extract": [[_VERBS["extract"], ["from"]], [["move"], ["from"], ["to"]], [["copy"], ["from"], ["to"]]],
+    "transform": [[_VERBS["clean"]], [_VERBS["aggregate"]], [_VERBS["join"], ["with"]]],
+    "load": [[_VERBS["load"], ["to"]], [["create"], [*_TABLES, "summary"]]],
+    "schedule": [[["daily", "weekly", "monthly", "hourly"]], [["every"], ["minute", "hour", "day"]], [["at"], [":"]]],
+    "filter": [[["where", "filter", "only", "with"]], [["last"], _DAYS]],
+    "source": [[["from", "to", *_TABLES]], [_TABLES]],
+    "column": [[_VERBS["clean"]], [["column", "field"]]],
+    "condition": [[["last"], _DAYS], [["ago"], _DAYS]],
+}
+
+
+def _possible(text: Column, needed: list[list[str]]) -> Column:
+    return reduce(and_, [reduce(or_, [F.contains(text, F.lit(w)) for w in words]) for words in needed])
+
+
+def _matches(text: Column, pattern: str, needed: list[list[str]]) -> Column:
+    return _possible(text, needed) & text.rlike(_UNIX_LINES + pattern)
+
+
+def _all(text: Column, pattern: str, group: int, needed: list[list[str]]) -> Column:
+    found = F.regexp_extract_all(text, F.lit(_UNIX_LINES + pattern), F.lit(group))
+    return F.when(_possible(text, needed), found).otherwise(F.array().cast("array<string>"))
 
 
 def tag_requests(df: DataFrame, column: str) -> DataFrame:
     """Add request (lower case, trimmed), operations (one kind per matching pattern), sources,
     columns, conditions and complexity. Everything is row-wise; no shuffle."""
-    text = F.regexp_replace(F.lower(F.col(column)), r"^\s+|\s+$", "")
     request = F.col("request")
+    plain = F.translate(request, _RARE_SPACE, " " * len(_RARE_SPACE))
+    text = F.col("_text")
     operations = F.array_compact(F.array(*[
-        F.when(request.rlike(_UNIX_LINES + p), F.lit(kind))
-        for kind, patterns in OPERATION_PATTERNS.items() for p in patterns
+        F.when(_matches(text, p, needed), F.lit(kind))
+        for kind, patterns in OPERATION_PATTERNS.items() for p, needed in zip(patterns, _NEEDED[kind])
     ]))
     sources = F.filter(
-        F.concat(*[_all(request, p, 1) for p in SOURCE_PATTERNS]),
+        F.concat(*[_all(text, p, 1, n) for p, n in zip(SOURCE_PATTERNS, _NEEDED["source"])]),
         lambda w: ~w.isin(TIME_WORDS) & (F.length(w) > 2))
-    columns = F.concat(*[_all(request, p, 1) for p in COLUMN_PATTERNS])
+    columns = F.concat(*[_all(text, p, 1, n) for p, n in zip(COLUMN_PATTERNS, _NEEDED["column"])])
     conditions = F.concat(*[
-        F.zip_with(_all(request, p, 1), _all(request, p, 2), lambda n, unit: F.concat_ws(" ", n, unit))
-        for p in CONDITION_PATTERNS
+        F.zip_with(_all(text, p, 1, needed), _all(text, p, 2, needed), lambda n, unit: F.concat_ws(" ", n, unit))
+        for p, needed in zip(CONDITION_PATTERNS, _NEEDED["condition"])
     ])
-    tagged = df.withColumn("request", text).withColumns(
+    tagged = df.withColumn("request", F.btrim(F.lower(F.col(column)), F.lit(WHITE_SPACE))).withColumn("_text", plain)
+    tagged = tagged.withColumns(
         {"operations": operations, "sources": sources, "columns": columns, "conditions": conditions})
-    return tagged.withColumn("complexity", complexity())
+    return tagged.drop("_text").withColumn("complexity", complexity())
 
 
 def complexity() -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.cleaning import EMAIL
-from sluice.operators.ranks import median
+from sluice.operators.ranks import medians
 from sluice.quality.rules import Rule, value_key
 
 # Text shapes a suggested validity rule may ask for.
@@ -32,9 +32,8 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     min, max, mean, median and sample standard deviation (0 for a single value).
 
     One wide aggregate gives all but the distinct counts and medians. Exact distinct
-    counts take one shuffle of (column, value key) pairs, combined on the map side; exact
-    medians read the numeric columns again and shuffle only rows near the middle.
-    `approximate` keeps it to the one wide pass.
+    counts group each column on its own; exact medians read the numeric columns again and
+    shuffle only the values near the middle. `approximate` keeps it to the one wide pass.
     """
     fields = df.schema.fields
     rows = []
@@ -54,30 +53,35 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
             (F.when(F.count(c) > 0, F.coalesce(F.stddev_samp(d), F.lit(0.0))) if number else null).alias("std_dev"),
         ]
         if approximate:
-            entry.append(F.approx_count_distinct(value_key(df, f.name)).alias("unique_count"))
+            key = value_key(df, f.name) if _is_long(f.dataType) else c
+            entry.append(F.approx_count_distinct(key).alias("unique_count"))
             entry.append((F.percentile_approx(d, 0.5) if number else null).alias("median_value"))
         rows.append(F.struct(*entry))
     wide = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
     if approximate:
         return wide
 
-    keys = df.select(*[value_key(df, f.name).alias(f"k{i}") for i, f in enumerate(fields)])
-    pairs = keys.unpivot([], keys.columns, "i", "k").filter("k IS NOT NULL").distinct()
-    unique = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("unique_count"))
-    # Both side tables have at most one row per column of the table, so they may be broadcast.
-    out = _attach(wide, unique, {f"k{i}": f.name for i, f in enumerate(fields)}).fillna(0, ["unique_count"])
-    numbers = [(i, f) for i, f in enumerate(fields) if _is_number(f.dataType)]
+    # One grouping per column: each scan reads its own column only, the keys keep their
+    # types, and the counts are combined before the shuffle.
+    counts = [
+        df.select(value_key(df, f.name).alias("k") if _is_long(f.dataType) else F.col(f"`{f.name}`").alias("k"))
+        .filter("k IS NOT NULL").groupBy("k").agg(F.lit(1).alias("one"))
+        .agg(F.count("one").alias("unique_count")).withColumn("column_name", F.lit(f.name))
+        for f in fields
+    ]
+    out = _attach(wide, reduce(DataFrame.unionByName, counts))
+    numbers = [f.name for f in fields if _is_number(f.dataType)]
     if not numbers:
         return out.withColumn("median_value", F.lit(None).cast("double"))
-    values = df.select(*[F.col(f"`{f.name}`").cast("double").alias(f"k{i}") for i, f in numbers])
-    long = values.unpivot([], values.columns, "i", "v")
-    middle = median(long, ["i"], "v", "median_value", few_groups=True)
-    return _attach(out, middle, {f"k{i}": f.name for i, f in numbers})
+    return _attach(out, medians(df, numbers))
 
 
-def _attach(df: DataFrame, side: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    side = side.select(lookup[F.col("i")].alias("column_name"), *[c for c in side.columns if c not in ("i", "n")])
+def _is_long(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _attach(df: DataFrame, side: DataFrame) -> DataFrame:
+    """`side` has at most one row per column of the table, so it may be broadcast."""
     return df.join(F.broadcast(side), "column_name", "left")
 
 

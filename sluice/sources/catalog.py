@@ -42,16 +42,17 @@ def column_rows(tables: Mapping[str, DataFrame], source_id: str,
 
 
 def table_metadata(tables: Mapping[str, DataFrame], source_id: str) -> DataFrame:
-    """Per table: row count, column count and column list. One lazy plan; counting a Parquet
-    table reads its footers only."""
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(source_id).alias("source_id"), F.lit(name).alias("table_name"), "row_count",
-            F.lit(len(df.columns)).alias("column_count"),
-            F.lit(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)).alias("columns"))
-        for name, df in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Per table: row count, column count and column list. One lazy plan with one small
+    shuffle; no column is read, so Parquet tables are counted from their footers."""
+    spark = next(iter(tables.values())).sparkSession
+    known = spark.createDataFrame(
+        [(source_id, name, len(df.columns), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields))
+         for name, df in tables.items()],
+        "source_id string, table_name string, column_count int, columns string")
+    seen = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name")) for name, df in tables.items()])
+    counts = seen.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))  # one row per table
+    return known.join(F.broadcast(counts), "table_name", "left").select(
+        "source_id", "table_name", F.coalesce("row_count", F.lit(0)).alias("row_count"), "column_count", "columns")
 
 
 def discover(sources: Mapping[str, tuple[str, Mapping[str, DataFrame]]]) -> DataFrame:

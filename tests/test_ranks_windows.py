@@ -31,9 +31,12 @@ def _groups():
     return out
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 20])
-def test_median(data, monkeypatch, accuracy):
+@pytest.mark.parametrize(("accuracy", "share", "levels"), [
+    (10_000, 1 / 16, ranks.LEVELS), (10_000, 1.0, (0.05, 0.2)), (20, 0.5, (0.4, 0.6)), (10_000, 0.01, (9.0,))])
+def test_median(data, monkeypatch, accuracy, share, levels):
     monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+    monkeypatch.setattr(ranks, "SHARE", share)
+    monkeypatch.setattr(ranks, "LEVELS", levels)
     want = {k: statistics.median(v) for k, v in _groups().items()}
     for few in (True, False):
         got = ranks.median(data, ["k"], "v", "m", few_groups=few)
@@ -44,7 +47,8 @@ def test_median(data, monkeypatch, accuracy):
 
 @pytest.mark.parametrize("p", [0, 1, 50, 95, 99, 100])
 def test_nearest_rank(data, monkeypatch, p):
-    monkeypatch.setattr(ranks, "ACCURACY", 50)
+    monkeypatch.setattr(ranks, "SHARE", 1.0)
+    monkeypatch.setattr(ranks, "LEVELS", (0.06, 0.1))
     want = {k: sorted(v)[min(int(len(v) * p / 100), len(v) - 1)] for k, v in _groups().items()}
     assert {r.k: r.x for r in ranks.nearest_rank(data, ["k"], "v", p, "x").collect()} == want
 
@@ -52,7 +56,7 @@ def test_nearest_rank(data, monkeypatch, p):
 def test_a_missed_bracket_is_widened(data):
     """The rank asked for is far from the fraction given; the counts must catch it."""
     got = ranks.value_at_rank(data.filter("k = 'hot'"), ["k"], "v", 0.5,
-                              {"low": lambda n: F.lit(0), "high": lambda n: n - 1})
+                              {"low": "0L", "high": "n - 1"})
     hot = _groups()["hot"]
     assert rows(got.select("low", "high")) == [(min(hot), max(hot))]
 
