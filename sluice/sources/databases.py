@@ -12,6 +12,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.sources import sqlite
+
 # Default ports, and the variables that hold connection defaults.
 DEFAULT_PORTS = {"postgresql": 5432, "mysql": 3306, "sqlite": 0}
 ALIASES = {"postgres": "postgresql"}
@@ -104,7 +106,10 @@ def connection_info(config: Mapping[str, Any]) -> dict[str, Any]:
 def test_connection(spark: SparkSession, config: Mapping[str, Any]) -> bool:
     """Can one row be read? The reason of a failure is not hidden: it is raised by `read`."""
     try:
-        return read(spark, config, query="SELECT 1 AS one").count() == 1
+        c = resolve(config)
+        if c["type"] == "sqlite":
+            return sqlite.read(spark, c["database"], query="SELECT 1 AS one").count() == 1
+        return read(spark, c, query="SELECT 1 AS one").count() == 1
     except Exception:  # noqa: BLE001 - any failure means no connection
         return False
 

@@ -126,6 +126,11 @@ def test_jdbc_options():
 
 def test_no_connection_is_false(spark):
     assert databases.test_connection(spark, {"type": "mysql"}) is False
+    assert databases.test_connection(spark, {"type": "sqlite", "database": "/nowhere/x.db"}) is False
+
+
+def test_sqlite_connection(spark, db):
+    assert databases.test_connection(spark, {"type": "sqlite", "database": db}) is True
 
 
 def test_connector_registration(spark):
