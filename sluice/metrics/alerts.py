@@ -180,8 +180,9 @@ def stateful(step: int = TICK_SECONDS, resolve_after: int = RESOLVE_AFTER):
             out += events
             last = (tick + step, *verdict)
         state.update((-1 if active is None else active, *last))
-        frame = pd.DataFrame(out, columns=["action", "tick", "created", "position", "current_value"])
-        frame.insert(0, "metric_name", key[0])
-        yield frame
+        if out:
+            frame = pd.DataFrame(out, columns=["action", "tick", "created", "position", "current_value"])
+            frame.insert(0, "metric_name", key[0])
+            yield frame
 
     return per_metric

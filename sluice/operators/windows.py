@@ -55,14 +55,19 @@ def window_column(fn: str, column: str | None = None, partition: Sequence[str] |
 
 def window(df: DataFrame, fn: str, alias: str, column: str | None = None, partition: Sequence[str] = (),
            order: Sequence[str] = (), offset: int = 1, descending: bool = False,
-           frame: tuple[str, int | None, int | None] | None = None, bucket: Column | None = None) -> DataFrame:
-    """Add a window column. Ties in `order` need a tie-breaker, or results are not repeatable."""
+           frame: tuple[str, int | None, int | None] | None = None, bucket: Column | None = None,
+           few_groups: bool = False) -> DataFrame:
+    """Add a window column. Ties in `order` need a tie-breaker, or results are not repeatable.
+
+    `few_groups` is for callers who know that the number of partitions is bounded (a status, a
+    flag): totals over whole partitions are then broadcast, and the rows are not shuffled.
+    """
     if bucket is not None and order:
         if frame is not None:
             raise ValueError("a bucketed window takes the default frame")
         return _split_window(df, fn, alias, column, list(partition), list(order), offset, descending, bucket)
     if not order and fn not in RANKING + SHIFTING and frame is None:
-        return _whole_partition(df, fn, alias, column, list(partition))
+        return _whole_partition(df, fn, alias, column, list(partition), few_groups)
     return df.withColumn(alias, window_column(fn, column, partition, order, offset, descending, frame))
 
 
@@ -71,14 +76,15 @@ def _key(keys: Sequence[str]) -> Column:
     return F.struct(*keys)
 
 
-def _whole_partition(df: DataFrame, fn: str, alias: str, column: str | None, partition: list[str]) -> DataFrame:
+def _whole_partition(df: DataFrame, fn: str, alias: str, column: str | None, partition: list[str],
+                     few_groups: bool) -> DataFrame:
     """An aggregate over the whole partition: combined before the shuffle and joined back,
     so no task holds a partition."""
     totals = df.groupBy(*partition).agg(aggregate_column(fn, column).alias(alias))
     if not partition:
         return df.crossJoin(F.broadcast(totals))  # one row
     side = totals.select(_key(partition).alias("_g"), alias)
-    return df.withColumn("_g", _key(partition)).join(side, "_g", "left").drop("_g")
+    return df.withColumn("_g", _key(partition)).join(F.broadcast(side) if few_groups else side, "_g", "left").drop("_g")
 
 
 def _split_window(df: DataFrame, fn: str, alias: str, column: str | None, partition: list[str],

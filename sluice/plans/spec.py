@@ -40,7 +40,8 @@ def _window(df: DataFrame, cols: list[str], c: dict, tables: Tables) -> DataFram
     bucket = F.expr(c["bucket"]) if c.get("bucket") else None
     frame = tuple(c["frame"]) if c.get("frame") else None
     return windows.window(df, c.get("function", "rank"), c["alias"], cols[0] if cols else None, c.get("partition", []),
-                          c.get("order", []), c.get("offset", 1), c.get("descending", False), frame, bucket)
+                          c.get("order", []), c.get("offset", 1), c.get("descending", False), frame, bucket,
+                          c.get("few_groups", False))
 
 
 def _union(df: DataFrame, cols: list[str], c: dict, tables: Tables) -> DataFrame:

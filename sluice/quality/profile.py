@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sluice.functions.cleaning import EMAIL
 from sluice.operators.ranks import medians
-from sluice.quality.rules import Rule, value_key
+from sluice.quality.rules import Rule, group_key
 
 # Text shapes a suggested validity rule may ask for.
 KNOWN_PATTERNS = {
@@ -53,8 +53,7 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
             (F.when(F.count(c) > 0, F.coalesce(F.stddev_samp(d), F.lit(0.0))) if number else null).alias("std_dev"),
         ]
         if approximate:
-            key = value_key(df, f.name) if _is_long(f.dataType) else c
-            entry.append(F.approx_count_distinct(key).alias("unique_count"))
+            entry.append(F.approx_count_distinct(group_key(df, f.name)).alias("unique_count"))
             entry.append((F.percentile_approx(d, 0.5) if number else null).alias("median_value"))
         rows.append(F.struct(*entry))
     wide = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
@@ -64,8 +63,7 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     # One grouping per column: each scan reads its own column only, the keys keep their
     # types, and the counts are combined before the shuffle.
     counts = [
-        df.select(value_key(df, f.name).alias("k") if _is_long(f.dataType) else F.col(f"`{f.name}`").alias("k"))
-        .filter("k IS NOT NULL").groupBy("k").agg(F.lit(1).alias("one"))
+        df.select(group_key(df, f.name).alias("k")).filter("k IS NOT NULL").groupBy("k").agg(F.lit(1).alias("one"))
         .agg(F.count("one").alias("unique_count")).withColumn("column_name", F.lit(f.name))
         for f in fields
     ]
@@ -76,10 +74,6 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     return _attach(out, medians(df, numbers))
 
 
-def _is_long(kind: T.DataType) -> bool:
-    return not isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
-
-
 def _attach(df: DataFrame, side: DataFrame) -> DataFrame:
     """`side` has at most one row per column of the table, so it may be broadcast."""
     return df.join(F.broadcast(side), "column_name", "left")

@@ -105,6 +105,12 @@ def value_key(df: DataFrame, column: str) -> Column:
     return c.cast("string")
 
 
+def group_key(df: DataFrame, column: str) -> Column:
+    """What to group a column by: the value itself where it is small, else its value key."""
+    small = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return F.col(f"`{column}`") if isinstance(df.schema[column].dataType, small) else value_key(df, column)
+
+
 def violation(df: DataFrame, rule: Rule) -> Column | None:
     """True where a row breaks a row-wise rule, null where the rule does not look at the
     row; None for rules that need other rows or another table."""
@@ -165,10 +171,10 @@ def _row_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def _uniqueness(df: DataFrame, rule: Rule) -> DataFrame:
     if rule.column:
-        keyed = df.select(value_key(df, rule.column).alias("k")).filter("k IS NOT NULL")
+        keyed = df.select(group_key(df, rule.column).alias("k")).filter("k IS NOT NULL")
         counts = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
     else:
-        keys = [value_key(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
+        keys = [group_key(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
         keyed = df.select(*keys)
         counts = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("c"))
     total = F.coalesce(F.sum("c"), F.lit(0))

@@ -488,7 +488,7 @@ query("g4_lead_big_groups", _big_shift_sql("lead"))(lambda t: _big_shift(t, "lea
 SELECT o_orderkey, o_orderpriority, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority), 9) AS share
 FROM orders""")
 def _(t: Tables) -> DataFrame:
-    out = windows.window(t("orders"), "sum", "total", "o_totalprice", ["o_orderpriority"])
+    out = windows.window(t("orders"), "sum", "total", "o_totalprice", ["o_orderpriority"], few_groups=True)
     return out.select("o_orderkey", "o_orderpriority", F.round(F.col("o_totalprice") / F.col("total"), 9).alias("share"))
 
 
