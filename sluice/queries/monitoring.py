@@ -315,8 +315,6 @@ def _(t: Tables) -> DataFrame:
 @query("k8_k9_stream_alerts", _alerts_sql("9223372036854775807", _SEEN).replace("{end}", "hi")
        + f" SELECT {', '.join(_SHOWN)} FROM alerts")
 def _(t: Tables) -> DataFrame:
-    ticks = stream.ticks(_event_stream(t), _TICK)
-    path = scratch_path(t.spark, "ticks")
-    stream.write_stream(ticks, path, path + "-checkpoint").awaitTermination()
-    events = stream.alert_events(stream.read_stream(t.spark, path, ticks.schema), RULES, _TICK)
-    return alerts.alerts_from_events(_finish(t, events, "alert-events"), RULES).select(*_SHOWN)
+    folder = scratch_path(t.spark, "monitor")
+    stream.monitor(_event_stream(t), RULES, folder, seconds=_TICK)
+    return stream.monitored_alerts(t.spark, RULES, folder).select(*_SHOWN)

@@ -85,6 +85,31 @@ def alert_events(tick_stream: DataFrame, rules: Sequence[MonitoringRule], second
         alerts.stateful(seconds, resolve_after), alerts.EVENT_SCHEMA, alerts.STATE_SCHEMA, "append", "NoTimeout")
 
 
+def monitor(stream: DataFrame, rules: Sequence[MonitoringRule], folder: str, every: str | None = None,
+            seconds: int = alerts.TICK_SECONDS, late: str = "1 minute") -> list[StreamingQuery]:
+    """The monitoring loop: one query writes ticks to `folder/ticks`, a second one reads them
+    and writes events to `folder/alert-events`. With `every` ("30 seconds") both keep running;
+    without it, what is there is processed to the end."""
+    spark, tick_path = stream.sparkSession, f"{folder}/ticks"
+    ticked = ticks(stream, seconds, late)
+    first = write_stream(ticked, tick_path, f"{folder}/ticks-checkpoint", every)
+    if every is None:
+        first.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(tick_path)  # a stream reads only folders that exist
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    events = alert_events(read_stream(spark, tick_path, ticked.schema), rules, seconds)
+    second = write_stream(events, f"{folder}/alert-events", f"{folder}/alert-events-checkpoint", every)
+    if every is None:
+        second.awaitTermination()
+    return [first, second]
+
+
+def monitored_alerts(spark: SparkSession, rules: Sequence[MonitoringRule], folder: str) -> DataFrame:
+    """The alerts a monitoring loop has written so far."""
+    events = spark.read.schema(alerts.EVENT_SCHEMA).parquet(f"{folder}/alert-events")
+    return alerts.alerts_from_events(events, rules)
+
+
 def progress_metrics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """Metric rows from a query's recent triggers: rows, rows per second and seconds."""
     rows = []

@@ -1,7 +1,9 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sluice.metrics import alerts, batch
@@ -181,3 +183,36 @@ def test_run_metrics(spark):
     assert rows(got.select("metric_name", "value", "metric_type")) == [
         ("pipeline_execution_time", 12.5, "performance"), ("pipeline_success_rate", 1.0, "performance"),
         ("records_processed", 100.0, "business")]
+
+
+def test_monitor_keeps_running(spark, tmp_path):
+    """Rows that arrive while the loop runs reach the alerts; stopping leaves them readable."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "metric_name string, ts timestamp, value double, id long"
+
+    def arrive(points):
+        spark.createDataFrame([("cpu", T0 + timedelta(seconds=s), v, s) for s, v in points], schema).coalesce(1).write.mode(
+            "append").parquet(source)
+
+    arrive([(0, 0.9), (600, 0.9)])
+    queries = stream.monitor(stream.read_stream(spark, source, schema), [HIGH], folder, every="1 second")
+    try:
+        arrive([(5000, 0.1), (9000, 0.95), (20_000, 0.1)])
+        deadline = time.monotonic() + 120
+        while time.monotonic() < deadline:
+            assert all(q.isActive for q in queries)
+            try:
+                if stream.monitored_alerts(spark, [HIGH], folder).count() == 2:
+                    break
+            except AnalysisException:  # nothing written yet
+                pass
+            time.sleep(1)
+        health = dict(rows(batch.health(spark.read.parquet(source), stream.monitored_alerts(spark, [HIGH], folder),
+                                        batch.rules_frame(spark, [HIGH]), all(q.isActive for q in queries))))
+        assert health["monitoring"] == "healthy"
+    finally:
+        for q in queries:
+            q.stop()
+    got = stream.monitored_alerts(spark, [HIGH], folder).orderBy("created_at").collect()
+    assert [(r.created_at - T0).total_seconds() for r in got] == [30, 9030]
+    assert (got[0].resolved_at - T0).total_seconds() == 5010
