@@ -15,7 +15,8 @@ if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     if os.environ.get("PLAIN"):  # a session without our settings
         spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config(
-            "spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
+            "spark.ui.enabled", "false").config("spark.driver.memory", "8g").config(
+            "spark.ui.showConsoleProgress", "false").getOrCreate()
     else:
         spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
                               spark__ui__showConsoleProgress="false")
