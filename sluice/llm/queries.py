@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import sharding, simhash
+from sluice.llm import quality, sharding, simhash, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +18,12 @@ def _over(table: str, apply: Callable[[DataFrame], DataFrame]) -> Run:
 QUERIES: dict[str, Run] = {
     "op4_shards": _over("documents", sharding.document_shards),
     "op6_simhash": _over("documents", simhash.document_groups),
+    "op7_quality": lambda spark, folder: quality.document_quality(
+        spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")),
+    "op8_warc": _over("pages", warc.round_trip),
 }
 
 SQL: dict[str, str] = {
     "op4_shards": sharding.DOCUMENT_SHARDS_SQL,
+    "op8_warc": warc.ROUND_TRIP_SQL,
 }
