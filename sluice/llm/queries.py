@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import quality, sharding, simhash, vectors, warc
+from sluice.llm import licenses, quality, sharding, simhash, vectors, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +22,12 @@ QUERIES: dict[str, Run] = {
         spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")),
     "op8_warc": _over("pages", warc.round_trip),
     "op9_vectors": _over("embeddings", vectors.embedding_groups),
+    "op10_licenses": _over("documents", licenses.document_licenses),
 }
 
 SQL: dict[str, str] = {
     "op4_shards": sharding.DOCUMENT_SHARDS_SQL,
     "op8_warc": warc.ROUND_TRIP_SQL,
     "op9_vectors": vectors.EMBEDDING_GROUPS_SQL,
+    "op10_licenses": licenses.DOCUMENT_LICENSES_SQL,
 }
