@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import licenses, quality, sharding, simhash, vectors, warc
+from sluice.llm import licenses, quality, secrets, sharding, simhash, vectors, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def _over(table: str, apply: Callable[[DataFrame], DataFrame]) -> Run:
 
 QUERIES: dict[str, Run] = {
     "op4_shards": _over("documents", sharding.document_shards),
+    "op5_secrets": _over("documents", secrets.document_secrets),
     "op6_simhash": _over("documents", simhash.document_groups),
     "op7_quality": lambda spark, folder: quality.document_quality(
         spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")),
