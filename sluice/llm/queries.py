@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import licenses, quality, secrets, sharding, simhash, vectors, warc
+from sluice.llm import licenses, mixing, quality, secrets, sharding, simhash, vectors, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def _over(table: str, apply: Callable[[DataFrame], DataFrame]) -> Run:
 
 
 QUERIES: dict[str, Run] = {
+    "op3_mix": _over("documents", mixing.document_mix),
     "op4_shards": _over("documents", sharding.document_shards),
     "op5_secrets": _over("documents", secrets.document_secrets),
     "op6_simhash": _over("documents", simhash.document_groups),
@@ -27,6 +28,7 @@ QUERIES: dict[str, Run] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_mix": mixing.DOCUMENT_MIX_SQL,
     "op4_shards": sharding.DOCUMENT_SHARDS_SQL,
     "op8_warc": warc.ROUND_TRIP_SQL,
     "op9_vectors": vectors.EMBEDDING_GROUPS_SQL,
