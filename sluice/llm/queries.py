@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import licenses, mixing, quality, secrets, sharding, simhash, toxicity, vectors, warc
+from sluice.llm import licenses, mixing, pieces, quality, secrets, sharding, simhash, toxicity, vectors, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def _over(table: str, apply: Callable[[DataFrame], DataFrame]) -> Run:
 QUERIES: dict[str, Run] = {
     "op1_toxicity": lambda spark, folder: toxicity.document_toxicity(
         spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")),
+    "op2_pieces": _over("documents", pieces.document_pieces),
     "op3_mix": _over("documents", mixing.document_mix),
     "op4_shards": _over("documents", sharding.document_shards),
     "op5_secrets": _over("documents", secrets.document_secrets),
