@@ -163,6 +163,12 @@ def _(t: Tables) -> DataFrame:
                             "recommendations": F.array_join("recommendations", "; ")})
 
 
+def _median_text(name: str) -> str:
+    """The exact median of integers of 0 and more, as text."""
+    low, high = f"quantile_disc({name}, 0.5)::HUGEINT", f"-quantile_disc(-{name}, 0.5)::HUGEINT"
+    return f"CAST(({low} + ({high})) // 2 AS VARCHAR) || CASE WHEN ({low} + ({high})) % 2 = 1 THEN '.5' ELSE '' END"
+
+
 def _profile_sql(table: str, columns: dict[str, str], source: str | None = None) -> str:
     """`columns` maps names to Spark type names; numbers get statistics."""
     parts = []
@@ -171,10 +177,12 @@ def _profile_sql(table: str, columns: dict[str, str], source: str | None = None)
         stats = (f"CAST(min({name}) AS DOUBLE), CAST(max({name}) AS DOUBLE), round(avg({name}), 7), "
                  f"round(stddev_samp({name}), 6), CAST(median({name}) AS DOUBLE)") if number else \
             ", ".join(["CAST(NULL AS DOUBLE)"] * 5)
+        exact = (f"CAST(min({name}) AS VARCHAR), CAST(max({name}) AS VARCHAR), {_median_text(name)}"
+                 if kind in ("int", "bigint") else ", ".join(["CAST(NULL AS VARCHAR)"] * 3))
         parts.append(f"SELECT '{name}', '{kind}', count(*), count(*) - count({name}), {stats}, "
-                     f"count(DISTINCT {name}) FROM {source or table}")
+                     f"count(DISTINCT {name}), {exact} FROM {source or table}")
     return ("SELECT * FROM (" + " UNION ALL ".join(parts) + ") AS p(column_name, data_type, total_values, null_count, "
-            "min_value, max_value, mean_value, std_dev, median_value, unique_count)")
+            "min_value, max_value, mean_value, std_dev, median_value, unique_count, min_exact, max_exact, median_exact)")
 
 
 def _rounded(p: DataFrame) -> DataFrame:
@@ -205,6 +213,21 @@ def _(t: Tables) -> DataFrame:
     return _rounded(profile(t("documents")))
 
 
+_BIG = ["l_orderkey + 9007199254740993 AS big", "CAST(l_partkey AS DECIMAL(30,2)) + 12345678901234567890.25 AS wide"]
+
+
+@query("f15_profile_big_numbers", f"""
+WITH d AS (SELECT {', '.join(_BIG)} FROM lineitem)
+SELECT 'big' AS column_name, count(DISTINCT big) AS unique_count, CAST(min(big) AS VARCHAR) AS min_exact,
+       CAST(max(big) AS VARCHAR) AS max_exact, {_median_text("big")} AS median_exact FROM d
+UNION ALL
+SELECT 'wide', count(DISTINCT wide), CAST(min(wide) AS VARCHAR), CAST(max(wide) AS VARCHAR),
+       regexp_replace(CAST((quantile_disc(wide, 0.5) - quantile_disc(-wide, 0.5))::DECIMAL(38,3) * 0.5 AS VARCHAR), '\\.?0+$', '') FROM d""")
+def _(t: Tables) -> DataFrame:
+    big = t("lineitem").selectExpr(*_BIG)
+    return profile(big).select("column_name", "unique_count", "min_exact", "max_exact", "median_exact")
+
+
 @query("f16_quality_summary", f"""
 WITH d AS ({_DIRTY}), p AS ({_profile_sql("d", _DIRTY_COLUMNS)}),
      s AS (SELECT column_name, (total_values - null_count) / total_values AS share FROM p)
@@ -232,7 +255,8 @@ def _(t: Tables) -> DataFrame:
 
 def _suggest_sql() -> str:
     numbers, texts = ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"]
-    none = "CAST(NULL AS VARCHAR) AS pattern, CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS DOUBLE) AS max_value"
+    none = "CAST(NULL AS VARCHAR) AS pattern, CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS DOUBLE) AS max_value, "
+    none += "CAST(NULL AS VARCHAR) AS min_exact, CAST(NULL AS VARCHAR) AS max_exact"
     parts = []
     for c in numbers + texts:
         parts.append(f"SELECT '{c}_completeness' AS rule_id, 'completeness' AS rule_type, '{c}' AS column_name, {none} "
@@ -240,11 +264,12 @@ def _suggest_sql() -> str:
         parts.append(f"SELECT '{c}_uniqueness', 'uniqueness', '{c}', {none} FROM customer "
                      f"HAVING count(DISTINCT {c}) = count(*)")
     for c in numbers:
-        parts.append(f"SELECT '{c}_range', 'range', '{c}', NULL, CAST(min({c}) AS DOUBLE), CAST(max({c}) AS DOUBLE) "
-                     "FROM customer")
+        exact = "NULL, NULL" if c == "c_acctbal" else f"CAST(min({c}) AS VARCHAR), CAST(max({c}) AS VARCHAR)"
+        parts.append(f"SELECT '{c}_range', 'range', '{c}', NULL, CAST(min({c}) AS DOUBLE), CAST(max({c}) AS DOUBLE), "
+                     f"{exact} FROM customer")
     code = r"[A-Za-z]+#\d+$"
     for c in texts:
-        parts.append(f"SELECT '{c}_validity', 'validity', '{c}', '{code}', NULL, NULL FROM customer "
+        parts.append(f"SELECT '{c}_validity', 'validity', '{c}', '{code}', NULL, NULL, NULL, NULL FROM customer "
                      f"HAVING count(*) FILTER (regexp_matches({c}, '^(?:{code})')) >= count({c}) * 0.95")
     return " UNION ALL ".join(parts)
 

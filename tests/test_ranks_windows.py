@@ -61,6 +61,29 @@ def test_a_missed_bracket_is_widened(data):
     assert rows(got.select("low", "high")) == [(min(hot), max(hot))]
 
 
+def test_medians_of_integers_are_exact(spark):
+    df = spark.createDataFrame([(2_000_000_000, 2 ** 53 + 1), (2_000_000_001, 2 ** 63 - 1)], "i int, b long")
+    assert ranks.median(df, [], "i", "m").first().m == 2_000_000_000.5
+    assert str(ranks.median(df, [], "b", "m", exact=True).first().m) == str((2 ** 53 + 2 ** 63) // 2) + ".0"
+    found = {r.column_name: r.median_exact for r in ranks.medians(df, ["i", "b"]).collect()}
+    assert found == {"i": "2000000000.5", "b": str((2 ** 53 + 2 ** 63) // 2)}
+
+
+def test_large_brackets_are_narrowed(spark, monkeypatch):
+    """Many distinct values, and one that half of the rows have, with brackets far above the limit."""
+    monkeypatch.setattr(ranks, "RANKED_ROWS", 500)
+    monkeypatch.setattr(ranks, "LEVELS", (0.4,))
+    monkeypatch.setattr(ranks, "STEPS", 20)
+    df = spark.range(60_000).selectExpr("if(id % 2 = 0, 'even', 'hot') AS k",
+                                        "if(id % 4 = 1, 777777L, id * 7919 % 1000003) AS v")
+    values = {"even": sorted(i * 7919 % 1000003 for i in range(0, 60_000, 2)),
+              "hot": sorted(777777 if i % 4 == 1 else i * 7919 % 1000003 for i in range(1, 60_000, 2))}
+    for p in (0, 3, 50, 90, 100):
+        got = {r.k: r.x for r in ranks.nearest_rank(df, ["k"], "v", p, "x").collect()}
+        assert got == {k: v[min(len(v) * p // 100, len(v) - 1)] for k, v in values.items()}
+    assert {r.k: r.m for r in ranks.median(df, ["k"], "v", "m").collect()} == {k: statistics.median(v) for k, v in values.items()}
+
+
 def test_hundred_values(spark):
     df = spark.range(1, 101).select(F.lit("m").alias("k"), F.col("id").cast("double").alias("v"))
     assert ranks.nearest_rank(df, ["k"], "v", 95, "x").first().x == 96.0
