@@ -8,6 +8,7 @@ compare: source_id, source_table, target_id, target_table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -188,14 +189,16 @@ def changes(mapped: DataFrame) -> DataFrame:
         F.explode(found).alias("c")).select("*", "c.*").drop("c")
 
 
-def compatibility(catalog: DataFrame, pairs: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Per pair: mean score over all source columns, where an unmatched one counts 0."""
+def compatibility(catalog: DataFrame, pairs: DataFrame, mapped: DataFrame, created_at: datetime | None = None) -> DataFrame:
+    """Per pair: mean score over all source columns, where an unmatched one counts 0; with
+    `created_at`, the time the mapping was made."""
     every = _side(parse_catalog(catalog), pairs, "source", "s").groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("source_columns"))
     got = mapped.groupBy(*PAIR).agg(F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("mapped_columns"))
-    return every.join(got, PAIR, "left").select(
+    out = every.join(got, PAIR, "left").select(
         *PAIR, "source_columns", F.coalesce("mapped_columns", F.lit(0)).alias("mapped_columns"),
         (F.coalesce("_sum", F.lit(0.0)) / F.col("source_columns")).alias("compatibility_score"))
+    return out if created_at is None else out.withColumn("created_at", F.lit(created_at).cast("timestamp_ntz"))
 
 
 def issues(catalog: DataFrame, pairs: DataFrame, mapped: DataFrame) -> DataFrame:

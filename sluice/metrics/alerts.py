@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.metrics.batch import MonitoringRule, rules_frame
+from sluice.operators.order import order_of
 
 TICK_SECONDS = 30  # fixed value: length of a monitoring tick
 RESOLVE_AFTER = 3600  # fixed value: an alert must be older than this to be resolved
@@ -40,7 +41,7 @@ def tick_of(ts: Column, seconds: int = TICK_SECONDS) -> Column:
 def ticks(metrics: DataFrame, seconds: int = TICK_SECONDS) -> DataFrame:
     """The newest value per metric and tick, combined before the shuffle."""
     return metrics.groupBy("metric_name", tick_of(F.col("ts"), seconds).alias("tick")).agg(
-        F.max_by("value", F.struct("ts", "id")).alias("value"))
+        F.max_by("value", order_of(metrics, ["ts", "id"])).alias("value"))
 
 
 def rule_holds(rule: MonitoringRule) -> Column:
@@ -130,7 +131,7 @@ def alerts_from_events(events: DataFrame, rules: Sequence[MonitoringRule]) -> Da
         return F.timestamp_seconds(seconds).cast("timestamp_ntz")
 
     raised = F.col("action") == "raised"
-    folded = events.groupBy("metric_name", "created").agg(
+    folded = events.where("action <> 'late'").groupBy("metric_name", "created").agg(
         F.max(F.when(raised, F.col("position"))).alias("position"),
         F.max(F.when(raised, F.col("current_value"))).alias("current_value"),
         F.max(F.when(~raised, F.col("tick"))).alias("resolved"),
@@ -160,18 +161,21 @@ STATE_SCHEMA = "active long, next_tick long, value double, fired int, holds bool
 
 def stateful(step: int = TICK_SECONDS, resolve_after: int = RESOLVE_AFTER):
     """The same machine for applyInPandasWithState: the state is the active alert and the
-    last verdict, which holds until the next tick with data."""
+    last verdict, which holds until the next tick with data. While an alert is active or due, a
+    timer on the watermark runs the ticks of a metric that has fallen silent. A tick behind the
+    state gives a `late` event and changes nothing."""
     def per_metric(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("tick")
+        rows = [] if state.hasTimedOut else pd.concat(list(batches)).sort_values("tick").itertuples(index=False)
         active = last = None
         if state.exists:
             created, next_tick, *verdict = state.get
             active, last = (None if created < 0 else created), (next_tick, *verdict)
         out = []
-        for row in rows.itertuples(index=False):
+        for row in rows:
             tick = int(row.tick)
             if last is not None:
                 if tick < last[0]:
+                    out.append(("late", tick, -1, -1, float(row.value)))
                     continue
                 active, events = advance(active, last[0], tick, *last[1:], step, resolve_after)
                 out += events
@@ -179,6 +183,14 @@ def stateful(step: int = TICK_SECONDS, resolve_after: int = RESOLVE_AFTER):
             active, events = advance(active, tick, tick + step, *verdict, step, resolve_after)
             out += events
             last = (tick + step, *verdict)
+        now = state.getCurrentWatermarkMs() // 1000
+        if last[0] <= now:
+            following = last[0] + ((now - last[0]) // step + 1) * step
+            active, events = advance(active, last[0], following, *last[1:], step, resolve_after)
+            out += events
+            last = (following, *last[1:])
+        if active is not None or last[2] >= 0:
+            state.setTimeoutTimestamp(last[0] * 1000)
         state.update((-1 if active is None else active, *last))
         if out:
             frame = pd.DataFrame(out, columns=["action", "tick", "created", "position", "current_value"])

@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.order import order_of
 from sluice.operators.ranks import nearest_rank
+from sluice.session import broadcast_if_small
 
 # The default metrics and their types.
 METRIC_TYPES = {
@@ -89,9 +91,11 @@ def with_types(metrics: DataFrame, types: Mapping[str, str] = METRIC_TYPES) -> D
     return metrics.withColumn("metric_type", F.coalesce(known[F.col("metric_name")], F.lit("system")))
 
 
-def latest(metrics: DataFrame) -> DataFrame:
-    """The newest value per metric: the greatest (ts, id)."""
-    return metrics.groupBy("metric_name").agg(F.max_by("value", F.struct("ts", "id")).alias("current_value"))
+def latest(metrics: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """The newest value per metric, up to `as_of` if given: the greatest (ts, id)."""
+    if as_of is not None:
+        metrics = metrics.filter(F.col("ts") <= F.lit(as_of).cast(metrics.schema["ts"].dataType))
+    return metrics.groupBy("metric_name").agg(F.max_by("value", order_of(metrics, ["ts", "id"])).alias("current_value"))
 
 
 def recent(metrics: DataFrame, as_of: datetime, minutes: float) -> DataFrame:
@@ -111,8 +115,7 @@ def percentile(metrics: DataFrame, as_of: datetime, p: float, minutes: float = 5
 
 def snapshot(metrics: DataFrame, as_of: datetime, minutes: float = 5, p: float = 95) -> DataFrame:
     """Per metric: newest value, mean and percentile of the last minutes, type."""
-    upto = metrics.filter(F.col("ts") <= F.lit(as_of).cast(metrics.schema["ts"].dataType))
-    out = latest(upto).join(average(metrics, as_of, minutes), "metric_name", "left")
+    out = latest(metrics, as_of).join(average(metrics, as_of, minutes), "metric_name", "left")
     out = out.join(percentile(metrics, as_of, p, minutes), "metric_name", "left")
     return with_types(out)
 
@@ -133,9 +136,9 @@ def fires(value: Column) -> Column:
 
 
 def evaluate(values: DataFrame, rules: DataFrame, value: str = "value") -> DataFrame:
-    """Each metric row with each rule on its metric, and `triggered`. `rules` is a rule
-    table made in code (rules_frame), so it is small enough to broadcast."""
-    return values.join(F.broadcast(rules), "metric_name").withColumn("triggered", fires(F.col(value)))
+    """Each metric row with each rule on its metric, and `triggered`. `rules` is broadcast while
+    its size estimate allows; a table made in code (rules_frame) always is."""
+    return values.join(broadcast_if_small(rules), "metric_name").withColumn("triggered", fires(F.col(value)))
 
 
 def current_alerts(alerts: DataFrame, as_of: datetime, severity: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.operators.order import order_of
 from sluice.operators.ranks import median
 
 # The function names a caller may use and the name each one stands for.
@@ -30,14 +31,15 @@ def resolve_function(name: str) -> str:
     return found
 
 
-def aggregate_column(name: str, column: str | Column, order: Sequence[str] = ()) -> Column:
-    """The aggregate expression for a function name (all but `median`)."""
+def aggregate_column(name: str, column: str | Column, order: Sequence[str] = (), df: DataFrame | None = None) -> Column:
+    """The aggregate expression for a function name (all but `median`). With `df`, whose types it
+    looks at, first and last need no sort where the order is of times or integers."""
     fn = resolve_function(name)
     c = F.col(column) if isinstance(column, str) else column
     if fn in ("first", "last"):
         if not order:
             raise ValueError(f"{fn} needs an order column to be repeatable")
-        by = F.struct(*[F.col(o) for o in order])
+        by = F.struct(*[F.col(o) for o in order]) if df is None else order_of(df, order)
         return F.min_by(c, by) if fn == "first" else F.max_by(c, by)
     if fn == "median":
         raise ValueError("median is not a plain expression here; use aggregate()")
@@ -74,7 +76,7 @@ def multi_aggregate(df: DataFrame, measures: Sequence[tuple[str, str]], group_by
         if fn == "median":
             medians.append((column, alias))
         else:
-            plain.append(aggregate_column(fn, column, order).alias(alias))
+            plain.append(aggregate_column(fn, column, order, df).alias(alias))
     out = df.groupBy(*keys).agg(*(plain or [F.count(F.lit(1)).alias("_rows")]))
     for column, alias in medians:
         out = _join_groups(out, median(df, keys, column, alias), keys)

@@ -18,13 +18,15 @@ JOIN_TYPES = {
 
 
 def join(left: DataFrame, right: DataFrame, on: Sequence[str] | str | Column | None = None, how: str = "inner",
-         suffix: str = "_right", small: str | None = None) -> DataFrame:
+         suffix: str = "_right", small: str | None = None, skewed: bool = False) -> DataFrame:
     """Join two frames.
 
     `on` is a list of shared key columns, or a condition (text or Column) over `l.` and `r.`.
     Keys appear once; other columns both sides share get `suffix` on the right side.
     `small` ("left"/"right") allows a broadcast of that side, if its size estimate permits.
-    A skewed key is left to AQE, which splits the hot partition.
+    A skewed key is left to AQE, which splits the hot partition; it cannot in a full join, so
+    `skewed` makes that a left join plus the unmatched right rows, at the price of reading both
+    sides twice.
     """
     how = JOIN_TYPES.get(how.lower())
     if how is None:
@@ -54,7 +56,7 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[str] | str | Column | N
         l = broadcast_if_small(l)
 
     if keys:
-        if how == "full":
+        if how == "full" and skewed:
             return _full(left, right, keys)
         return l.join(r, keys, how)
     if on is not None:

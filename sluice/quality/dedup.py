@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sluice.quality.rules import value_key
 
 
 def drop_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -13,11 +16,15 @@ def drop_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (
 
     A minimum per key is combined before the shuffle, so a key held by a third of the
     rows costs one row per task; a row_number window would bring them all to one task.
+    Text keys are grouped, sorted and shuffled by as digests where they are long.
     """
     keys = list(keys)
     order = [c for c in order if c not in keys]
     rest = [c for c in df.columns if c not in keys and c not in order]
     if not order + rest:
         return df.select(*keys).distinct().select(*df.columns)
-    best = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_row"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+    named = [value_key(df, c).alias(f"_k{i}") if isinstance(df.schema[c].dataType, T.StringType | T.BinaryType)
+             else F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keys)]
+    row = F.struct(*[F.col(f"`{c}`") for c in (*order, *rest, *keys)])
+    best = df.select(*named, row.alias("_row")).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_row").alias("_row"))
+    return best.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])

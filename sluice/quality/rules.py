@@ -137,6 +137,8 @@ def violation(df: DataFrame, rule: Rule) -> Column | None:
             bad = F.when(F.isnan(c), F.lit(False)).otherwise(bad)
         return bad
     if rule.rule_type == "consistency":
+        if unknown := [x for x in p.get("related_columns") or () if x not in df.columns]:
+            raise ValueError(f"rule {rule.rule_id}: no columns {unknown}")
         return ~F.coalesce(F.expr(p["consistency_rule"]), F.lit(False))
     if rule.rule_type == "custom":
         predicate = p["predicate"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,14 +75,50 @@ def _(t: Tables) -> DataFrame:
         "table_name", "row_count", F.col("column_count").cast("long").alias("column_count"))
 
 
-@query("a14_sample")
+def _of_source(found: DataFrame, source: DataFrame) -> DataFrame:
+    """How many rows were found, and how many of them are not rows of the source."""
+    strange = found.join(source, source.columns, "left_anti").agg(F.count("*").alias("strange"))
+    return found.agg(F.count("*").alias("n")).crossJoin(strange)  # one row each
+
+
+@query("a14_sample", "SELECT least(10, count(*)) AS n, 0 AS strange FROM lineitem")
+def _(t: Tables) -> DataFrame:
+    return _of_source(catalog.sample(t("lineitem"), 10), t("lineitem")).select("n", F.col("strange").cast("int").alias("strange"))
+
+
+@query("a14_sample_fraction", "SELECT true AS near, 0 AS strange")
+def _(t: Tables) -> DataFrame:
+    # Five standard errors around the share asked for.
+    counts = _of_source(catalog.sample(t("lineitem"), fraction=0.01), t("lineitem"))
+    every = t("lineitem").agg(F.count("*").alias("every"))
+    near = F.abs(F.col("n") - 0.01 * F.col("every")) <= 5 * F.sqrt(0.0099 * F.col("every"))
+    return counts.crossJoin(every).select(near.alias("near"), F.col("strange").cast("int").alias("strange"))
+
+
+@query("a4_detected", "SELECT 'csv' AS format, count(*) AS n FROM nation UNION ALL SELECT 'json', count(*) FROM nation "
+       "UNION ALL SELECT 'parquet', count(*) FROM nation")
+def _(t: Tables) -> DataFrame:
+    out = [_round_trip(t, t("nation"), fmt).agg(F.lit(fmt).alias("format"), F.count("*").alias("n")) for fmt in ("csv", "json", "parquet")]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("a7_rows_in_memory", "SELECT n_name, r_name FROM nation JOIN (VALUES (0, 'AFRICA'), (1, 'AMERICA')) v(k, r_name) ON n_regionkey = k")
+def _(t: Tables) -> DataFrame:
+    named = files.from_rows(t.spark, [{"k": 0, "r_name": "AFRICA"}, {"k": 1, "r_name": "AMERICA"}])
+    return t("nation").join(F.broadcast(named), F.col("n_regionkey") == F.col("k")).select("n_name", "r_name")
+
+
+@query("a13_sizes")
 def _(t: Tables) -> DataFrame:
-    return catalog.sample(t("lineitem"), 10)
+    return catalog.table_sizes(t.spark, {n: t.path(n) for n in NAMES})
 
 
-@query("a14_sample_fraction")
+@query("a13_columns", """
+SELECT table_name, column_name, column_index::INT AS ordinal_position, is_nullable AS nullable,
+  numeric_precision::INT AS numeric_precision, numeric_scale::INT AS numeric_scale, column_default, character_maximum_length::INT AS max_length
+FROM duckdb_columns() WHERE table_name IN ('nation', 'orders', 'labels')""")
 def _(t: Tables) -> DataFrame:
-    return catalog.sample(t("lineitem"), fraction=0.01)
+    return catalog.column_details({n: t(n) for n in ("nation", "orders", "labels")})
 
 
 _KIND = """CASE WHEN table_name IN ('documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')
@@ -129,11 +167,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("a22_optimized_table", "SELECT * FROM supplier")
 def _(t: Tables) -> DataFrame:
-    t("supplier").createOrReplaceTempView("sluice_supplier")
-    files.optimize_table(t.spark, "sluice_supplier", ["s_nationkey", "s_suppkey"])
-    out = t.spark.table("sluice_supplier_optimized")
-    t.spark.catalog.uncacheTable("sluice_supplier")
-    return out
+    name, path = f"supplier_{uuid.uuid4().hex}", f"{scratch_path(t.spark, 'optimized')}.parquet"
+    t("supplier").createOrReplaceTempView(name)
+    files.optimize_table(t.spark, name, ["s_nationkey", "s_suppkey"])
+    files.save(f"{name}_optimized", path, spark=t.spark)  # read while it is cached
+    files.release(t.spark, name)
+    t.spark.catalog.dropTempView(name)
+    return t.spark.read.parquet(path)
 
 
 @query("a23_partitioned_layout", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '5-LOW'")
@@ -146,9 +186,12 @@ def _(t: Tables) -> DataFrame:
 @query("a23_bucketed_join", """
 SELECT o_orderpriority, count(*) AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority""")
 def _(t: Tables) -> DataFrame:
-    files.bucket(t("orders").select("o_orderkey", "o_orderpriority"), "sluice_orders", ["o_orderkey"], 8,
+    run = uuid.uuid4().hex
+    files.bucket(t("orders").select("o_orderkey", "o_orderpriority"), f"orders_{run}", ["o_orderkey"], 8,
                  scratch_path(t.spark, "orders"))
-    files.bucket(t("lineitem").select("l_orderkey", "l_linenumber"), "sluice_items", ["l_orderkey"], 8,
+    files.bucket(t("lineitem").select("l_orderkey", "l_linenumber"), f"items_{run}", ["l_orderkey"], 8,
                  scratch_path(t.spark, "items"))
-    joined = t.spark.table("sluice_orders").join(t.spark.table("sluice_items"), F.expr("o_orderkey = l_orderkey"))
+    joined = t.spark.table(f"orders_{run}").join(t.spark.table(f"items_{run}"), F.expr("o_orderkey = l_orderkey"))
+    for name in (f"orders_{run}", f"items_{run}"):
+        t.spark.sql(f"DROP TABLE {name}")  # the files stay, as they have a path of their own
     return joined.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("items"))

@@ -7,6 +7,8 @@ with the data while a table's width stays the same.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,28 +108,27 @@ _SIDES = f"""WITH RECURSIVE catalog AS ({_CATALOG}), p AS ({_PARSED}), pairs AS
          ON p.source_id = pairs.target_id AND p.table_name = target_table)"""
 
 
-def _same_position(t: Tables) -> DataFrame:
+def _candidates(t: Tables) -> DataFrame:
+    """Every column of a source table with every column of its target table."""
     parsed = match.parse_catalog(_catalog(t))
-    s = match._side(parsed, _pairs(t), "source", "s").withColumn("position", F.col("s.ordinal_position"))
-    u = match._side(parsed, _pairs(t), "target", "t").withColumn("position", F.col("t.ordinal_position"))
-    return s.join(u, [*match.PAIR, "position"])
+    return match._side(parsed, _pairs(t), "source", "s").join(match._side(parsed, _pairs(t), "target", "t"), [*match.PAIR])
 
 
 @query("j4_name_similarity", f"""{_SIDES}
 SELECT s.column_name AS source_column, t.column_name AS target_column,
   round({_similarity_sql('s.column_name', 't.column_name')}, 9) AS similarity
-FROM ss s JOIN tt t USING (source_table, ordinal_position)""")
+FROM ss s JOIN tt t USING (source_table)""")
 def _(t: Tables) -> DataFrame:
-    return _same_position(t).select(
+    return _candidates(t).select(
         F.col("s.column_name").alias("source_column"), F.col("t.column_name").alias("target_column"),
         F.round(match.name_similarity("s.column_name", "t.column_name"), 9).alias("similarity"))
 
 
 @query("j5_column_similarity", f"""{_SIDES}
 SELECT s.column_name AS source_column, t.column_name AS target_column, round({_score_sql()}, 9) AS score
-FROM ss s JOIN tt t USING (source_table, ordinal_position)""")
+FROM ss s JOIN tt t USING (source_table)""")
 def _(t: Tables) -> DataFrame:
-    return _same_position(t).select(
+    return _candidates(t).select(
         F.col("s.column_name").alias("source_column"), F.col("t.column_name").alias("target_column"),
         F.round(match.column_similarity(), 9).alias("score"))
 
@@ -252,10 +253,11 @@ def _(t: Tables) -> DataFrame:
 SELECT (SELECT count(*) FROM (SELECT DISTINCT source_id, table_name FROM p)) AS total_schemas,
   (SELECT count(DISTINCT table_name) FROM p WHERE source_id = 'shop') AS shop_schemas,
   (SELECT count(DISTINCT table_name) FROM p WHERE source_id = 'warehouse') AS warehouse_schemas,
-  count(*) AS total_mappings, round(avg(compatibility_score), 6) AS average_compatibility_score FROM scores""")
+  count(*) AS total_mappings, round(avg(compatibility_score), 6) AS average_compatibility_score,
+  TIMESTAMP '2024-05-06 07:08:09' AS last_mapping FROM scores""")
 def _(t: Tables) -> DataFrame:
-    scores = match.compatibility(_catalog(t), _pairs(t), _matched(t))
+    scores = match.compatibility(_catalog(t), _pairs(t), _matched(t), datetime(2024, 5, 6, 7, 8, 9))
     out = match.summary(_catalog(t), scores)
     return out.select("total_schemas", F.col("schemas_by_source")["shop"].alias("shop_schemas"),
                       F.col("schemas_by_source")["warehouse"].alias("warehouse_schemas"), "total_mappings",
-                      F.round("average_compatibility_score", 6).alias("average_compatibility_score"))
+                      F.round("average_compatibility_score", 6).alias("average_compatibility_score"), "last_mapping")

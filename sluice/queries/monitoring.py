@@ -245,6 +245,15 @@ def _(t: Tables) -> DataFrame:
     return batch.retain_values(_metrics(t))
 
 
+@query("k15_stream_retain", f"""WITH {_METRICS}
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY ts DESC, id DESC) AS rn FROM m)
+WHERE rn <= 1000""")
+def _(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "retained")
+    stream.retain(_event_stream(t), path, path + "-checkpoint").awaitTermination()
+    return stream.replaced(t.spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("k15_retain_alerts", f"{_ALERTS} SELECT alert_id FROM alerts ORDER BY created_at DESC, alert_id DESC LIMIT 500")
 def _(t: Tables) -> DataFrame:
     return batch.retain_alerts(_alerts(t)).select("alert_id")
@@ -280,7 +289,7 @@ SELECT metric_name, arg_max(value, (ts, id)) AS current_value FROM m GROUP BY AL
 def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "latest")
     stream.replace_stream(stream.latest(_event_stream(t)), path, path + "-checkpoint").awaitTermination()
-    return t.spark.read.parquet(path)
+    return stream.replaced(t.spark, path)
 
 
 @query("k3_k17_stream_windows", f"""WITH {_METRICS}, w AS (
@@ -312,7 +321,7 @@ def _(t: Tables) -> DataFrame:
     return _finish(t, stream.ticks(_event_stream(t)), "ticks")
 
 
-@query("k8_k9_stream_alerts", _alerts_sql("9223372036854775807", _SEEN).replace("{end}", "hi")
+@query("k8_k9_stream_alerts", _alerts_sql("9223372036854775807", _SEEN).replace("{end}", "(SELECT max(tick) FROM tks)")
        + f" SELECT {', '.join(_SHOWN)} FROM alerts")
 def _(t: Tables) -> DataFrame:
     folder = scratch_path(t.spark, "monitor")

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.mapping.types import raw_type_name
 
@@ -41,6 +42,39 @@ def column_rows(tables: Mapping[str, DataFrame], source_id: str,
               "raw_type string, nullable boolean, is_primary_key boolean")
 
 
+def column_details(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Per column: position from 1, nullable, precision and scale of numbers, default, length.
+
+    Defaults and lengths come from the schema's metadata, where a database reader or a table
+    definition has left them; files have none.
+    """
+    # Bits or digits of the number types; fixed values.
+    digits = {"tinyint": (8, 0), "smallint": (16, 0), "int": (32, 0), "bigint": (64, 0), "float": (24, 0), "double": (53, 0)}
+    rows = []
+    for name, df in tables.items():
+        for i, f in enumerate(df.schema.fields):
+            kind = f.dataType
+            precision, scale = ((kind.precision, kind.scale) if isinstance(kind, T.DecimalType)
+                                else digits.get(kind.simpleString(), (None, None)))
+            length = kind.length if isinstance(kind, T.VarcharType | T.CharType) else f.metadata.get("max_length")
+            default = f.metadata.get("default", f.metadata.get("CURRENT_DEFAULT"))
+            rows.append((name, f.name, i + 1, f.nullable, precision, scale, default, length))
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(
+        rows, "table_name string, column_name string, ordinal_position int, nullable boolean, numeric_precision int, "
+              "numeric_scale int, column_default string, max_length int")
+
+
+def table_sizes(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """Per table, the bytes and the number of its files, from the file system's own summary."""
+    rows = []
+    for name, path in paths.items():
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where)
+        rows.append((name, found.getLength(), found.getFileCount()))
+    return spark.createDataFrame(rows, "table_name string, bytes long, files long")
+
+
 def table_metadata(tables: Mapping[str, DataFrame], source_id: str) -> DataFrame:
     """Per table: row count, column count and column list. One lazy plan with one small
     shuffle; no column is read, so Parquet tables are counted from their footers."""

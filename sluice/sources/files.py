@@ -65,13 +65,22 @@ def from_rows(spark: SparkSession, data: Any, schema: T.StructType | str | None
 def query(spark: SparkSession, text: str, args: Mapping[str, Any] | None = None,
           tables: Mapping[str, str | DataFrame] | None = None) -> DataFrame:
     """Run SQL. `:name` parameters are bound as typed values; `{name}` or plain table names
-    refer to `tables`, given as frames or as paths to load."""
+    refer to `tables`, given as frames or as paths to load. Plain names are views only while the
+    text is resolved; a session view of that name is put back."""
     frames = {n: t if isinstance(t, DataFrame) else load(spark, t) for n, t in (tables or {}).items()}
     used = {n: f for n, f in frames.items() if "{" + n + "}" in text}
-    for name, frame in frames.items():
-        if name not in used:
+    plain = {n: f for n, f in frames.items() if n not in used}
+    hidden = {t.name: spark.table(t.name) for n in plain for t in spark.catalog.listTables(pattern=n)
+              if t.isTemporary and t.name.lower() == n.lower()}
+    try:
+        for name, frame in plain.items():
+            frame.createOrReplaceTempView(name)
+        return spark.sql(text, args=dict(args) if args else None, **used)
+    finally:
+        for name in plain:
+            spark.catalog.dropTempView(name)
+        for name, frame in hidden.items():
             frame.createOrReplaceTempView(name)
-    return spark.sql(text, args=dict(args) if args else None, **used)
 
 
 def save(data: DataFrame | str, path: str, file_format: str = "auto", mode: str = "overwrite",
@@ -109,16 +118,22 @@ def release(spark: SparkSession, table: str) -> None:
     spark.catalog.dropTempView(f"{table}_optimized")
 
 
-def lay_out(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Store for fast lookup on low-cardinality columns: one folder per value, pruned on read."""
+def lay_out(df: DataFrame, path: str, partition_by: Sequence[str] = (), files: int = 8) -> None:
+    """Store for fast lookup on low-cardinality columns: one folder per value, pruned on read.
+
+    Rows are brought together by value first, so a folder has up to `files` files and not one
+    from every task; a hot value is spread over as many tasks.
+    """
+    if partition_by:
+        df = df.repartition(*partition_by, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files)))
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def bucket(df: DataFrame, table: str, columns: Sequence[str], buckets: int, path: str | None = None) -> None:
     """Store as a table bucketed and sorted by key columns: joins and groupings on them need
-    no shuffle."""
+    no shuffle. A task writes one bucket, so there is one file for each."""
     first, *rest = columns
-    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, first, *rest).sortBy(first, *rest)
+    writer = df.repartition(buckets, *columns).write.mode("overwrite").format("parquet").bucketBy(buckets, first, *rest).sortBy(first, *rest)
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(table)

@@ -37,6 +37,25 @@ def _spark_type(declared: str) -> T.DataType:
     return T.BinaryType() if "BLOB" in d else T.StringType()
 
 
+def _fitting(kind: T.DataType, column: str):
+    """A function that gives a value in the column's type, or raises where it does not fit: SQLite
+    keeps any value in any column."""
+    def fit(v):
+        if v is None:
+            return None
+        if isinstance(kind, T.LongType) and isinstance(v, int) or isinstance(kind, T.BinaryType) and isinstance(v, bytes):
+            return v
+        if isinstance(kind, T.DoubleType) and (isinstance(v, float) or isinstance(v, int) and int(float(v)) == v):
+            return float(v)
+        if isinstance(kind, T.StringType) and isinstance(v, str):
+            return v
+        if isinstance(kind, T.StringType) and isinstance(v, int | float):
+            return str(v)
+        raise ValueError(f"column {column}: {v!r} is not a {kind.simpleString()}; give a schema that holds it")
+
+    return fit
+
+
 class _Range(InputPartition):
     def __init__(self, low: int | None, high: int | None) -> None:
         self.low, self.high = low, high
@@ -59,8 +78,7 @@ class _Reader(DataSourceReader):
         return [_Range(s, min(s + size, high + 1)) for s in range(low, high + 1, size)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        casts = [{"double": float, "bigint": int, "string": str}.get(f.dataType.simpleString(), lambda v: v)
-                 for f in self.schema.fields]
+        casts = [_fitting(f.dataType, f.name) for f in self.schema.fields]
         text, args = self.text, ()
         if not text:
             text = f"SELECT * FROM {_name(self.table)}"
@@ -68,7 +86,7 @@ class _Reader(DataSourceReader):
                 text, args = text + " WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high)
         with _connect(self.path) as db:
             for row in db.execute(text, args):
-                yield tuple(None if v is None else cast(v) for cast, v in zip(casts, row))
+                yield tuple(cast(v) for cast, v in zip(casts, row))
 
 
 class SqliteSource(DataSource):
@@ -79,11 +97,18 @@ class SqliteSource(DataSource):
     def schema(self) -> T.StructType:
         with _connect(self.options["path"]) as db:
             if "query" in self.options:
-                cursor = db.execute(f"SELECT * FROM ({self.options['query']}) LIMIT 1")
-                first = cursor.fetchone() or [None] * len(cursor.description)
-                kinds = {int: T.LongType(), float: T.DoubleType(), bytes: T.BinaryType()}
-                return T.StructType([T.StructField(d[0], kinds.get(type(v), T.StringType()))
-                                     for d, v in zip(cursor.description, first)])
+                # The kinds of all values decide, counted by SQLite; a column of numbers of both
+                # kinds is double, any other mixture text.
+                text = self.options["query"]
+                names = [d[0] for d in db.execute(f"SELECT * FROM ({text}) LIMIT 0").description]
+                kinds = {frozenset({"integer"}): T.LongType(), frozenset({"real"}): T.DoubleType(),
+                         frozenset({"integer", "real"}): T.DoubleType(), frozenset({"blob"}): T.BinaryType()}
+                fields = []
+                for name in names:
+                    rows = db.execute(f"SELECT DISTINCT typeof({_name(name)}) FROM ({text})").fetchall()
+                    found = frozenset(x for x, in rows) - {"null"}
+                    fields.append(T.StructField(name, kinds.get(found, T.StringType())))
+                return T.StructType(fields)
             rows = db.execute(f"PRAGMA table_info({_name(self.options['dbtable'])})").fetchall()
         return T.StructType([T.StructField(r[1], _spark_type(r[2] or ""), not r[3],
                                            {"raw_type": r[2], "primary_key": bool(r[5]), "default": r[4]})

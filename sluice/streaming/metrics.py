@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sluice.metrics import alerts
-from sluice.metrics.batch import MonitoringRule, with_types
+from sluice.metrics.batch import KEEP_VALUES, MonitoringRule, retain_values, with_types
+from sluice.operators.order import order_of
 
 
 def read_stream(spark: SparkSession, path: str, schema, file_format: str = "parquet",
@@ -40,15 +41,49 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, every: str | None =
 
 
 def replace_stream(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Write the whole result again at each trigger (complete mode): for small results only."""
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    """Write the whole result again at each trigger (complete mode): for small results only.
+
+    Every batch has a folder of its own; `replaced` reads the newest one that is complete.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
 
     writer = df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
 
+def _complete(spark: SparkSession, path: str) -> list[str]:
+    """The complete batch folders, oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS"))
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
+def replaced(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete result that `replace_stream` or `retain` has written."""
+    complete = _complete(spark, path)
+    if not complete:
+        raise FileNotFoundError(f"no complete batch in {path}")
+    return spark.read.parquet(complete[-1])
+
+
+def retain(stream: DataFrame, path: str, checkpoint: str, keep: int = KEEP_VALUES, every: str | None = None) -> StreamingQuery:
+    """Keep the last `keep` values of each metric: each batch writes the former result and its new
+    rows, cut to `keep`, to a folder of its own, which `replaced` reads. A batch that runs again
+    starts from the one before it."""
+    def write(batch: DataFrame, number: int) -> None:
+        spark, own = batch.sparkSession, f"{path}/batch={number:012d}"
+        former = [x for x in _complete(spark, path) if x.rsplit("=", 1)[1] < f"{number:012d}"]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(former[-1])) if former else batch
+        retain_values(rows, keep).write.mode("overwrite").parquet(own)
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def collect(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append metric rows, with their type, to the metric table."""
     return write_stream(with_types(stream), path, checkpoint, every)
@@ -56,7 +91,7 @@ def collect(stream: DataFrame, path: str, checkpoint: str, every: str | None = N
 
 def latest(stream: DataFrame) -> DataFrame:
     """The newest value per metric so far; the state is one row per metric."""
-    return stream.groupBy("metric_name").agg(F.max_by("value", F.struct("ts", "id")).alias("current_value"))
+    return stream.groupBy("metric_name").agg(F.max_by("value", order_of(stream, ["ts", "id"])).alias("current_value"))
 
 
 def window_average(stream: DataFrame, length: str = "5 minutes", slide: str | None = None,
@@ -73,16 +108,18 @@ def window_average(stream: DataFrame, length: str = "5 minutes", slide: str | No
 def ticks(stream: DataFrame, seconds: int = alerts.TICK_SECONDS, late: str = "1 minute") -> DataFrame:
     """The newest value per metric and tick, emitted when the watermark passes the tick."""
     out = stream.withWatermark("ts", late).groupBy("metric_name", F.window("ts", f"{seconds} seconds").alias("w")).agg(
-        F.max_by("value", F.struct("ts", "id")).alias("value"))
+        F.max_by("value", order_of(stream, ["ts", "id"])).alias("value"))
     return out.select("metric_name", F.unix_seconds("w.end").alias("tick"), "value")
 
 
 def alert_events(tick_stream: DataFrame, rules: Sequence[MonitoringRule], seconds: int = alerts.TICK_SECONDS,
                  resolve_after: int = alerts.RESOLVE_AFTER) -> DataFrame:
     """Raised and resolved events from a stream of ticks (the folder `ticks` is written to).
-    The state machine is the only stateful operator of the query."""
-    return alerts.judge(tick_stream, rules).groupBy("metric_name").applyInPandasWithState(
-        alerts.stateful(seconds, resolve_after), alerts.EVENT_SCHEMA, alerts.STATE_SCHEMA, "append", "NoTimeout")
+    The state machine is the only stateful operator of the query. The newest tick of any metric
+    is the time for all of them, so an alert on a metric without new values is resolved too."""
+    judged = alerts.judge(tick_stream, rules).withColumn("at", F.timestamp_seconds("tick")).withWatermark("at", "0 seconds")
+    return judged.groupBy("metric_name").applyInPandasWithState(
+        alerts.stateful(seconds, resolve_after), alerts.EVENT_SCHEMA, alerts.STATE_SCHEMA, "append", "EventTimeTimeout")
 
 
 def monitor(stream: DataFrame, rules: Sequence[MonitoringRule], folder: str, every: str | None = None,

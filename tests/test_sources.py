@@ -175,3 +175,28 @@ def test_scratch_is_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert build_session().conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_sqlite_never_converts_with_loss(spark, tmp_path):
+
+    path = str(tmp_path / "mixed.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (a INT, b REAL, c TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(None, 1, "x"), (1, 2.5, "y"), (2, 3, None)])
+        db.execute("CREATE TABLE bad (a INT)")
+        db.executemany("INSERT INTO bad VALUES (?)", [(1,), (3.7,), (2,)])
+    assert sorted(sqlite.read(spark, path, "t").select("b").collect()) == [(1.0,), (2.5,), (3.0,)]
+    by_query = sqlite.read(spark, path, query="SELECT a, b, c FROM t")
+    assert by_query.dtypes == [("a", "bigint"), ("b", "double"), ("c", "string")]
+    with pytest.raises(Exception, match="is not a bigint"):
+        sqlite.read(spark, path, "bad").collect()
+    assert sorted(sqlite.read(spark, path, query="SELECT a FROM bad").collect()) == [(1.0,), (2.0,), (3.7,)]
+
+
+def test_query_leaves_session_views_alone(spark):
+    spark.range(3).createOrReplaceTempView("kept_view")
+    out = files.query(spark, "SELECT count(*) AS n FROM kept_view JOIN other_view USING (id)",
+                      tables={"kept_view": spark.range(10), "other_view": spark.range(7)})
+    assert out.first().n == 7 and spark.table("kept_view").count() == 3
+    assert not spark.catalog.tableExists("other_view")
+    spark.catalog.dropTempView("kept_view")
