@@ -1,19 +1,23 @@
 """Window functions, with a split form for partitions too big for one task.
 
 A plain window sorts each partition in one task. When one partition may hold a large
-share of the table, pass `bucket`: an expression that never decreases along the first
-order column (a day of a timestamp, a block of an id). Each bucket is then windowed on
+share of the table, pass `bucket="auto"`: rows are dealt out by ranges of partition and order
+columns, whose bounds follow the data, and written to the scratch folder, so their number per
+task is the same at any size. `bucket` may also be an expression that never decreases along the
+first order column (a day of a timestamp, a block of an id). Each bucket is then windowed on
 its own, and the small table of bucket totals supplies what came before it.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sluice.operators.aggregates import aggregate_column
+from sluice.session import broadcast_if_small, scratch_path
 
 RANKING = ("row_number", "rank")
 SHIFTING = ("lag", "lead")
@@ -55,13 +59,28 @@ def window_column(fn: str, column: str | None = None, partition: Sequence[str] |
 
 def window(df: DataFrame, fn: str, alias: str, column: str | None = None, partition: Sequence[str] = (),
            order: Sequence[str] = (), offset: int = 1, descending: bool = False,
-           frame: tuple[str, int | None, int | None] | None = None, bucket: Column | None = None,
+           frame: tuple[str, int | None, int | None] | None = None, bucket: Column | str | None = None,
            few_groups: bool = False) -> DataFrame:
     """Add a window column. Ties in `order` need a tie-breaker, or results are not repeatable.
 
-    `few_groups` is for callers who know that the number of partitions is bounded (a status, a
-    flag): totals over whole partitions are then broadcast, and the rows are not shuffled.
+    A window without partition is split by the data where its function can be; where it cannot,
+    a warning says that one task sorts the whole table. `few_groups` is for callers who know that
+    the number of partitions is bounded (a status, a flag): totals over whole partitions are then
+    broadcast if their size is small, and the rows are not shuffled.
     """
+    if bucket is None and order and not partition:
+        if frame is None and fn in RANKING + SHIFTING + RUNNING:
+            bucket = "auto"
+        else:
+            warnings.warn(f"{fn} without partition: one task sorts the whole table", stacklevel=2)
+    if isinstance(bucket, str) and bucket == "auto":
+        if not order:
+            raise ValueError("buckets follow an order")
+        out = window(_ranged(df, list(partition), list(order), descending), fn, alias, column, partition, order, offset,
+                     descending, frame, F.col("_range"))
+        return out.drop("_range")
+    if isinstance(bucket, str):
+        bucket = F.expr(bucket)
     if bucket is not None and order:
         if frame is not None:
             raise ValueError("a bucketed window takes the default frame")
@@ -84,7 +103,18 @@ def _whole_partition(df: DataFrame, fn: str, alias: str, column: str | None, par
     if not partition:
         return df.crossJoin(F.broadcast(totals))  # one row
     side = totals.select(_key(partition).alias("_g"), alias)
-    return df.withColumn("_g", _key(partition)).join(F.broadcast(side) if few_groups else side, "_g", "left").drop("_g")
+    return df.withColumn("_g", _key(partition)).join(broadcast_if_small(side) if few_groups else side, "_g", "left").drop("_g")
+
+
+def _ranged(df: DataFrame, partition: list[str], order: list[str], descending: bool) -> DataFrame:
+    """The rows with `_range`, which never decreases along the order within a partition. Rows
+    that are equal in all of these columns have the same range."""
+    path = scratch_path(df.sparkSession, "ranges")
+    dealt = df.repartitionByRange(*[F.col(p) for p in partition], *_order(order, descending))
+    number = F.spark_partition_id()
+    dealt = dealt.withColumn("_range", -number if descending else number)
+    dealt.write.parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
 def _split_window(df: DataFrame, fn: str, alias: str, column: str | None, partition: list[str],
@@ -128,8 +158,8 @@ def _bucket_order(partition: list[str], descending: bool) -> WindowSpec:
 
 def _split_lag(df: DataFrame, alias: str, column: str, partition: list[str], order: list[str], offset: int,
                descending: bool, bucket: Column, nulls_first: bool) -> DataFrame:
-    """Only the first `offset` rows of a bucket look across its edge, and what they look for
-    is among the last `offset` rows of an earlier bucket; those few are joined by position."""
+    """Only the first `offset` rows of a bucket look across its edge. What they look for is among
+    the last `offset` rows of each of as many earlier buckets, which the bucket totals carry."""
     def ordered(c: Column, down: bool, first: bool) -> Column:
         return getattr(c, f"{'desc' if down else 'asc'}_nulls_{'first' if first else 'last'}")()
 
@@ -138,18 +168,12 @@ def _split_lag(df: DataFrame, alias: str, column: str, partition: list[str], ord
     forward = group.orderBy(*[ordered(F.col(c), descending, nulls_first) for c in order])
     backward = group.orderBy(*[ordered(F.col(c), not descending, not nulls_first) for c in order])
     across = Window.partitionBy(*[F.col(f"_g.`{p}`") for p in partition]).orderBy(
-        ordered(F.col("_g._bucket"), descending, nulls_first)).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy("_g").agg(F.count(F.lit(1)).alias("_size")).withColumn(
-        "_before", F.coalesce(F.sum("_size").over(across), F.lit(0)))
-    position = lambda at: F.struct(*[F.col(f"_g.`{p}`").alias(p) for p in partition], at.alias("_at"))
-
-    placed = df.withColumn("_pos", F.row_number().over(forward)).withColumn(
-        alias, F.lag(column, offset).over(forward))
-    inner = placed.filter(F.col("_pos") > offset).drop("_pos", "_g")
-    heads = df.withColumn("_pos", F.row_number().over(forward)).filter(F.col("_pos") <= offset).join(
-        sizes, "_g").withColumn("_want", position(F.col("_before") + F.col("_pos") - offset))
-    tails = df.withColumn("_back", F.row_number().over(backward)).filter(F.col("_back") <= offset).join(
-        sizes, "_g").select(position(F.col("_before") + F.col("_size") - F.col("_back") + 1).alias("_want"),
-                            F.col(column).alias(alias))
-    edges = heads.join(tails, "_want", "left").drop("_pos", "_size", "_before", "_want", "_g")
-    return inner.unionByName(edges)
+        ordered(F.col("_g._bucket"), descending, nulls_first)).rowsBetween(-offset, -1)
+    # Nearest row first: at most `offset` values of a bucket, and `offset` buckets.
+    last = df.select("_g", F.row_number().over(backward).alias("_back"), F.col(column).alias("_value")).filter(
+        F.col("_back") <= offset).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_back", "_value"))).alias("_last"))
+    carried = last.select("_g", F.slice(F.flatten(F.reverse(F.collect_list("_last").over(across))), 1, offset).alias("_carried"))
+    placed = df.withColumn("_pos", F.row_number().over(forward)).withColumn("_here", F.lag(column, offset).over(forward))
+    across_edge = F.get("_carried", F.lit(offset) - F.col("_pos"))["_value"]
+    return placed.join(carried, "_g", "left").withColumn(
+        alias, F.when(F.col("_pos") > offset, F.col("_here")).otherwise(across_edge)).drop("_g", "_pos", "_here", "_carried")

@@ -37,7 +37,7 @@ def _aggregate(df: DataFrame, cols: list[str], c: dict, tables: Tables) -> DataF
 
 
 def _window(df: DataFrame, cols: list[str], c: dict, tables: Tables) -> DataFrame:
-    bucket = F.expr(c["bucket"]) if c.get("bucket") else None
+    bucket = c.get("bucket") or None  # "auto", or an expression
     frame = tuple(c["frame"]) if c.get("frame") else None
     return windows.window(df, c.get("function", "rank"), c["alias"], cols[0] if cols else None, c.get("partition", []),
                           c.get("order", []), c.get("offset", 1), c.get("descending", False), frame, bucket,

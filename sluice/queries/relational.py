@@ -437,7 +437,7 @@ SELECT l_returnflag, {_ITEM_SQL},
        CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY {_ITEM_SQL}) AS INT) AS rn FROM lineitem""")
 def _(t: Tables) -> DataFrame:
     return windows.window(_items(t), "row_number", "rn", partition=["l_returnflag"], order=_ITEM_ORDER,
-                          bucket=F.floor(F.col("l_orderkey") / 1000)).select("l_returnflag", *_ITEM_ORDER, "rn")
+                          bucket="auto").select("l_returnflag", *_ITEM_ORDER, "rn")
 
 
 @query("g2_rank", """
@@ -452,7 +452,7 @@ SELECT o_orderkey, o_orderpriority,
        CAST(rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC) AS INT) AS rk FROM orders""")
 def _(t: Tables) -> DataFrame:
     return windows.window(t("orders"), "rank", "rk", partition=["o_orderpriority"], order=["o_orderdate"],
-                          descending=True, bucket=F.trunc("o_orderdate", "month")).select(
+                          descending=True, bucket="auto").select(
         "o_orderkey", "o_orderpriority", "rk")
 
 
@@ -472,7 +472,7 @@ query("g4_lead", _shift_sql("lead"))(lambda t: _shift(t, "lead"))
 
 def _big_shift(t: Tables, fn: str) -> DataFrame:
     return windows.window(t("events"), fn, "other", "value", ["event_type"], ["ts", "event_id"], 3,
-                          bucket=F.date_trunc("day", "ts")).select("event_id", "event_type", "other")
+                          bucket="auto").select("event_id", "event_type", "other")
 
 
 def _big_shift_sql(fn: str) -> str:
@@ -504,9 +504,8 @@ def _(t: Tables) -> DataFrame:
 SELECT event_id, event_type, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 4) AS running,
        max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS highest FROM events""")
 def _(t: Tables) -> DataFrame:
-    day = F.date_trunc("day", "ts")
-    out = windows.window(t("events"), "sum", "running", "value", ["event_type"], ["ts", "event_id"], bucket=day)
-    out = windows.window(out, "max", "highest", "value", ["event_type"], ["ts", "event_id"], bucket=day)
+    out = windows.window(t("events"), "sum", "running", "value", ["event_type"], ["ts", "event_id"], bucket="auto")
+    out = windows.window(out, "max", "highest", "value", ["event_type"], ["ts", "event_id"], bucket=F.date_trunc("day", "ts"))
     return out.select("event_id", "event_type", F.round("running", 4).alias("running"), "highest")
 
 

@@ -109,6 +109,25 @@ def test_split_windows(series, fn, descending):
                                bucket=F.floor(F.col("t") / width))
         rounded = lambda df: rows(df.select("id", F.round("w", 6).alias("w")))
         assert rounded(split) == rounded(plain)
+    by_data = windows.window(series, fn, "w", column, ["k"], order, 3, descending, bucket="auto")
+    assert by_data.columns == [*series.columns, "w"]
+    assert rounded(by_data) == rounded(windows.window(series, fn, "w", column, ["k"], order, 3, descending))
+    # Without a partition the data always splits it.
+    whole = series.withColumn("one", F.lit(1))
+    assert rounded(windows.window(series, fn, "w", column, [], order, 2, descending)) == rounded(
+        windows.window(whole, fn, "w", column, ["one"], order, 2, descending))
+
+
+def test_a_lag_over_split_windows_scans_its_table_twice(spark, sf):
+    from sluice.queries import QUERIES
+
+    plan = QUERIES["g3_lag_big_groups"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 2
+
+
+def test_unsplit_windows_over_everything_warn(series):
+    with pytest.warns(UserWarning, match="one task"):
+        windows.window(series, "avg", "w", "v", [], ["t", "id"])
 
 
 def test_partition_total(series):
