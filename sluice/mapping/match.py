@@ -167,6 +167,13 @@ def truncates() -> Column:
             & (s("max_length") > t("max_length")))
 
 
+# The texts of changes and issues.
+CONVERT, TRUNCATE = "Convert %s to %s", "Truncate string from %d to %d characters"
+HANDLE_NULLS = "Handle NULL values in %s (target doesn't allow NULLs)"
+UNMAPPED, REQUIRED = "Unmapped source columns: ", "Required target columns without mapping: "
+NO_KEY, LOSSY = "Source primary key columns are not mapped", "Potential data loss in %d transformations"
+
+
 def changes(mapped: DataFrame) -> DataFrame:
     """The changes each matched column needs: type_conversion, string_truncation, null_handling."""
     s, t = (lambda n: F.col(f"s.{n}")), (lambda n: F.col(f"t.{n}"))
@@ -176,13 +183,13 @@ def changes(mapped: DataFrame) -> DataFrame:
 
     found = F.array_compact(F.array(
         F.when(s("data_type") != t("data_type"), change(
-            "type_conversion", F.format_string("Convert %s to %s", s("data_type"), t("data_type")))),
+            "type_conversion", F.format_string(CONVERT, s("data_type"), t("data_type")))),
         F.when(truncates(), change(
             "string_truncation",
-            F.format_string("Truncate string from %d to %d characters", s("max_length"), t("max_length")))),
+            F.format_string(TRUNCATE, s("max_length"), t("max_length")))),
         F.when(s("nullable") & ~t("nullable"), change(
             "null_handling",
-            F.format_string("Handle NULL values in %s (target doesn't allow NULLs)", s("column_name")))),
+            F.format_string(HANDLE_NULLS, s("column_name")))),
     ))
     return mapped.select(
         *PAIR, F.col("s.column_name").alias("source_column"), F.col("t.column_name").alias("target_column"),
@@ -221,11 +228,11 @@ def issues(catalog: DataFrame, pairs: DataFrame, mapped: DataFrame) -> DataFrame
     unmapped = F.filter("_s", lambda c: ~taken(c, F.col("_s_used")))
     required = F.filter("_t", lambda c: ~c.nullable & ~taken(c, F.col("_t_used")))
     return every.select(*PAIR, F.explode(F.array_compact(F.array(
-        F.when(F.size(unmapped) > 0, F.concat(F.lit("Unmapped source columns: "), names(unmapped))),
-        F.when(F.size(required) > 0, F.concat(F.lit("Required target columns without mapping: "), names(required))),
+        F.when(F.size(unmapped) > 0, F.concat(F.lit(UNMAPPED), names(unmapped))),
+        F.when(F.size(required) > 0, F.concat(F.lit(REQUIRED), names(required))),
         F.when(F.exists("_s", lambda c: c.is_primary_key) & ~F.coalesce("_key_mapped", F.lit(False)),
-               F.lit("Source primary key columns are not mapped")),
-        F.when(F.col("_lossy") > 0, F.format_string("Potential data loss in %d transformations", "_lossy")),
+               F.lit(NO_KEY)),
+        F.when(F.col("_lossy") > 0, F.format_string(LOSSY, "_lossy")),
     ))).alias("issue"))
 
 

@@ -187,26 +187,30 @@ def alerts_report(alerts: DataFrame, as_of: datetime, minutes: float) -> DataFra
         .alias("monitoring_health"))
 
 
+# The sentences of the monitoring advice.
+MANY_ALERTS = "High alert volume detected. Consider reviewing alert thresholds to reduce noise."
+CRITICAL_ALERTS = "You have %d critical alerts that need immediate attention."
+UNSTEADY = "Metric '%s' shows high variability. Consider investigating the cause."
+BUSY_CPU = "High average CPU usage detected. Consider scaling resources or optimizing processes."
+FULL_MEMORY = "High average memory usage detected. Consider increasing memory allocation or optimizing memory usage."
+ALL_CALM = "System monitoring looks healthy. Continue regular monitoring."
+
+
 def recommendations(metric_report: DataFrame, alert_report: DataFrame) -> DataFrame:
     """One row per piece of advice over the two reports; one reassuring row when there is none."""
     alerts = alert_report.select(F.explode(F.array_compact(F.array(
-        F.when(F.col("total_alerts") > 50,
-               "High alert volume detected. Consider reviewing alert thresholds to reduce noise."),
-        F.when(F.col("critical_alerts") > 0, F.format_string(
-            "You have %d critical alerts that need immediate attention.", "critical_alerts")),
+        F.when(F.col("total_alerts") > 50, MANY_ALERTS),
+        F.when(F.col("critical_alerts") > 0, F.format_string(CRITICAL_ALERTS, "critical_alerts")),
     ))).alias("recommendation"))
     busy = lambda name: (F.col("metric_name") == name) & (F.col("average") > 0.8)
     metrics = metric_report.select(F.explode(F.array_compact(F.array(
-        F.when(F.col("std_dev") > F.col("average"), F.format_string(
-            "Metric '%s' shows high variability. Consider investigating the cause.", "metric_name")),
-        F.when(busy("cpu_usage"),
-               "High average CPU usage detected. Consider scaling resources or optimizing processes."),
-        F.when(busy("memory_usage"), "High average memory usage detected. Consider increasing memory "
-                                     "allocation or optimizing memory usage."),
+        F.when(F.col("std_dev") > F.col("average"), F.format_string(UNSTEADY, "metric_name")),
+        F.when(busy("cpu_usage"), BUSY_CPU),
+        F.when(busy("memory_usage"), FULL_MEMORY),
     ))).alias("recommendation"))
     found = alerts.unionByName(metrics)
     calm = found.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
-        F.lit("System monitoring looks healthy. Continue regular monitoring.").alias("recommendation"))
+        F.lit(ALL_CALM).alias("recommendation"))
     return found.unionByName(calm)
 
 

@@ -47,19 +47,26 @@ def dimension_verdicts(results: DataFrame) -> DataFrame:
     )
 
 
+# The advice for a failed rule by what its id contains, the advice for others, what
+# follows each, and the sentence when nothing failed.
+ADVICE = {
+    "completeness": "Improve data completeness",
+    "uniqueness": "Address duplicate values",
+    "validity": "Fix data format issues",
+}
+OTHER_ADVICE = "Address quality issues"
+ADVICE_END = " for %s (current: %.2f%%)"
+ALL_PASSED = "Data quality looks good! Continue monitoring."
+
+
 def recommendation() -> Column:
     """The advice for a failed rule, worded by what its id contains; null when it passed."""
     def advice(words: str) -> Column:
-        return F.format_string(words + " for %s (current: %.2f%%)", F.col("rule_id"), F.col("score") * 100)
+        return F.format_string(words + ADVICE_END, F.col("rule_id"), F.col("score") * 100)
 
     name = F.lower("rule_id")
-    return F.when(
-        ~F.col("passed"),
-        F.when(name.contains("completeness"), advice("Improve data completeness"))
-        .when(name.contains("uniqueness"), advice("Address duplicate values"))
-        .when(name.contains("validity"), advice("Fix data format issues"))
-        .otherwise(advice("Address quality issues")),
-    )
+    worded = [F.when(name.contains(part), advice(words)) for part, words in ADVICE.items()]
+    return F.when(~F.col("passed"), F.coalesce(*worded, advice(OTHER_ADVICE)))
 
 
 def report(results: DataFrame) -> DataFrame:
@@ -70,7 +77,7 @@ def report(results: DataFrame) -> DataFrame:
         F.count_if("passed").alias("passed_rules"),
         F.count_if(~F.col("passed")).alias("failed_rules"),
         F.coalesce(F.avg("score"), F.lit(0.0)).alias("overall_score"),
-        F.when(F.count_if(~F.col("passed")) == 0, F.array(F.lit("Data quality looks good! Continue monitoring.")))
+        F.when(F.count_if(~F.col("passed")) == 0, F.array(F.lit(ALL_PASSED)))
         .otherwise(advice).alias("recommendations"),
     )
 
