@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.tables import cut
+from sluice.llm.tables import cut, hash_sample
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHARES = ["word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share",
@@ -138,9 +138,7 @@ class IsolationForest:
 def fit(stats: DataFrame) -> list[IsolationForest]:
     """A forest for each of SETS on at most SAMPLE_ROWS of the rows that pass the base rules, picked by hash; none
     without such rows."""
-    columns = [F.col(c) for c in SHARES]
-    picked = (stats.where(~base_failed()).select(*columns, F.xxhash64("key", *COUNTS).alias("h"))
-              .orderBy("h", *columns).limit(SAMPLE_ROWS).drop("h").toPandas())
+    picked = hash_sample(stats.where(~base_failed()), ["key", *COUNTS, *SHARES], SAMPLE_ROWS).select(*SHARES).toPandas()
     return [IsolationForest(picked[names].to_numpy(dtype=float)) for names in SETS] if len(picked) else []
 
 

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.tables import whole_row
+from sluice.llm.tables import cut, hash_sample, whole_row
 
 DICTIONARY_WORDS = 2048  # most frequent words of the corpus, the dictionary and the source of the transition model
 TRAIN_ROWS = 20_000      # labelled findings the forest is fitted on, picked by hash
@@ -53,8 +53,10 @@ def corpus_words(df: DataFrame, text: str) -> Words:
     Counts are combined before the shuffle; what reaches the driver is DICTIONARY_WORDS rows. Ties go by spelling.
     """
     word = F.explode(F.split(F.translate(F.col(text), _UPPER, _LOWER), _SPACE)).alias("word")
-    top = (df.select(word).where(F.col("word").rlike("^[a-z]{2,12}$")).groupBy("word").count()
-           .orderBy(F.desc("count"), "word").limit(DICTIONARY_WORDS).collect())
+    counts = df.select(word).where(F.col("word").rlike("^[a-z]{2,12}$")).groupBy("word").count()
+    # Written first, so that tasks hand their best rows to one another and not to the driver.
+    top = cut(counts.orderBy(F.desc("count"), "word").limit(DICTIONARY_WORDS), "words").collect()
+    top.sort(key=lambda r: (-r["count"], r.word))
     pairs: Counter = Counter()
     for row in top:
         spots = [0] + [ord(c) - 96 for c in row.word] + [0]
@@ -154,8 +156,8 @@ class Forest:
     """A random forest fitted on (features, label) rows; without both labels it lets every candidate pass."""
 
     def __init__(self, labelled: DataFrame) -> None:
-        sample = (labelled.select("features", F.col("label").cast("double").alias("label"), F.xxhash64("features").alias("h"))
-                  .orderBy("h", "features", "label").limit(TRAIN_ROWS).coalesce(1))
+        known = cut(labelled.select("features", F.col("label").cast("double").alias("label")), "findings")
+        sample = hash_sample(known, ["features", "label"], TRAIN_ROWS).coalesce(1)
         self.roots = []
         if sample.select("label").distinct().count() > 1:
             vectors = sample.select(array_to_vector("features").alias("features"), "label")

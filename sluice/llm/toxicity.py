@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.tables import cut, whole_row
+from sluice.llm.tables import cut, hash_sample, whole_row
 
 TRAIN_ROWS = 20_000      # labelled documents the scorer is fitted on, picked by hash
 MODEL_FEATURES = 100_000  # words and beginnings of words tried as features
@@ -262,9 +262,9 @@ def fit(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, resto
 
     Conflicting labels of a key: toxic counts. Without toxic or without clean documents every score is the same.
     """
-    picked = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-              .groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic"))
-              .orderBy(F.xxhash64("key"), "key").limit(TRAIN_ROWS))
+    known = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
+             .groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic")))
+    picked = hash_sample(cut(known, "toxic-labels"), ["key"], TRAIN_ROWS)
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sample = cut(texts.join(F.broadcast(picked), "key").select("text", "toxic"), "toxic-sample")
     sizes = {r.toxic: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.components import components
-from sluice.llm.tables import cut
+from sluice.llm.tables import cut, hash_sample
 
 COSINE = 0.9
 LEADING = 12          # principal dimensions in grid cells and boxes
@@ -58,7 +58,7 @@ def _prepared(df: DataFrame, key: str, vector: str) -> DataFrame:
 def _principal(distinct: DataFrame) -> dict[int, np.ndarray]:
     """Leading principal dimensions by length of vector, from a sample of at most FIT_ROWS; longer ones stay as they are
     where the sample has fewer than two vectors of a length."""
-    sample = distinct.orderBy(F.xxhash64("digest"), "digest").limit(FIT_ROWS).select("dim", "vec").toPandas()
+    sample = hash_sample(distinct, ["digest"], FIT_ROWS).select("dim", "vec").toPandas()
     out = {}
     for dim, own in sample.groupby("dim"):
         if len(own) > 1:
