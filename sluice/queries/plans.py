@@ -9,8 +9,8 @@ from sluice.plans.requests import (
     COLUMN_PATTERNS, CONDITION_PATTERNS, OPERATION_PATTERNS, SOURCE_PATTERNS, TIME_WORDS, count_by_complexity,
     count_by_kind, tag_requests,
 )
-from sluice.plans.spec import run_spec
-from sluice.plans.steps import chain, run_file_spec, run_graph, run_steps
+from sluice.plans.spec import check_spec, run_spec
+from sluice.plans.steps import chain, run_file_spec, run_graph, run_steps, run_task
 from sluice.queries.registry import Tables, query
 from sluice.session import scratch_path
 
@@ -172,3 +172,39 @@ def _(t: Tables) -> DataFrame:
 SELECT complexity, kind, count(*) AS requests FROM kinds GROUP BY complexity, kind""")
 def _(t: Tables) -> DataFrame:
     return count_by_kind(tag_requests(_requests(t), "text"))
+
+
+_CHECKED = [
+    {"type": "filter", "config": {"condition": "o_totalprice > 100000"}},
+    {"type": "select", "source_columns": ["o_orderkey", "o_totalprice"]},
+    {"type": "select", "source_columns": ["o_orderpriority"]},  # no longer there
+]
+
+
+@query("j13_check_spec", """
+SELECT * FROM (SELECT 0 AS position, true AS ok, count(*) AS rows FROM orders WHERE o_totalprice > 100000
+  UNION ALL SELECT 1, true, count(*) FROM orders WHERE o_totalprice > 100000 UNION ALL SELECT 2, false, NULL)""")
+def _(t: Tables) -> DataFrame:
+    """Which operations of a list resolve, and how many rows those leave."""
+    report = check_spec(t("orders"), _CHECKED)
+    found = t.spark.createDataFrame([(r["position"], r["ok"]) for r in report], "position int, ok boolean")
+    counts = None
+    for r in report:
+        if r["ok"]:
+            one = run_spec(t("orders"), _CHECKED[:r["position"] + 1]).agg(
+                F.lit(r["position"]).alias("position"), F.count(F.lit(1)).alias("rows"))
+            counts = one if counts is None else counts.union(one)
+    return found.join(counts, "position", "left")
+
+
+@query("l5_task_result", """
+SELECT 'sql_query' AS step, true AS success, count(*) AS rows FROM (SELECT o_custkey FROM orders GROUP BY o_custkey)
+UNION ALL SELECT 'data_load', true, count(*) FROM customer""")
+def _(t: Tables) -> DataFrame:
+    tasks = [{"type": "sql_query", "data": {"query": "SELECT o_custkey FROM {o} GROUP BY o_custkey", "tables": {"o": t("orders")}}},
+             {"type": "data_load", "data": {"source": t.path("customer")}}]
+    parts = []
+    for task in tasks:
+        df, result = run_task(t.spark, task)
+        parts.append(df.agg(F.lit(result.step).alias("step"), F.lit(result.success).alias("success"), F.count(F.lit(1)).alias("rows")))
+    return parts[0].union(parts[1])
