@@ -30,11 +30,14 @@ SMOOTHING = 1.0          # powers below 1 flatten the distribution of segmentati
 SEED = 11
 TEXT_BLOCK = 1 << 19     # characters of text worked on at a time
 LEARN_BLOCK = 1 << 16    # characters of new chunks whose lattices are made at a time
-CACHED_EDGES = 3_000_000  # edges of lattices a task remembers before it starts afresh
+CACHED_EDGES = 5_000_000  # edges of lattices a task remembers before it starts afresh
 
-FAINT = 60.0
+FAINT = 40.0             # below exp(-40) a probability is less than the last digit of 1
+DRAWN = 256              # random numbers made for each text at once
 
 _SPACE = "▁"
+_CHUNK = re.compile(f"{_SPACE}+[^{_SPACE}]*")
+_SLOTS = 1 << 20
 _SHIFT = np.uint64(11)
 
 
@@ -84,9 +87,9 @@ def _uniform(keys: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     return ((_mix(keys + counted) >> _SHIFT).astype(np.float64) + 0.5) / 2.0 ** 53
 
 
-def _rolled(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Hashes of strings that are one sign longer."""
-    return _mix(hashes + codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """Where a step of the trie is first looked for."""
+    return (keys * 0x9E3779B97F4A7C1 >> 20) % _SLOTS
 
 
 def _below(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
@@ -99,26 +102,30 @@ class Lattices:
     """Lattices of chunks of text, node after node in flat arrays, remembered by chunk.
 
     A chunk has a node for each sign and one for its end. Edges of a node go from the longest piece to the shortest; `sure` is the log
-    probability of an edge among those of its node, summed over all ways to go on, `rest` that of the others together, and
-    `upto` the running sum of probabilities.
+    probability of an edge among those of its node, summed over all ways to go on, and `upto` the running sum of
+    probabilities.
     """
 
     def __init__(self, vocabulary: Vocabulary, smoothing: float) -> None:
         self.vocabulary, self.smoothing = vocabulary, smoothing
-        inside = "".join(sorted({c for p in vocabulary.pieces if len(p) > 1 for c in p} - {_SPACE}))
-        kind = f"[{re.escape(inside)}]"
-        self.chunked = re.compile(f"{_SPACE}+{kind}*|{kind}+|.", re.S)
-        # For each length, the hashes of all beginnings of pieces in order, and the piece that ends there or -1.
-        begun = {p[:n]: -1 for p in vocabulary.pieces for n in range(1, len(p) + 1)} | vocabulary.pieces
-        self.begun = []
-        for n in range(1, max(map(len, begun)) + 1):
-            own = [(p, i) for p, i in begun.items() if len(p) == n]
-            codes = np.frombuffer("".join(p for p, _ in own).encode("utf-32-le"), np.uint32).reshape(-1, n)
-            hashes = np.zeros(len(own), np.uint64)
-            for column in codes.T:
-                hashes = _rolled(hashes, column)
-            order = np.argsort(hashes)
-            self.begun.append((hashes[order], np.array([i for _, i in own], np.int64)[order]))
+        # A trie of the pieces: every beginning of a piece is a state, 0 the empty one.
+        states = {"": 0}
+        for piece in vocabulary.pieces:
+            for n in range(1, len(piece) + 1):
+                states.setdefault(piece[:n], len(states))
+        self.longest = max(map(len, vocabulary.pieces))
+        self.ends = np.array([vocabulary.pieces.get(p, -1) for p in states], np.int64)
+        steps = [(states[p[:-1]], ord(p[-1]), i) for p, i in states.items() if p]
+        begin, sign, child = (np.array(x, np.int64) for x in zip(*steps))
+        self.step_keys, self.step_child = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, np.int64)
+        keys = begin << 21 | sign
+        slots = _slot(keys)
+        while len(keys):  # one step a slot; the others go to the next one
+            _, first = np.unique(slots, return_index=True)
+            first = first[self.step_keys[slots[first]] < 0]
+            self.step_keys[slots[first]], self.step_child[slots[first]] = keys[first], child[first]
+            keys, child, slots = (np.delete(x, first) for x in (keys, child, slots))
+            slots = (slots + 1) % _SLOTS
         self.log_p = np.full(max(vocabulary.log_p) + 1, -np.inf)
         for i, x in vocabulary.log_p.items():
             self.log_p[i] = x
@@ -130,7 +137,7 @@ class Lattices:
         self.fallback = np.empty((0, 4), np.int32)  # byte pieces, -1 behind the last
         self.nodes = self.edges = 0  # of the arrays below, which have room for more
         self.first, self.source, self.target, self.piece = (np.empty(0, np.int32) for _ in range(4))
-        self.sure, self.rest, self.upto = (np.empty(0) for _ in range(3))
+        self.sure, self.upto = np.empty(0), np.empty(0)
 
     def _put(self, name: str, at: int, part: np.ndarray) -> None:
         """Append to one of the arrays, whose room is doubled where it ends."""
@@ -141,19 +148,37 @@ class Lattices:
         own[at:at + len(part)] = part
 
     def split(self, text: str) -> list[str]:
-        """Chunks that no piece crosses; an empty text has none."""
-        return self.chunked.findall(_SPACE + text.replace(" ", _SPACE)) if text else []
+        """Chunks that no piece crosses, each without the space it begins with; an empty text has none."""
+        if not text:
+            return []
+        if "  " not in text and _SPACE not in text and text[0] != " ":
+            return text.split(" ")
+        return [c[1:] for c in _CHUNK.findall(_SPACE + text.replace(" ", _SPACE))]
+
+    def _follow(self, states: np.ndarray, signs: np.ndarray) -> np.ndarray:
+        """The states one sign further, or -1."""
+        keys = states << 21 | signs
+        slots, out = _slot(keys), np.full(len(keys), -1, np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            held = self.step_keys[slots]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.step_child[slots[hit]]
+            on = ~hit & (held >= 0)
+            open_, slots = open_[on], (slots[on] + 1) % _SLOTS
+        return out
 
     def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
         """(node, length, piece, log weight) of all pieces that start at nodes with `left` signs to the end of their chunk;
         a sign without a piece becomes its bytes."""
-        found, at, hashes = [], np.flatnonzero(left > 0), np.zeros(len(codes), np.uint64)
-        for n, (known, numbers) in enumerate(self.begun, 1):
-            at = at[left[at] >= n]
-            hashes[at] = own = _rolled(hashes[at], codes[at + n - 1])
-            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            hit = known[place] == own
-            at, piece = at[hit], numbers[place[hit]]
+        found, at = [], np.flatnonzero(left > 0)
+        states = np.zeros(len(at), np.int64)
+        for n in range(1, self.longest + 1):
+            on = left[at] >= n
+            at, states = at[on], states[on]
+            states = self._follow(states, codes[at + n - 1])
+            at, states = at[states >= 0], states[states >= 0]
+            piece = self.ends[states]
             whole = piece >= 0
             found.append((at[whole], np.full(int(whole.sum()), n), piece[whole]))
         node, length, piece = (np.concatenate(x) for x in zip(*found[::-1]))  # longest first
@@ -186,11 +211,13 @@ class Lattices:
             new = new[count:]
 
     def _learn(self, new: list[str]) -> None:
-        codes = np.frombuffer("\0".join([*new, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum([len(c) + 1 for c in new]) - 1  # the end nodes
+        whole = "".join(f"{_SPACE}{c}\0" for c in new)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array([len(c) + 2 for c in new])
+        ends = np.cumsum(sizes) - 1  # the end nodes
         left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(codes))
         base, edges = self.nodes, self.edges
-        self.chunks.update(zip(new, (base + ends - [len(c) for c in new]).tolist()))
+        self.chunks.update(zip(new, (base + ends + 1 - sizes).tolist()))
         node, length, piece, weight = self._edges(codes, left)
         # Log of the summed weights of all ways from a node to the end of its chunk, from the end backwards.
         order = np.argsort(node.astype(np.uint32), kind="stable")
@@ -211,21 +238,12 @@ class Lattices:
         sure = np.minimum(0.0, weight + total[to] - total[node])
         odds = np.exp(sure)
         first = np.searchsorted(node, np.arange(len(codes)))
-        # The others' mass: of the likeliest edge it is their sum, as a difference would lose what is small.
-        likeliest = odds == np.repeat(np.maximum.reduceat(odds, starts), sizes)
-        others = np.where(likeliest, np.repeat(np.add.reduceat(np.where(likeliest, 0.0, odds), starts), sizes),
-                          np.repeat(np.add.reduceat(odds, starts), sizes) - odds)
-        several = np.repeat(np.add.reduceat(likeliest.astype(np.int64), starts), sizes)
-        others = np.where(likeliest, others + (several - 1) * odds, others)
         run = np.cumsum(odds)
         upto = run - np.repeat(run[starts] - odds[starts], sizes)
         upto[starts + sizes - 1] = 2.0
-        with np.errstate(divide="ignore"):
-            rest = np.where(np.repeat(sizes, sizes) > 1, np.log(np.maximum(others, 0.0)), -np.inf)
         target = np.where(left[to] > 0, to + base, -1)
         self._put("first", base, first + edges)
-        for name, part in (("source", node + base), ("target", target), ("piece", piece), ("sure", sure), ("rest", rest),
-                           ("upto", upto)):
+        for name, part in (("source", node + base), ("target", target), ("piece", piece), ("sure", sure), ("upto", upto)):
             self._put(name, edges, part)
         self.nodes, self.edges = base + len(codes), edges + len(node)
 
@@ -249,6 +267,14 @@ class Lattices:
         order = np.argsort(walkers, kind="stable")
         return walkers[order], edges[order]
 
+    def rest(self, path: np.ndarray) -> np.ndarray:
+        """Log probabilities of the other edges of each edge's node together; minus infinity where there are none."""
+        nodes = self.source[path]
+        with np.errstate(divide="ignore"):
+            rest = np.log(-np.expm1(self.sure[path]))
+        rest[self.first[nodes + 1] - self.first[nodes] == 1] = -np.inf
+        return rest
+
     def others(self, edge: int, out: frozenset[int]) -> list[int]:
         """Edges of the same node, without those that are ruled out."""
         node = self.source[edge]
@@ -272,17 +298,18 @@ class Lattices:
 class _Search:
     """The best-first search in the segmentations of one text."""
 
-    def __init__(self, lattices: Lattices, nodes: np.ndarray, key: np.ndarray, wanted: int) -> None:
-        self.lattices, self.nodes, self.key, self.wanted = lattices, nodes, key, wanted
+    def __init__(self, lattices: Lattices, nodes: np.ndarray, key: np.ndarray, drawn: np.ndarray, wanted: int) -> None:
+        self.lattices, self.nodes, self.key, self.ready, self.wanted = lattices, nodes, key, drawn, wanted
         self.open: list[tuple] = []    # (maximum, path, place of the first free piece, pieces ruled out there, log p before)
         self.done: list[tuple] = []    # (maximum, path, log p)
         self.drawn = 0
 
     def _numbers(self, n: int) -> np.ndarray:
         """The next n uniform numbers of this text."""
-        out = _uniform(np.repeat(self.key, n), np.arange(self.drawn, self.drawn + n))
-        self.drawn += n
-        return out
+        start, self.drawn = self.drawn, self.drawn + n
+        if self.drawn <= len(self.ready):
+            return self.ready[start:self.drawn]
+        return _uniform(np.repeat(self.key, n), np.arange(start, self.drawn))
 
     def begin(self) -> float:
         """The maximum over all segmentations."""
@@ -295,7 +322,7 @@ class _Search:
         # Places from where on all sets together have less than exp(-FAINT) of the mass are beyond what a double can tell.
         near = int(np.searchsorted(-upto, FAINT - before)) + 1
         ahead = np.concatenate([[before], upto[:near - 1]])[:len(upto)]
-        location = ahead + self.lattices.rest[path[start:start + len(ahead)]]
+        location = ahead + self.lattices.rest(path[start:start + len(ahead)])
         free = np.flatnonzero(location > -np.inf)
         tops = _below(location[free], maximum, self._numbers(len(free)))
         best = np.argpartition(-tops, self.wanted)[:self.wanted] if len(tops) > self.wanted else np.arange(len(tops))
@@ -313,11 +340,14 @@ class _Search:
             return None
         top, path, place, out, before = self.open.pop(0)
         left = self.lattices.others(int(path[place]), out)
-        odds = np.exp(self.lattices.sure[left])
-        u_edge, u_rest = self._numbers(2)
-        pick = int(min(np.searchsorted(np.cumsum(odds), u_edge * odds.sum(), side="right"), len(left) - 1))
-        chosen, others = left[pick], float(odds.sum() - odds[pick])
-        if len(left) > 1 and others > 0:
+        odds = [math.exp(x) for x in self.lattices.sure[left].tolist()]
+        u_edge, u_rest = self._numbers(2).tolist()
+        pick, u_edge = 0, u_edge * sum(odds)
+        while pick < len(left) - 1 and u_edge >= odds[pick]:
+            u_edge -= odds[pick]
+            pick += 1
+        chosen, others = left[pick], sum(odds[:pick] + odds[pick + 1:])
+        if others > 0:
             rest = _below(np.array([before + math.log(others)]), top, np.array([u_rest]))
             self._hold([(float(rest[0]), path, place, out | {chosen}, before)])
         return top, np.append(path[:place], chosen), place + 1, before + float(self.lattices.sure[chosen])
@@ -339,11 +369,11 @@ def segmentations(lattices: Lattices, texts: list[str], keys: list[str], wanted:
     if lattices.edges > CACHED_EDGES:
         lattices.clear()
     lattices.learn({c for chunks in split for c in chunks})
-    searches = []
-    for chunks, key in zip(split, keys):
-        nodes = np.array([lattices.chunks[c] for c in chunks], dtype=np.int64)
-        hashed = np.array([xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), seed)], dtype=np.uint64)
-        searches.append(_Search(lattices, nodes, hashed, wanted))
+    hashed = np.array([xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), seed) for key in keys], dtype=np.uint64)
+    drawn = _uniform(hashed[:, None], np.arange(DRAWN)) if keys else []
+    place = lattices.chunks.__getitem__
+    searches = [_Search(lattices, np.fromiter(map(place, chunks), np.int64, len(chunks)), hashed[i:i + 1], drawn[i], wanted)
+                for i, chunks in enumerate(split)]
     turns = [(s, s.begin(), np.empty(0, np.int64), 0, 0.0) for s in searches]
     turn = 0
     while turns:
