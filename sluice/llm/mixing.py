@@ -7,7 +7,7 @@ proportion to the weight of its cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.tables import broadcast_if_small, cut, whole_row
@@ -15,6 +15,7 @@ from sluice.llm.tables import broadcast_if_small, cut, whole_row
 TEMPER = 0.85     # a marginal without given shares aims at observed shares to this power
 TOLERANCE = 1e-9
 MAX_ROUNDS = 200
+ROUNDS = 5        # between two looks at how far the weights still move
 SEED = "mix-1"
 MARGINS = ["source", "lang", "topic"]
 _NULL = "\u0001null"  # a category of its own
@@ -64,24 +65,26 @@ def _targets(cells: DataFrame, margin: str, given: dict[str, float] | None) -> D
 def rake(cells: DataFrame, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Cells (source, lang, topic, tokens) with `weight`, so weighted tokens meet the targets of every marginal.
 
-    Weights start at 1, and a weighted total stays the total of tokens. Sums are taken by aggregation and joined back, so
-    neither many categories nor one that holds most cells meets in one task. A round is written before the next. Ends when
-    no factor of a round is further than TOLERANCE from 1; targets that contradict each other (a language that occurs in
-    one source only, say) do not get there, and the weights after MAX_ROUNDS stand.
+    Weights start at 1, and a weighted total stays the total of tokens. A round takes one shuffle of the cells for each
+    marginal; a window holds the cells of one category, not its documents. ROUNDS rounds are written at a time. Ends when no
+    factor of a round is further than TOLERANCE from 1; targets that contradict each other (a language that occurs in one
+    source only, say) do not get there, and the weights after MAX_ROUNDS stand.
     """
-    targets = {m: cut(_targets(cells, m, (given or {}).get(m)), "targets") for m in MARGINS}
     total = F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("all")))
-    state = cells.select(*MARGINS, "tokens", F.lit(1.0).alias("weight"), F.lit(0.0).alias("off"))
-    for _ in range(MAX_ROUNDS):
-        state = state.withColumn("off", F.lit(0.0))
-        for m in MARGINS:
-            now = state.groupBy(m).agg(F.sum(F.col("weight") * F.col("tokens")).alias("now"))
-            factor = now.where("now > 0").join(targets[m], m).crossJoin(total).select(
-                m, (F.col("target") * F.col("all") / F.col("now")).alias("factor"))
-            scale = F.coalesce("factor", F.lit(1.0))
-            state = state.join(factor, m, "left").select(
-                *MARGINS, "tokens", (F.col("weight") * scale).alias("weight"),
-                F.greatest("off", F.abs(scale - 1)).alias("off"))
+    state = cells.select(*MARGINS, "tokens")
+    for m in MARGINS:
+        share = cut(_targets(cells, m, (given or {}).get(m)), "targets").withColumnRenamed("target", f"{m}_share")
+        state = state.join(broadcast_if_small(share), m, "left")
+    aims = [(F.col(f"{m}_share") * F.col("all")).alias(f"{m}_aim") for m in MARGINS]
+    state = cut(state.crossJoin(total).select(*MARGINS, "tokens", *aims, F.lit(1.0).alias("weight"), F.lit(0.0).alias("off")), "raked")
+    for _ in range(0, MAX_ROUNDS, ROUNDS):
+        for _ in range(ROUNDS):
+            state = state.withColumn("off", F.lit(0.0))
+            for m in MARGINS:
+                now = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(m))
+                state = state.withColumn("now", now)
+                scale = F.when(F.col("now") > 0, F.coalesce(F.col(f"{m}_aim") / F.col("now"), F.lit(1.0))).otherwise(1.0)
+                state = state.withColumns({"weight": F.col("weight") * scale, "off": F.greatest("off", F.abs(scale - 1))}).drop("now")
         state = cut(state, "raked")
         off = state.agg(F.max("off")).first()[0]
         if off is None or off <= TOLERANCE:
