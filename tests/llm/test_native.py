@@ -154,3 +154,13 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0), "text", licenses.known_digests(spark)).count() == 0
     none = licenses.known_digests(spark).limit(0)
     assert licenses.scan(df, "text", none).where("license_id IS NOT NULL").count() == 0
+
+
+def test_hash_sample(spark):
+    from sluice.llm.tables import hash_sample
+
+    df = spark.range(50_000)
+    got = hash_sample(df, ["id"], 300)
+    assert got.count() == 300 and got.columns == ["id"]
+    assert sorted(got.collect()) == sorted(hash_sample(df.repartition(7), ["id"], 300).collect())
+    assert hash_sample(df.limit(5), ["id"], 300).count() == 5 and hash_sample(df.limit(0), ["id"], 300).count() == 0
