@@ -33,7 +33,7 @@ LEARN_BLOCK = 1 << 16    # characters of new chunks whose lattices are made at a
 CACHED_EDGES = 5_000_000  # edges of lattices a task remembers before it starts afresh
 
 FAINT = 40.0             # below exp(-40) a probability is less than the last digit of 1
-DRAWN = 256              # random numbers made for each text at once
+DRAWN = 64               # random numbers made for each text at once
 
 _SPACE = "▁"
 _CHUNK = re.compile(f"{_SPACE}+[^{_SPACE}]*")
@@ -65,12 +65,12 @@ class Vocabulary:
         total = math.log(sum(1 / (r + 1) for r in range(len(weights))))
         return cls(pieces, {i: -math.log(r + 1) - total for r, i in enumerate(weights)}, first)
 
-    def texts(self) -> list[bytes]:
+    def texts(self) -> np.ndarray:
         """The bytes of every piece, by number."""
-        out = [b""] * (max(self.log_p) + 1)
+        out = np.full(max(self.log_p) + 1, b"", dtype=object)
         for piece, i in self.pieces.items():
             out[i] = piece.replace(_SPACE, " ").encode()
-        out[self.bytes_from:self.bytes_from + 256] = (bytes([b]) for b in range(256))
+        out[self.bytes_from:self.bytes_from + 256] = [bytes([b]) for b in range(256)]
         return out
 
 
@@ -92,7 +92,7 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys * 0x9E3779B97F4A7C1 >> 20) % _SLOTS
 
 
-def _below(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def _below(location: np.ndarray, bound: float | np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel numbers at these locations, cut off at a bound; minus infinity at location minus infinity."""
     with np.errstate(divide="ignore"):
         return -np.logaddexp(-bound, -location + np.log(-np.log(u)))
@@ -129,15 +129,15 @@ class Lattices:
         self.log_p = np.full(max(vocabulary.log_p) + 1, -np.inf)
         for i, x in vocabulary.log_p.items():
             self.log_p[i] = x
+        self.first, self.source, self.target, self.piece = (np.empty(0, np.int32) for _ in range(4))
+        self.sure, self.upto = np.empty(0), np.empty(0)
         self.clear()
 
     def clear(self) -> None:
         self.chunks: dict[str, int] = {}
         self.spelled: dict[int, int] = {}  # sign without a piece -> place in `fallback`
         self.fallback = np.empty((0, 4), np.int32)  # byte pieces, -1 behind the last
-        self.nodes = self.edges = 0  # of the arrays below, which have room for more
-        self.first, self.source, self.target, self.piece = (np.empty(0, np.int32) for _ in range(4))
-        self.sure, self.upto = np.empty(0), np.empty(0)
+        self.nodes = self.edges = 0  # of the arrays, which have room for more and are used again
 
     def _put(self, name: str, at: int, part: np.ndarray) -> None:
         """Append to one of the arrays, whose room is doubled where it ends."""
@@ -315,19 +315,10 @@ class _Search:
         """The maximum over all segmentations."""
         return float(-np.log(-np.log(self._numbers(1)[0])))
 
-    def accept(self, maximum: float, path: np.ndarray, start: int, before: float) -> None:
-        """Emit a path, and split off what it left aside from place `start` on."""
-        upto = before + np.cumsum(self.lattices.sure[path[start:]])
-        self.done.append((maximum, path, float(upto[-1]) if len(upto) else before))
-        # Places from where on all sets together have less than exp(-FAINT) of the mass are beyond what a double can tell.
-        near = int(np.searchsorted(-upto, FAINT - before)) + 1
-        ahead = np.concatenate([[before], upto[:near - 1]])[:len(upto)]
-        location = ahead + self.lattices.rest(path[start:start + len(ahead)])
-        free = np.flatnonzero(location > -np.inf)
-        tops = _below(location[free], maximum, self._numbers(len(free)))
-        best = np.argpartition(-tops, self.wanted)[:self.wanted] if len(tops) > self.wanted else np.arange(len(tops))
-        self._hold((float(tops[i]), path, start + at, frozenset([int(path[start + at])]), float(ahead[at]))
-                   for i, at in zip(best.tolist(), free[best].tolist()))
+    def accept(self, maximum: float, path: np.ndarray, log_p: float, aside: list[tuple[float, int, float]]) -> None:
+        """Emit a path, and hold the sets it left aside: (maximum, place of the free piece, log p before it)."""
+        self.done.append((maximum, path, log_p))
+        self._hold((top, path, place, frozenset([int(path[place])]), ahead) for top, place, ahead in aside)
 
     def _hold(self, entries) -> None:
         self.open += [e for e in entries if e[0] > -math.inf]
@@ -360,6 +351,36 @@ class _Search:
                 for top, path, p in self.done]
 
 
+def _left_aside(lattices: Lattices, edges: np.ndarray, ends: np.ndarray, turns: list[tuple], turn: int, wanted: int
+                ) -> tuple[list[list[tuple[float, int, float]]], list[float]]:
+    """For the walks of all texts at once: the best sets that each left aside, and the log probability of its path.
+
+    Places before which a path has less than exp(-FAINT) of the mass of its set are beyond what a double can tell.
+    """
+    counts = np.diff(ends, prepend=0)
+    owner = np.repeat(np.arange(len(turns)), counts)
+    begun = np.array([t[4] for t in turns])
+    sure = lattices.sure[edges]
+    run = np.concatenate([[0.0], np.cumsum(sure)])
+    first = ends - counts
+    upto = run[1:] - run[first][owner] + begun[owner]
+    ahead = upto - sure
+    log_p = (run[ends] - run[first] + begun).tolist()
+    near = np.flatnonzero(ahead >= begun[owner] - FAINT)
+    location = ahead[near] + lattices.rest(edges[near])
+    near, location = near[location > -np.inf], location[location > -np.inf]
+    own = owner[near]
+    keys, tops = np.concatenate([t[0].key for t in turns]), np.array([t[1] for t in turns])
+    within = near - first[own]
+    maxima = _below(location, tops[own], _uniform(keys[own], within + ((turn + 1) << 32)))
+    order = np.lexsort((-maxima, own))
+    rank = np.arange(len(order)) - np.searchsorted(own, own[order])
+    aside: list[list[tuple[float, int, float]]] = [[] for _ in turns]
+    for i in order[rank < wanted].tolist():
+        aside[own[i]].append((float(maxima[i]), turns[own[i]][3] + int(within[i]), float(ahead[near[i]])))
+    return aside, log_p
+
+
 def segmentations(lattices: Lattices, texts: list[str], keys: list[str], wanted: int, seed: int) -> list[list[tuple]]:
     """(pieces, log p, perturbed log p, inclusion) of up to `wanted` segmentations of each text, best first.
 
@@ -389,11 +410,11 @@ def segmentations(lattices: Lattices, texts: list[str], keys: list[str], wanted:
             sizes.append(len(own))
         walkers, edges = lattices.walk(np.concatenate(starts), np.concatenate(walker_keys))
         ends = np.searchsorted(walkers, np.cumsum(sizes))
+        aside, log_p = _left_aside(lattices, edges, ends, turns, turn, wanted)
         again = []
-        for (search, top, path, place, before), piece in zip(turns, np.split(edges, ends[:-1])):
-            whole = np.concatenate([path, piece])
+        for i, ((search, top, path, place, before), piece) in enumerate(zip(turns, np.split(edges, ends[:-1]))):
             # What the fixed beginning left aside is held already; the free piece's own set too.
-            search.accept(top, whole, place, before)
+            search.accept(top, np.concatenate([path, piece]), log_p[i], aside[i])
             following = search.turn()
             if following:
                 again.append((search, *following))
@@ -401,9 +422,9 @@ def segmentations(lattices: Lattices, texts: list[str], keys: list[str], wanted:
     return [[(lattices.numbers(path), p, top, share) for path, p, top, share in s.result()] for s in searches]
 
 
-def decode_pieces(ids: list[int], texts: list[bytes]) -> str:
+def decode_pieces(ids: list[int] | np.ndarray, texts: np.ndarray) -> str:
     """The text of pieces: their bytes, without the space that encoding puts first."""
-    return b"".join(map(texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
+    return b"".join(texts[np.asarray(ids, dtype=np.int64)].tolist()).decode("utf-8", "replace")[1:]
 
 
 def encode(df: DataFrame, key: str, text: str, samples: int = SAMPLES, model: str = MODEL, smoothing: float = SMOOTHING,
@@ -428,7 +449,7 @@ def encode(df: DataFrame, key: str, text: str, samples: int = SAMPLES, model: st
                                   samples, seed)
             rows = [(keys[i], None, None, None, None, None, None) for i, t in enumerate(texts) if t is None]
             for i, ways in zip(places, found):
-                rows += [(keys[i], rank, ids, p, top, share, decode_pieces(ids.tolist(), spelled) == texts[i])
+                rows += [(keys[i], rank, ids, p, top, share, decode_pieces(ids, spelled) == texts[i])
                          for rank, (ids, p, top, share) in enumerate(ways)]
             ids = [r[2] for r in rows]
             ends = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in ids])])
