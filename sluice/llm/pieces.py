@@ -252,7 +252,7 @@ class Lattices:
         walker, step, found = np.arange(len(nodes)), 0, []
         while len(walker):
             u = _uniform(keys[walker], step)
-            edge = self.first[nodes].copy()
+            edge = self.first[nodes]
             over = np.flatnonzero(u >= self.upto[edge])
             while len(over):
                 edge[over] += 1
@@ -496,8 +496,8 @@ def decode(df: DataFrame, ids: str, out: str = "text", model: str = MODEL) -> Da
 
 
 def document_pieces(documents: DataFrame) -> DataFrame:
-    """The sampled segmentations of every document; the pieces of each as number and checksum."""
+    """The sampled segmentations of every document; the pieces of each as number and hash."""
     found = encode(documents.select("doc_id", "text"), "doc_id", "text")
     return found.select(F.col("key").alias("doc_id"), "rank", F.size("ids").alias("n_pieces"),
-                        F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
+                        F.xxhash64("ids").alias("ids_hash"),
                         "log_prob", "perturbed", "inclusion", "restored")
