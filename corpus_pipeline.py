@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sluice.llm import mixing, pieces, secrets, simhash, toxicity
 from sluice.llm.tables import cut
 
+MIX_RATE = 0.5  # share of the tokens that mixing hands on, whatever the cells are
+
 
 def clean(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that are not toxic; the letter model is that of all documents given."""
@@ -30,8 +32,11 @@ def blanked(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics come near their tempered shares."""
-    return mixing.sample(docs, "doc_id", "text")
+    """Documents with MIX_RATE of the tokens, drawn so that sources, languages and topics come near their tempered shares.
+
+    None comes twice, since equal keys and texts would be segmented alike: documents of rare cells are all taken.
+    """
+    return mixing.sample(docs, "doc_id", "text", rate=MIX_RATE, repeat=False)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

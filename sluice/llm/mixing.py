@@ -1,8 +1,8 @@
 """Mixing sources to target weights: raking token weights to source, language and topic marginals, then sampling.
 
 Documents are first added up to cells (source, language, topic). Iterative proportional fitting scales the cells until the
-tokens of every source, language and topic have their target shares, and every document is drawn with a probability in
-proportion to the weight of its cell.
+tokens of every source, language and topic have their target shares, and every document is drawn in proportion to the weight
+of its cell, for a sample of a stated size.
 """
 
 from __future__ import annotations
@@ -92,22 +92,29 @@ def rake(cells: DataFrame, given: dict[str, dict[str, float]] | None = None) ->
     return state.select(*MARGINS, "tokens", "weight")
 
 
+def _weighted(df: DataFrame, key: str, text: str, source: str, lang: str,
+              given: dict[str, dict[str, float]] | None) -> tuple[DataFrame, DataFrame]:
+    """(row, key, tokens, source, lang, topic) for every row, and the raked cells."""
+    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NULL)).alias
+    rows = whole_row(df, F.col(key).alias("key"), tokens_of(F.col(text)).alias("tokens"), label(source)("source"),
+                     label(lang)("lang"), topic_of(F.col(text)).alias("topic"))
+    cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
+    return rows, rake(cells, given)
+
+
 def calibrated(df: DataFrame, key: str, text: str, source: str = "source", lang: str = "lang",
                given: dict[str, dict[str, float]] | None = None, seed: str = SEED) -> DataFrame:
     """(row, key, tokens, source, lang, topic, weight, probability, sampled) for every row; `row` is the whole input row.
 
     The probability is the weight over the largest weight of a cell with tokens, so nothing is drawn twice, no probability
-    is cut off, and the tokens of the sample have the target shares in expectation. A row is sampled if the uniform number
+    is cut off, and the tokens of the rows marked `sampled` have the target shares in expectation; the largest weight, that of
+    a rare cell mostly, sets how many they are. `sample` has a stated size instead. A row is marked if the uniform number
     of its key is below; rows that share a key share the number, and the result is the same in every run. Null sources and
     languages are categories. Rows without tokens count in no marginal; a cell of such rows alone has weight 1, or less
     through its other categories. An empty table gives no rows. Cells are one row per source, language and topic, joined by broadcast
     while their size allows, else by a join whose hot keys Spark splits.
     """
-    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NULL)).alias
-    rows = whole_row(df, F.col(key).alias("key"), tokens_of(F.col(text)).alias("tokens"), label(source)("source"),
-                     label(lang)("lang"), topic_of(F.col(text)).alias("topic"))
-    cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
-    weights = rake(cells, given)
+    rows, weights = _weighted(df, key, text, source, lang, given)
     most = weights.where("tokens > 0").agg(F.max("weight").alias("most"))
     chances = cut(weights.crossJoin(F.broadcast(most)).select(
         *MARGINS, "weight", F.least(F.lit(1.0), F.col("weight") / F.coalesce("most", F.lit(1.0))).alias("probability")), "chances")
@@ -115,9 +122,41 @@ def calibrated(df: DataFrame, key: str, text: str, source: str = "source", lang:
     return out.withColumn("sampled", uniform(F.col("key"), seed) < F.col("probability"))
 
 
-def sample(df: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """The sampled rows of `df`, with its columns."""
-    return calibrated(df, key, text, **options).where("sampled").select("row.*")
+def _filling(weights: DataFrame, rate: float) -> float:
+    """The number c for which the tokens times min(1, c * weight) add up to `rate` of all tokens.
+
+    Every pass but the last takes more cells whole; one row reaches the driver.
+    """
+    c = rate
+    while True:
+        whole = F.col("weight") * c >= 1
+        got = weights.agg(F.sum("tokens").alias("all"), F.sum(F.when(whole, F.col("tokens")).otherwise(0)).alias("whole"),
+                          F.sum(F.when(whole, 0.0).otherwise(F.col("weight") * F.col("tokens"))).alias("rest")).first()
+        more = (rate * got["all"] - got["whole"]) / got["rest"] if got["rest"] else c
+        if more <= c * (1 + 1e-12):
+            return c
+        c = more
+
+
+def sample(df: DataFrame, key: str, text: str, source: str = "source", lang: str = "lang",
+           given: dict[str, dict[str, float]] | None = None, seed: str = SEED, rate: float = 1.0, repeat: bool = True) -> DataFrame:
+    """Rows of `df`, with its columns, that hold `rate` of its tokens in expectation, in the target shares.
+
+    A row of weight w is due rate * w times: it comes floor(rate * w) times, and once more if the uniform number of its key
+    is below the fraction. So a rare cell with a large weight is repeated, and the others keep their rows. Without `repeat`
+    no row comes twice: cells due more than once are taken whole and stay short of their shares, and the others keep their
+    proportions to each other, scaled by one number so that the size is `rate` all the same.
+    """
+    rows, weights = _weighted(df, key, text, source, lang, given)
+    weights = cut(weights, "weights")
+    due = F.col("weight") * rate if repeat else F.when(F.lit(rate >= 1), 1.0).otherwise(
+        F.least(F.lit(1.0), F.col("weight") * (_filling(weights, rate) if rate < 1 else 1.0)))
+    dues = weights.select(*MARGINS, due.alias("due"))
+    times = (F.floor("due") + (uniform(F.col("key"), seed) < F.col("due") - F.floor("due")).cast("long")).cast("int")
+    drawn = rows.join(broadcast_if_small(dues), MARGINS).withColumn("times", times).where("times > 0")
+    if repeat:
+        drawn = drawn.withColumn("time", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return drawn.select("row.*")
 
 
 def document_mix(documents: DataFrame) -> DataFrame:
