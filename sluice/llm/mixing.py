@@ -7,6 +7,8 @@ of its cell, for a sample of a stated size.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,14 @@ from sluice.llm.tables import broadcast_if_small, cut, whole_row
 
 TEMPER = 0.85     # a marginal without given shares aims at observed shares to this power
 TOLERANCE = 1e-9
+CLOSE = 1e-3      # a factor this near to 1 after the last round counts as met
 MAX_ROUNDS = 200
 ROUNDS = 5        # between two looks at how far the weights still move
+STALLED = 4       # looks in which the furthest factor has not halved: it will not get to 1
+LIMIT = 10.0      # bound of a weight's distance from its tempered cell, for given targets that contradict each other
 SEED = "mix-1"
 MARGINS = ["source", "lang", "topic"]
+_log = logging.getLogger(__name__)
 _NULL = "\u0001null"  # a category of its own
 
 _WORD = r"[^ \t\n\x0B\f\r]+"
@@ -67,29 +73,68 @@ def rake(cells: DataFrame, given: dict[str, dict[str, float]] | None = None) ->
 
     Weights start at 1, and a weighted total stays the total of tokens. A round takes one shuffle of the cells for each
     marginal; a window holds the cells of one category, not its documents. ROUNDS rounds are written at a time. Ends when no
-    factor of a round is further than TOLERANCE from 1; targets that contradict each other (a language that occurs in one
-    source only, say) do not get there, and the weights after MAX_ROUNDS stand.
+    factor of a round is further than TOLERANCE from 1, or when the furthest factor has not halved in STALLED looks: targets
+    that contradict each other (a language that occurs in one source only, say) would drive weights to 0 or without bound.
+    Then the cells themselves are tempered, which gives marginals that agree, and raked to the given targets alone. Where
+    those contradict each other too, a weight stays within LIMIT times its tempered cell's, either way. Either is logged;
+    `residuals` shows how far from its target each category is.
     """
-    total = F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("all")))
-    state = cells.select(*MARGINS, "tokens")
-    for m in MARGINS:
-        share = cut(_targets(cells, m, (given or {}).get(m)), "targets").withColumnRenamed("target", f"{m}_share")
-        state = state.join(broadcast_if_small(share), m, "left")
-    aims = [(F.col(f"{m}_share") * F.col("all")).alias(f"{m}_aim") for m in MARGINS]
-    state = cut(state.crossJoin(total).select(*MARGINS, "tokens", *aims, F.lit(1.0).alias("weight"), F.lit(0.0).alias("off")), "raked")
-    for _ in range(0, MAX_ROUNDS, ROUNDS):
+    given = given or {}
+    total = cells.agg(F.sum("tokens").cast("double").alias("all"))
+    flat = cells.select(*MARGINS, "tokens", F.lit(1.0).alias("start"))
+    state, met = _raked(flat, {m: _targets(cells, m, given.get(m)) for m in MARGINS}, total)
+    if not met:
+        _log.warning("targets of sources, languages and topics contradict each other: cells are tempered instead")
+        aim = F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(TEMPER)))
+        aims = cells.agg(F.sum(aim).alias("aims"))
+        tempered = cells.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(aims)).select(
+            *MARGINS, "tokens", F.coalesce(aim / F.col("aims") * F.col("all") / F.col("tokens"), F.lit(1.0)).alias("start"))
+        state, met = _raked(tempered, {m: _targets(cells, m, given[m]) for m in MARGINS if given.get(m)}, total)
+        if not met:
+            _log.warning("given targets contradict each other: weights are kept within %s times those of tempered cells", LIMIT)
+            near = F.least(F.col("start") * LIMIT, F.greatest(F.col("start") / LIMIT, F.col("weight")))
+            state = state.withColumn("weight", near)
+    return state.select(*MARGINS, "tokens", "weight")
+
+
+def _raked(cells: DataFrame, targets: dict[str, DataFrame], total: DataFrame) -> tuple[DataFrame, bool]:
+    """Cells (source, lang, topic, tokens, start, weight), raked from `start` to the targets, and whether these are met."""
+    state = cells
+    for m, target in targets.items():
+        state = state.join(broadcast_if_small(cut(target, "targets").withColumnRenamed("target", f"{m}_share")), m, "left")
+    aims = [(F.col(f"{m}_share") * F.col("all")).alias(f"{m}_aim") for m in targets]
+    state = cut(state.crossJoin(F.broadcast(total)).select(
+        *MARGINS, "tokens", "start", *aims, F.col("start").alias("weight"), F.lit(0.0).alias("off")), "raked")
+    looks = []
+    for _ in range(0, MAX_ROUNDS if targets else 0, ROUNDS):
         for _ in range(ROUNDS):
             state = state.withColumn("off", F.lit(0.0))
-            for m in MARGINS:
+            for m in targets:
                 now = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(m))
                 state = state.withColumn("now", now)
                 scale = F.when(F.col("now") > 0, F.coalesce(F.col(f"{m}_aim") / F.col("now"), F.lit(1.0))).otherwise(1.0)
                 state = state.withColumns({"weight": F.col("weight") * scale, "off": F.greatest("off", F.abs(scale - 1))}).drop("now")
         state = cut(state, "raked")
-        off = state.agg(F.max("off")).first()[0]
-        if off is None or off <= TOLERANCE:
+        looks.append(state.agg(F.max("off")).first()[0] or 0.0)
+        if looks[-1] <= TOLERANCE:
+            return state, True
+        if len(looks) > STALLED and looks[-1] > looks[-1 - STALLED] / 2:
             break
-    return state.select(*MARGINS, "tokens", "weight")
+    return state, not targets or looks[-1] <= CLOSE
+
+
+def residuals(weights: DataFrame, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(margin, category, target, share, residual) of every category of raked cells: its target share, given or tempered, the
+    share of the weighted tokens that it has, and the difference. All are near 0 where raking met its targets."""
+    cells = weights.select(*MARGINS, "tokens")
+    total = F.broadcast(weights.agg(F.sum(F.col("weight") * F.col("tokens")).alias("all")))
+    parts = []
+    for m in MARGINS:
+        shares = weights.groupBy(m).agg(F.sum(F.col("weight") * F.col("tokens")).alias("own")).crossJoin(total).select(
+            m, (F.col("own") / F.col("all")).alias("share"))
+        parts.append(shares.join(_targets(cells, m, (given or {}).get(m)), m).select(
+            F.lit(m).alias("margin"), F.col(m).alias("category"), "target", "share", (F.col("share") - F.col("target")).alias("residual")))
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def _weighted(df: DataFrame, key: str, text: str, source: str, lang: str,
