@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sluice.llm.tables import cut, hash_sample, whole_row
 
 DICTIONARY_WORDS = 2048  # most frequent words of the corpus, the dictionary and the source of the transition model
-TRAIN_ROWS = 20_000      # labelled findings the forest is fitted on, picked by hash
+TRAIN_ROWS = 20_000      # labelled findings the forest is fitted on, half of each label at most, picked by hash
 TREES = 24
 DEPTH = 5
 MIN_LENGTH = 16
@@ -153,22 +153,26 @@ def _tree(node, x: Column) -> Column:
 
 
 class Forest:
-    """A random forest fitted on (features, label) rows; without both labels it lets every candidate pass."""
+    """A random forest fitted on (features, label) rows; columns beside these tell findings apart. Each label is sampled by
+    itself and weighs as much as the other. Without both labels the weak label decides, and a candidate without one stays."""
 
     def __init__(self, labelled: DataFrame) -> None:
-        known = cut(labelled.select("features", F.col("label").cast("double").alias("label")), "findings")
-        sample = hash_sample(known, ["features", "label"], TRAIN_ROWS).coalesce(1)
+        known = cut(labelled.withColumn("label", F.col("label").cast("double")), "findings")
+        by = [c for c in known.columns if c not in ("features", "label")]
+        each = [hash_sample(known.where(F.col("label") == v), [*by, "features", "label"], TRAIN_ROWS // 2).coalesce(1) for v in (0.0, 1.0)]
+        sizes = [x.count() for x in each]
         self.roots = []
-        if sample.select("label").distinct().count() > 1:
-            vectors = sample.select(array_to_vector("features").alias("features"), "label")
-            model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5).fit(vectors)
+        if all(sizes):
+            sample = reduce(DataFrame.union, (x.withColumn("share", F.lit(max(sizes) / n)) for x, n in zip(each, sizes))).coalesce(1)
+            vectors = sample.select(array_to_vector("features").alias("features"), "label", "share")
+            model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5, weightCol="share").fit(vectors)
             self.roots = [t._call_java("rootNode") for t in model.trees]
 
-    def score(self, features: Column) -> Column:
-        """The share of trees that call a candidate a secret."""
+    def score(self, x: Column) -> Column:
+        """The share of trees that call a candidate a secret; without trees its weak label, 0 where it has none."""
         if not self.roots:
-            return F.lit(1.0)
-        return reduce(lambda a, b: a + b, (_tree(r, features) for r in self.roots)) / len(self.roots)
+            return F.coalesce(weak_label(x), F.lit(0.0))
+        return reduce(lambda a, b: a + b, (_tree(r, x.features) for r in self.roots)) / len(self.roots)
 
 
 def train(df: DataFrame, key: str, text: str, path: str | None = None) -> tuple[Words, Forest]:
@@ -180,15 +184,17 @@ def train(df: DataFrame, key: str, text: str, path: str | None = None) -> tuple[
     known = corpus_words(df, text)
     where = F.col(path).cast("string") if path else F.lit("")
     held_out = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    found = df.where(~held_out).select(F.explode(_described(F.col(text), where, known)).alias("x"))
-    labelled = found.select("x.features", weak_label(F.col("x")).alias("label")).where("label IS NOT NULL")
+    found = df.where(~held_out).select(F.col(key).cast("string").alias("key"), F.xxhash64(text).alias("text"),
+                                       F.explode(_described(F.col(text), where, known)).alias("x"))
+    spot = F.xxhash64("key", "text", "x.word", "x.value").alias("spot")
+    labelled = found.select(spot, "x.features", weak_label(F.col("x")).alias("label")).where("label IS NOT NULL")
     return known, Forest(labelled)
 
 
 def findings(text: Column, path: Column, known: Words, forest: Forest) -> Column:
     """(word, value, name, score) of each candidate of a text, in order; empty for null and empty texts."""
     scored = F.transform(_described(text, path, known), lambda x: F.struct(
-        x.word.alias("word"), x.value.alias("value"), x["name"].alias("name"), forest.score(x.features).alias("score")))
+        x.word.alias("word"), x.value.alias("value"), x["name"].alias("name"), forest.score(x).alias("score")))
     return F.coalesce(scored, F.array().cast("array<struct<word:int,value:string,name:string,score:double>>"))
 
 
