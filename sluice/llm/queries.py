@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import licenses, mixing, pieces, quality, secrets, sharding, simhash, toxicity, vectors, warc
+from sluice.llm import (licenses, minhash, mixing, pieces, prefixes, quality, secrets, sharding, simhash, toxicity, variants,
+                        vectors, warc)
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,9 @@ QUERIES: dict[str, Run] = {
     "op8_warc": _over("pages", warc.round_trip),
     "op9_vectors": _over("embeddings", vectors.embedding_groups),
     "op10_licenses": _over("documents", licenses.document_licenses),
+    "op11_prefixes": _over("conversations", prefixes.conversation_trie),
+    "op12_variants": _over("documents", variants.document_variants),
+    "op13_minhash": _over("documents", minhash.document_fingerprints),
 }
 
 SQL: dict[str, str] = {
@@ -36,4 +40,6 @@ SQL: dict[str, str] = {
     "op8_warc": warc.ROUND_TRIP_SQL,
     "op9_vectors": vectors.EMBEDDING_GROUPS_SQL,
     "op10_licenses": licenses.DOCUMENT_LICENSES_SQL,
+    "op11_prefixes": prefixes.CONVERSATION_TRIE_SQL,
+    "op12_variants": variants.DOCUMENT_VARIANTS_SQL,
 }
