@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.tables import cut, whole_row
+from sluice.llm.tables import cut
 
 BINS = 256  # the first 8 bits of a hash
 SHINGLE = 5
@@ -27,46 +27,51 @@ def fingerprint(df: DataFrame, text: str, alias: str, shingle: int = SHINGLE) ->
     empty text (or null) has a fingerprint too. Whole texts of any length are read. Equal texts have equal fingerprints.
     Columns of `df` keep their names, whatever these are; `alias` is replaced.
     """
-    # Each step is used more than once by the next one, so the optimizer leaves it a step of its own.
+    # Each step is used more than once by the next one, so the optimizer leaves it a step of its own. The columns of `df`
+    # are handed on as they are, and with them how its rows are dealt out.
     held = df.drop(alias)
-    rows = whole_row(held, F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+").alias("words"))
-    rows = rows.select("row", F.array_remove("words", "").alias("words"))
-    rows = rows.select("row", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    several = F.transform(F.sequence(F.lit(0), F.size("hashes") - shingle),
-                          lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(shingle))))
-    one = F.array(F.xxhash64(F.array_join("words", " ")))
-    rows = rows.select("row", F.when(F.size("hashes") >= shingle, several).otherwise(one).alias("hashes"))
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in held.columns]
+    taken = {c.lower() for c in held.columns}
+    hashes, bins, full = (next(n for n in (("_" * k) + name for k in range(len(taken) + 1)) if n not in taken)
+                          for name in ("hashes", "bins", "full"))
+
+    rows = held.select("*", F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "").alias(bins))
+    rows = rows.select(*kept, bins, F.transform(bins, lambda w: F.xxhash64(w)).alias(hashes))
+    several = F.transform(F.sequence(F.lit(0), F.size(hashes) - shingle),
+                          lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(shingle))))
+    one = F.array(F.xxhash64(F.array_join(bins, " ")))
+    rows = rows.select(*kept, F.when(F.size(hashes) >= shingle, several).otherwise(one).alias(hashes))
 
     # A hash is made even. One odd mark closes each bin, so the first of every bin is its smallest hash, or the mark.
+    def is_hash(h: Column) -> Column:
+        return h.bitwiseAND(F.lit(1).cast("long")) == 0
+
     marks = F.transform(F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1)),
                         lambda b: F.shiftleft(b.cast("long"), 56).bitwiseOR(F.lit((1 << 56) - 1)))
-    even = F.transform("hashes", lambda h: h.bitwiseAND(F.lit(-2).cast("long")))
-    rows = rows.select("row", F.sort_array(F.concat(even, marks)).alias("hashes"))
-    first = F.filter("hashes", lambda h, i: (i == 0) | (F.shiftright(h, 56) != F.shiftright(F.get("hashes", i - 1), 56)))
-    rows = rows.select("row", first.alias("least"))
-    full = F.filter("least", lambda h: h.bitwiseAND(F.lit(1).cast("long")) == 0)
-    rows = rows.select("row", F.transform("least", lambda h: F.when(h.bitwiseAND(F.lit(1).cast("long")) == 0, h)).alias("bins"),
-                       full.alias("full"))
+    even = F.transform(hashes, lambda h: h.bitwiseAND(F.lit(-2).cast("long")))
+    rows = rows.select(*kept, F.sort_array(F.concat(even, marks)).alias(hashes))
+    first = F.filter(hashes, lambda h, i: (i == 0) | (F.shiftright(h, 56) != F.shiftright(F.get(hashes, i - 1), 56)))
+    rows = rows.select(*kept, first.alias(hashes))
+    rows = rows.select(*kept, F.transform(hashes, lambda h: F.when(is_hash(h), h)).alias(bins),
+                       F.filter(hashes, is_hash).alias(full))
 
     def dense(value: Column, i: Column) -> Column:
-        tried = (F.get("bins", F.pmod(F.xxhash64(F.lit(t), i), F.lit(BINS)).cast("int")) for t in range(TRIES))
-        ordered = F.transform("full", lambda h: F.struct(F.xxhash64(i, F.shiftright(h, 56)).alias("at"), h.alias("h")))
+        tried = (F.get(bins, F.pmod(F.xxhash64(F.lit(t), i), F.lit(BINS)).cast("int")) for t in range(TRIES))
+        ordered = F.transform(full, lambda h: F.struct(F.xxhash64(i, F.shiftright(h, 56)).alias("at"), h.alias("h")))
         return F.coalesce(value, *tried, F.array_min(ordered)["h"])
 
-    rows = rows.select("row", F.transform("bins", dense).alias("bins"))
+    rows = rows.select(*kept, F.transform(bins, dense).alias(bins))
 
     def packed(k: Column) -> Column:
         # The number of the bin goes into the bits, so a value that fills several bins is compared anew in each.
-        parts = [F.shiftleft(F.xxhash64(F.get("bins", k * 8 + j), k * 8 + j).bitwiseAND(F.lit(255).cast("long")), 56 - 8 * j)
+        parts = [F.shiftleft(F.xxhash64(F.get(bins, k * 8 + j), k * 8 + j).bitwiseAND(F.lit(255).cast("long")), 56 - 8 * j)
                  for j in range(8)]
         out = parts[0]
         for part in parts[1:]:
             out = out.bitwiseOR(part)
         return out
 
-    # The names of `df` are taken out of the struct by hand: one of them may hold a dot.
-    names = [F.col("row")[c].alias(c) for c in held.columns]
-    return rows.select(*names, F.transform(F.sequence(F.lit(0), F.lit(BINS // 8 - 1)), packed).alias(alias))
+    return rows.select(*kept, F.transform(F.sequence(F.lit(0), F.lit(BINS // 8 - 1)), packed).alias(alias))
 
 
 def likeness(a: Column | str, b: Column | str) -> Column:

@@ -50,7 +50,8 @@ TEXTS = ["", None, " \t\n", "one", "one two three four", "one two three four fiv
 
 
 def test_same_as_in_python(spark):
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "`row` int, text string, `words.bins` string")
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(TEXTS)],
+                               "`row` int, text string, `words.bins` string, Hashes int")
     out = minhash.fingerprint(df, "text", "print").select("*", minhash.hexadecimal("print").alias("hex")).collect()
     assert {r.row: r.hex for r in out} == {i: brute(t) for i, t in enumerate(TEXTS)}
     assert out[0]["words.bins"] == "x"
