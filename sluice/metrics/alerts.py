@@ -6,8 +6,9 @@ if the first rule on the metric does not hold. Between ticks with data the newes
 stays, so such a stretch is skipped in one step.
 
 Spark reduces the metric rows to one row per tick, then to the ticks where something
-changes; only these reach Python. What one task receives for a metric is therefore bounded
-by the time range divided by the tick length, however many rows the metric has.
+changes; only these reach Python. The history of a metric is cut into pieces of time, and a
+task runs a piece, not a metric (`histories`): however long the history of one metric is, it
+is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -19,11 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.metrics import histories
 from sluice.metrics.batch import MonitoringRule, rules_frame
 from sluice.operators.order import order_of
+from sluice.operators.windows import window
+from sluice.session import scratch_path
 
 TICK_SECONDS = 30  # fixed value: length of a monitoring tick
 RESOLVE_AFTER = 3600  # fixed value: an alert must be older than this to be resolved
+PIECE_TICKS = 4096  # length of the pieces that a history is cut into
 
 # tick and created are seconds since the epoch
 EVENT_SCHEMA = "metric_name string, action string, tick long, created long, position int, current_value double"
@@ -72,9 +77,10 @@ def judge(ticked: DataFrame, rules: Sequence[MonitoringRule]) -> DataFrame:
 
 
 def change_points(judged: DataFrame) -> DataFrame:
-    """Ticks that can matter: where the verdict changes, and those that fire without the
-    first rule (an alert may be raised anew there, with the value of that tick)."""
-    w = Window.partitionBy("metric_name").orderBy("tick")
+    """Ticks that can matter: where the verdict changes, those that fire without the first
+    rule (an alert may be raised anew there, with the value of that tick), and the first one
+    of every piece. A piece is compared in itself, so no window holds more than a piece."""
+    w = Window.partitionBy("metric_name", "piece").orderBy("tick")
     same = (F.lag("fired").over(w) == F.col("fired")) & (F.lag("holds").over(w) == F.col("holds"))
     kept = judged.withColumn("_same", F.coalesce(same, F.lit(False)))
     return kept.filter(~F.col("_same") | ((F.col("fired") >= 0) & ~F.col("holds"))).drop("_same")
@@ -102,27 +108,80 @@ def advance(active: int | None, start: int, end: int, value: float, fired: int,
     return active, events
 
 
-def _run(step: int, resolve_after: int, until: int):
-    def per_metric(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("tick")
-        ends = [*rows["tick"].iloc[1:], until + 1]
-        active, out = None, []
-        for row, end in zip(rows.itertuples(index=False), ends):
-            active, events = advance(active, int(row.tick), int(end), float(row.value), int(row.fired),
-                                     bool(row.holds), step, resolve_after)
-            out += [(row.metric_name, *e) for e in events]
-        return pd.DataFrame(out, columns=["metric_name", "action", "tick", "created", "position", "current_value"])
+def _stretches(rows: pd.DataFrame) -> list[tuple]:
+    """(start, end, value, fired, holds) of a piece, in order; the last one ends where the next piece begins."""
+    rows = rows.sort_values("tick")
+    starts = [int(t) for t in rows["tick"]]
+    return [(start, end, float(value), int(fired), bool(holds)) for start, end, value, fired, holds in zip(
+        starts, [*starts[1:], int(rows["end"].iloc[0])], rows["value"], rows["fired"], rows["holds"])]
+
+
+def _mapped(delays: histories.Delays, resolve_after: int):
+    """A piece as a map. All cases run at once; those that have come to the same go on as one."""
+    def per_piece(rows: pd.DataFrame) -> pd.DataFrame:
+        stretches = _stretches(rows)
+        first = stretches[0][0]
+        cases = delays.examples(first)
+        live = dict.fromkeys(cases)
+        now = {a: a for a in cases}  # what each of the examples has become
+        for start, end, *verdict in stretches:
+            if verdict[2] and (verdict[1] < 0 or None not in live):
+                continue  # nothing is resolved, and nothing raised
+            moved = {a: advance(a, start, end, *verdict, delays.step, resolve_after)[0] for a in live}
+            if any(a != b for a, b in moved.items()):
+                now = {a: moved[b] for a, b in now.items()}
+                live = dict.fromkeys(moved.values())
+        return pd.DataFrame({"metric_name": [rows["metric_name"].iloc[0]], "piece": [int(rows["piece"].iloc[0])],
+                             "first": [first], "outcome": [delays.codes(first, [now[a] for a in cases])]})
+
+    return per_piece
+
+
+def _replayed(step: int, resolve_after: int):
+    def per_piece(rows: pd.DataFrame) -> pd.DataFrame:
+        active, out = rows["active"].iloc[0], []
+        active = None if pd.isna(active) else int(active)
+        for start, end, *verdict in _stretches(rows):
+            active, events = advance(active, start, end, *verdict, step, resolve_after)
+            out += events
+        frame = pd.DataFrame(out, columns=["action", "tick", "created", "position", "current_value"])
+        frame.insert(0, "metric_name", rows["metric_name"].iloc[0])
+        return frame
 
-    return per_metric
+    return per_piece
 
 
 def alert_events(metrics: DataFrame, rules: Sequence[MonitoringRule], as_of: datetime, seconds: int = TICK_SECONDS,
-                 resolve_after: int = RESOLVE_AFTER) -> DataFrame:
-    """`raised` and `resolved` events of every metric up to `as_of`."""
+                 resolve_after: int = RESOLVE_AFTER, piece_ticks: int = PIECE_TICKS, group: int = histories.GROUP) -> DataFrame:
+    """`raised` and `resolved` events of every metric up to `as_of`.
+
+    The ticks that matter are written to the scratch folder when this is called. Pieces have
+    `piece_ticks` ticks, or as many as an alert must be old to be resolved, if these are more;
+    `group` pieces are composed at a time. Neither changes the events.
+    """
     until = int((as_of - datetime(1970, 1, 1)).total_seconds())
-    upto = ticks(metrics, seconds).filter(F.col("tick") <= until)
-    points = change_points(judge(upto, rules))
-    return points.groupBy("metric_name").applyInPandas(_run(seconds, resolve_after, until), EVENT_SCHEMA)
+    delays = histories.Delays(seconds, resolve_after // seconds + 1)
+    length = max(piece_ticks, delays.cases) * seconds
+    spark, path = metrics.sparkSession, scratch_path(metrics.sparkSession, "alert-ticks")
+    upto = judge(ticks(metrics, seconds).filter(F.col("tick") <= until), rules)
+    points = change_points(upto.withColumn("piece", F.floor(F.col("tick") / length)))
+    points.write.parquet(path)
+    points = spark.read.schema(points.schema).parquet(path)
+
+    key = ["metric_name", "piece"]
+    low, high = points.agg(F.min("piece"), F.max("piece")).first()
+    points = points.withColumn("piece", F.col("piece") - F.lit(low or 0))
+    count = 1 + (high or 0) - (low or 0)
+    firsts = points.groupBy(*key).agg(F.min("tick").alias("first"))
+    ends = window(firsts, "lead", "end", "first", ["metric_name"], ["piece"],
+                  bucket=F.floor(F.col("piece") / group) if count > group else None)
+    pieces = points.join(ends.select(*key, F.coalesce("end", F.lit(until + 1)).alias("end")), key)
+    if count == 1:  # nothing comes into any piece
+        entered = pieces.withColumn("active", F.lit(None).cast("long"))
+    else:
+        maps = pieces.groupBy(*key).applyInPandas(_mapped(delays, resolve_after), histories.MAP)
+        entered = pieces.join(histories.entering(maps, count, delays, group), key)
+    return entered.groupBy(*key).applyInPandas(_replayed(seconds, resolve_after), EVENT_SCHEMA)
 
 
 def alerts_from_events(events: DataFrame, rules: Sequence[MonitoringRule]) -> DataFrame:

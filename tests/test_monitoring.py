@@ -1,4 +1,5 @@
 import random
+import re
 import time
 from datetime import datetime, timedelta
 
@@ -81,6 +82,53 @@ def test_alerts_by_brute_force(spark, seed):
     assert rows(found) == sorted(_walk(points, rules, until, 30, limit), key=repr)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_alerts_of_pieces_by_brute_force(spark, seed):
+    """Short pieces, composed three at a time on several levels, with gaps longer than a piece."""
+    rng = random.Random(seed)
+    times = sorted(rng.sample(range(0, 120_000), 260) if seed % 2 else
+                   [t + 40_000 * (t > 9000) + 30_000 * (t > 20_000) for t in range(0, 30_000, 100)])
+    points = [(t, rng.choice([1.0, 2.0, 5.0, 9.0] if seed % 3 else [5.0, 9.0])) for t in times]
+    rules = [MonitoringRule("a", "cpu", "in_range", {"min": 1.5, "max": 6.0}), MonitoringRule("b", "cpu", "greater_than", 4.0),
+             MonitoringRule("c", "cpu", "not_equals", 9.0, "high")][:: rng.choice([1, -1])]
+    until, limit = 130_000, rng.choice([600, 3600, 45])
+    other = frame(spark, points[::3], "cpu").withColumn("metric_name", F.lit("spare"))
+    events = alerts.alert_events(frame(spark, points).unionByName(other), rules, T0 + timedelta(seconds=until),
+                                 resolve_after=limit, piece_ticks=20, group=3)
+    found = alerts.alerts_from_events(events, rules)
+    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp")) - int((T0 - datetime(1970, 1, 1)).total_seconds())
+    got = found.select("rule_id", second("created_at"), second("resolved_at"), "current_value")
+    assert rows(got) == sorted(_walk(points, rules, until, 30, limit), key=repr)
+    assert found.where("metric_name = 'spare'").count() == 0
+
+
+def test_a_long_history_is_spread(spark):
+    """A million ticks of one metric: every task gets pieces, and events equal one run over all of them."""
+    ticks = 1_000_000
+    start = int((T0 - datetime(1970, 1, 1)).total_seconds())
+    data = spark.range(ticks).select(
+        F.lit("cpu").alias("metric_name"), F.timestamp_seconds(F.col("id") * 30 + start).cast("timestamp_ntz").alias("ts"),
+        F.when(F.pmod(F.xxhash64("id"), F.lit(400)) == 0, 0.1).when(F.col("id") % 7000 < 300, 0.95).otherwise(0.5).alias("value"), "id")
+    rules = [MonitoringRule("low", "cpu", "less_than", 0.2), MonitoringRule("high", "cpu", "greater_than", 0.9)]
+    as_of = T0 + timedelta(seconds=30 * ticks + 30)
+    events = alerts.alert_events(data, rules, as_of)
+    plan = events._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas [metric_name" in plan and not re.search(r"FlatMapGroupsInPandas \[metric_name#\d+\],", plan)
+    active, want, until = None, [], start + 30 * ticks + 30
+    judged = alerts.change_points(alerts.judge(alerts.ticks(data), rules).withColumn("piece", F.lit(0)))
+    points = judged.orderBy("tick").collect()
+    for p, end in zip(points, [*(p.tick for p in points[1:]), until + 1]):
+        active, found = alerts.advance(active, p.tick, end, p.value, p.fired, p.holds, 30, 3600)
+        want += [("cpu", *e) for e in found]
+    assert len(want) > 1000
+    assert rows(events) == sorted(want, key=repr)
+
+
+def test_no_history(spark):
+    none = frame(spark, [(0, 1.0)]).filter("false")
+    assert alerts.alerts(none, [HIGH], T0).count() == 0
+
+
 def test_streamed_alerts_equal_batch(spark, tmp_path):
     """Ticks arrive in several files; the state carries over."""
     rng = random.Random(3)
