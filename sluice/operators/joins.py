@@ -1,4 +1,9 @@
-"""Joins by shared columns or by a condition over the aliases `l` and `r`."""
+"""Joins by shared columns, by a condition over the aliases `l` and `r`, or by a range.
+
+A condition without an equality makes Spark compare every row with every row. Where it says that a value
+of the left side lies in a range given by the right side, `range_join` turns it into an equality of
+bucket numbers.
+"""
 
 from __future__ import annotations
 
@@ -79,3 +84,64 @@ def _full(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     matched = left.join(right, keys, "left")
     only_right = right.join(left.select(*keys).distinct(), keys, "left_anti")
     return matched.unionByName(only_right, allowMissingColumns=True)
+
+
+BUCKETS_PER_PARTITION = 4
+MOST_BUCKETS = 4096
+
+
+def range_join(left: DataFrame, right: DataFrame, value: str, low: str | None = None, high: str | None = None,
+               low_open: bool = False, high_open: bool = False, how: str = "inner", condition: str | None = None,
+               suffix: str = "_right", buckets: int | None = None) -> DataFrame:
+    """Rows of `left` whose `value` lies between `low` and `high` of a row of `right`.
+
+    `value` is an expression over `l`, `low` and `high` are expressions over `r`; one of the two may be left out, for a
+    comparison such as `l.a > r.b`. A bound belongs to the range unless it is `open`. `condition` (over `l` and `r`) must
+    hold as well. Nulls are in no range. Join types: inner, left, left_semi, left_anti.
+
+    Quantiles of `value` cut it into buckets of about equal size. A left row is in one bucket, a right row is repeated in
+    each bucket that its range meets, so both sides meet by an equi-join, each pair once, and the exact comparison
+    follows. A range that covers many buckets pairs with all the left rows in between, so copies of right rows are always
+    few beside the result. A value held by a third of the rows makes one large bucket, which skew handling splits. The
+    number of buckets follows the session's shuffle partitions.
+    """
+    how = JOIN_TYPES.get(how.lower())
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("a range join is inner, left, left_semi or left_anti; swap the sides for others")
+    if low is None and high is None:
+        raise ValueError("a range needs a bound")
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, BUCKETS_PER_PARTITION * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    l, r = left.alias("l"), right.alias("r")
+    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = l.select(F.array_distinct(F.percentile_approx(F.expr(value), points, 10 * buckets))).scalar()
+    cuts = F.coalesce(cuts, F.array())
+    step = max(1, int(buckets ** 0.5))
+
+    def bucket(of: Column) -> Column:
+        """How many cuts are not above a value: first among every `step`-th, then among those that follow."""
+        before = F.size(F.filter("_cuts", lambda c, i: (i % step == 0) & (c <= of)))
+        block = F.greatest(before - 1, F.lit(0)) * step
+        return F.when(of.isNotNull(), block + F.size(F.filter(F.slice("_cuts", block + 1, F.lit(step)), lambda c: c <= of)))
+
+    placed = l.select(F.struct("l.*").alias("l"), F.expr(value).alias("_v"), cuts.alias("_cuts"))
+    placed = placed.select("l", "_v", bucket(F.col("_v")).alias("_bucket"))
+    ranges = r.select(F.struct("r.*").alias("r"), cuts.alias("_cuts"),
+                      *(F.expr(e).alias(n) for n, e in (("_low", low), ("_high", high)) if e is not None))
+    first = F.lit(0) if low is None else bucket(F.col("_low"))
+    last = F.size("_cuts") if high is None else bucket(F.col("_high"))
+    ranges = ranges.withColumn("_bucket", F.explode(F.when(first <= last, F.sequence(first, last)))).drop("_cuts")
+
+    holds = placed["_bucket"] == ranges["_bucket"]
+    if low is not None:
+        holds &= (F.col("_v") > F.col("_low")) if low_open else (F.col("_v") >= F.col("_low"))
+    if high is not None:
+        holds &= (F.col("_v") < F.col("_high")) if high_open else (F.col("_v") <= F.col("_high"))
+    if condition is not None:
+        holds &= F.expr(condition)
+    out = placed.join(ranges, holds, how)
+    ours = [F.col("l")[c].alias(c) for c in left.columns]
+    if how in ("left_semi", "left_anti"):
+        return out.select(*ours)
+    taken = {c.lower() for c in left.columns}
+    return out.select(*ours, *[F.col("r")[c].alias(c + suffix if c.lower() in taken else c) for c in right.columns])

@@ -18,8 +18,8 @@ _LOWEST = Decimal(-9_300_000_000_000_000_000)  # below every bigint: the place o
 _WIDTH = Decimal(10) ** 19                     # more than twice that
 
 
-def _whole(column: str, kind: T.DataType) -> Column | None:
-    """A time or integer as an integer in the same order."""
+def whole_number(column: str, kind: T.DataType) -> Column | None:
+    """A time or integer as an integer in the same order; None for a column of another type."""
     c = F.col(f"`{column}`")
     if isinstance(kind, T.IntegralType):
         return c
@@ -35,7 +35,7 @@ def _whole(column: str, kind: T.DataType) -> Column | None:
 def order_of(df: DataFrame, columns: Sequence[str]) -> Column:
     """What to order by: one decimal where the columns are at most two times or integers, else a
     struct. Nulls come first."""
-    parts = [_whole(c, df.schema[c].dataType) for c in columns]
+    parts = [whole_number(c, df.schema[c].dataType) for c in columns]
     if len(parts) > 2 or any(p is None for p in parts):
         return F.struct(*[F.col(f"`{c}`") for c in columns])
     wide = [F.coalesce(p.cast("decimal(38,0)"), F.lit(_LOWEST).cast("decimal(38,0)")) for p in parts]

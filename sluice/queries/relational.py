@@ -185,10 +185,26 @@ def _(t: Tables) -> DataFrame:
 @query("c4_theta_join", """
 SELECT s_suppkey, r_name FROM supplier JOIN region ON s_nationkey > r_regionkey * 5""")
 def _(t: Tables) -> DataFrame:
-    return joins.join(t("supplier"), t("region"), "l.s_nationkey > r.r_regionkey * 5", small="right").select(
+    return joins.range_join(t("supplier"), t("region"), "l.s_nationkey", low="r.r_regionkey * 5", low_open=True).select(
         "s_suppkey", "r_name")
 
 
+@query("c4_band_join", """
+SELECT o_orderkey, l_orderkey, l_linenumber FROM orders JOIN lineitem
+  ON o_totalprice BETWEEN l_extendedprice * 4 - 0.5 AND l_extendedprice * 4 + 0.5""")
+def _(t: Tables) -> DataFrame:
+    return joins.range_join(t("orders"), t("lineitem"), "l.o_totalprice", low="r.l_extendedprice * 4 - 0.5D",
+                            high="r.l_extendedprice * 4 + 0.5D").select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
+@query("c4_range_anti_join", """
+SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM orders
+  WHERE e.ts >= o_orderdate AND e.ts < o_orderdate + INTERVAL 1 HOUR AND o_totalprice > e.value * 1000)""")
+def _(t: Tables) -> DataFrame:
+    return joins.range_join(t("events"), t("orders"), "l.ts", low="r.o_orderdate", high="r.o_orderdate + INTERVAL 1 HOUR",
+                            high_open=True, how="left_anti", condition="r.o_totalprice > l.value * 1000").select("event_id")
+
+
 @query("c4_cross_join", "SELECT s_suppkey, r_name FROM supplier CROSS JOIN region")
 def _(t: Tables) -> DataFrame:
     return joins.join(t("supplier"), t("region"), how="cross", small="right").select("s_suppkey", "r_name")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sluice.quality import report
@@ -134,3 +136,27 @@ def test_drop_duplicates(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 2), (1, "z", 1), (None, "q", 9), (None, "r", 9)], "k int, v string, o int")
     assert rows(drop_duplicates(df, ["k"], ["o"])) == [(1, "z", 1), (None, "q", 9)]
     assert drop_duplicates(df.select("k"), ["k"]).count() == 2
+
+
+@pytest.mark.parametrize("order", [["o"], ["o", "z"], ["z"], ["s"], []])
+def test_drop_duplicates_by_brute_force(spark, order):
+    rng = random.Random(2)
+    names = ["a", "b.c", "o", "z", "s"]
+    data = [(rng.choice([None, 1, 2, 3]), rng.choice(["x", "long " * 40, None]), rng.choice([None, 5, 6, 7]), rng.randrange(3),
+             rng.choice(["p", None, "q"])) for _ in range(400)]
+    data += [(9, "hot", 1 << 62, i % 50, None) for i in range(3000)] + [(8, "same", -(1 << 62), 2, "r")] * 2000
+    df = spark.createDataFrame(data, "a int, `b.c` string, o bigint, z int, s string").repartition(7)
+    by = [names.index(c) for c in [*order, *(c for c in names if c not in order and c not in ("a", "b.c"))]]
+    best = {}
+    for row in data:
+        place = [(row[i] is not None, row[i]) for i in by]
+        if row[:2] not in best or place < best[row[:2]][0]:
+            best[row[:2]] = (place, row)
+    assert rows(drop_duplicates(df, ["a", "b.c"], order)) == sorted((r for _, r in best.values()), key=repr)
+
+
+def test_drop_duplicates_sorts_only_ties(spark):
+    df = spark.createDataFrame([(i % 5, f"a{i}", i) for i in range(40)], "k int, v string, o bigint")
+    plan = drop_duplicates(df, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    first, second = plan[plan.index("Union"):].split("\n   +- ", 1)
+    assert "Sort" not in first and second.count("SortAggregate") == 2  # a partial and a final one in the branch of ties

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 
@@ -160,3 +162,43 @@ def test_templates(spark, people):
 def test_unknown_column_is_an_analysis_error(people):
     with pytest.raises(AnalysisException):
         ops.select(people, ["missing"]).collect()
+
+
+def _pairs(left, right, low_open, high_open, extra=lambda a, b: True):
+    def inside(v, lo, hi):
+        return v is not None and (lo < v or lo == v and not low_open) and (v < hi or v == hi and not high_open)
+
+    return [(a, b) for a in left for b in right if b[1] is not None and b[2] is not None and inside(a[1], b[1], b[2]) and extra(a, b)]
+
+
+@pytest.mark.parametrize(("low_open", "high_open", "buckets"), [(False, False, 7), (True, False, 64), (False, True, 2), (True, True, 300)])
+def test_range_join_by_brute_force(spark, low_open, high_open, buckets):
+    rng = random.Random(buckets)
+    left = [(i, rng.choice([None, rng.randrange(100), 50, 50])) for i in range(300)]
+    right = [(i, rng.choice([None, (a := rng.randrange(-20, 120))]), a + rng.choice([-3, 0, 0, 2, 9, 80])) for i in range(120)]
+    l, r = spark.createDataFrame(left, "id int, v int"), spark.createDataFrame(right, "id int, lo int, hi int")
+    args = dict(low="r.lo", high="r.hi", low_open=low_open, high_open=high_open, buckets=buckets)
+    want = _pairs(left, right, low_open, high_open)
+    found = {a for a, _ in want}
+    assert rows(joins.range_join(l, r, "l.v", **args)) == sorted([a + b for a, b in want], key=repr)
+    assert rows(joins.range_join(l, r, "l.v", how="semi", **args)) == sorted(found, key=repr)
+    assert rows(joins.range_join(l, r, "l.v", how="anti", **args)) == sorted(set(left) - found, key=repr)
+    outer = [a + b for a, b in want] + [a + (None, None, None) for a in set(left) - found]
+    assert rows(joins.range_join(l, r, "l.v", how="left", **args)) == sorted(outer, key=repr)
+    some = _pairs(left, right, low_open, high_open, lambda a, b: (a[0] + b[0]) % 3 == 0)
+    assert rows(joins.range_join(l, r, "l.v", condition="(l.id + r.id) % 3 = 0", **args)) == sorted([a + b for a, b in some], key=repr)
+
+
+def test_range_join_of_one_bound_and_of_nothing(spark):
+    l = spark.createDataFrame([(i, i % 13 - 5.5) for i in range(60)], "id int, v double")
+    r = spark.createDataFrame([(k,) for k in (-9, 0, 3, 50)], "k int")
+    for args, sql in ((dict(low="r.k"), "v >= k"), (dict(low="r.k", low_open=True), "v > k"), (dict(high="r.k + 1"), "v <= k + 1")):
+        assert rows(joins.range_join(l, r, "l.v", buckets=9, **args)) == rows(l.crossJoin(r).where(sql))
+    assert joins.range_join(l.limit(0), r, "l.v", low="r.k").count() == 0
+    assert joins.range_join(l, r.limit(0), "l.v", low="r.k", how="left").count() == 60
+    plan = joins.range_join(l, r, "l.v", low="r.k")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    with pytest.raises(ValueError, match="range join"):
+        joins.range_join(l, r, "l.v", low="r.k", how="full")
+    with pytest.raises(ValueError, match="bound"):
+        joins.range_join(l, r, "l.v")
