@@ -1,4 +1,11 @@
-"""Tagging a log of plain-language requests with operations, names, conditions and complexity."""
+"""Tagging a log of plain-language requests with operations, names, conditions and complexity.
+
+Written plainly, a pattern such as "verb, anything, from, anything" is tried anew at every verb of a line, up to the end of
+the line, and "a name, then table" at every character of a long name: the time grows with the square of a text. So a
+request is matched by patterns that find the same and start only once for each line, verb at a line's end, or name. They
+rest on two facts: the first verb of a line reaches every word that a later one reaches, and runs of white space matter
+only by three kinds, which are made equally short beforehand. The time is linear in the length of a text.
+"""
 
 from __future__ import annotations
 
@@ -79,28 +86,81 @@ _NEEDED = {
 }
 
 
+def _short_spaces(text: Column) -> Column:
+    """A text whose runs of white space are at most three characters long, and which the patterns below match alike.
+
+    What counts is whether a run holds a line end, and whether a character that is none stands inside it.
+    """
+    for run, short in ((r"(?<!\s)(?= *+\n)\s+? \s\s*+", "\n \n"), (r"   ++", "   "), (r"\n\n++", "\n")):
+        text = F.regexp_replace(text, F.lit(run), F.lit(short))
+    return text
+
+
+def _linked(first: str, word: str) -> list[str]:
+    """`first`, something within one line, and `word`, with white space between and after them.
+
+    From the first `first` of a line; from one at the end of a line into the next; or with only white space between.
+    """
+    return [rf"^(?>.*?(?:{first})(?=\s)) .+\s+(?:{word})\s", rf"(?:{first})(?= ?\n)\s++.+\s+(?:{word})\s",
+            rf"(?:{first})\s \s(?:{word})\s"]
+
+
+def _twice_linked(first: str, word: str, last: str) -> list[str]:
+    """`first`, something, `word`, something, and `last`. Of the places for `word`, the earliest in its line reaches
+    whatever others in the line reach; one at the end of a line, or at the start of the next, reaches further."""
+    rest = rf"(?: .+\s+| ?\n\s*+.+\s+|\s \s){last}\s"
+    middle = rf"(?:(?>.+?\s+{word}(?=\s))|.+\s+{word}(?= ?\n)|.++\s++{word}(?=\s)){rest}"
+    return [rf"^(?>.*?{first}(?=\s)) {middle}", rf"{first}(?= ?\n)\s++{middle}", rf"{first}\s \s{word}{rest}"]
+
+
+def _verbs(kind: str) -> str:
+    return "|".join(_VERBS[kind])
+
+
+# By kind and place in OPERATION_PATTERNS: what finds the same in linear time, in a text with short spaces.
+_LINEAR = {
+    ("extract", 0): _linked(_verbs("extract"), "from"),
+    ("extract", 1): _twice_linked("move", "from", "to"),
+    ("extract", 2): _twice_linked("copy", "from", "to"),
+    ("transform", 2): _linked(_verbs("join"), "with"),
+    ("load", 0): _linked(_verbs("load"), "to|into"),
+}
+# The same for patterns that begin with a name or a number. A match begins where the run of its characters does, or where
+# the match before it has ended.
+_NAME = r"(?:\G|(?<![a-zA-Z0-9_]))[0-9]*+([a-zA-Z_][a-zA-Z0-9_]*+)"
+_NUMBER = r"(?:\G|(?<!\d))(\d++)"
+
+
+def _from_the_start(pattern: str) -> str:
+    return pattern.replace("([a-zA-Z_][a-zA-Z0-9_]*)", _NAME) if pattern.startswith("([a-zA-Z_]") else \
+        _NUMBER + pattern.removeprefix(r"(\d+)") if pattern.startswith(r"(\d+)") else pattern
+
+
 def _possible(text: Column, needed: list[list[str]]) -> Column:
     return reduce(and_, [reduce(or_, [F.contains(text, F.lit(w)) for w in words]) for words in needed])
 
 
-def _matches(text: Column, pattern: str, needed: list[list[str]]) -> Column:
-    return _possible(text, needed) & text.rlike(_UNIX_LINES + pattern)
+def _matches(kind: str, place: int, pattern: str) -> Column:
+    linear = _LINEAR.get((kind, place))
+    found = (F.col("_text").rlike(_UNIX_LINES + pattern) if linear is None else
+             reduce(or_, [F.col("_short").rlike("(?dm)" + p) for p in linear]))
+    return _possible(F.col("_text"), _NEEDED[kind][place]) & found
 
 
 def _all(text: Column, pattern: str, group: int, needed: list[list[str]]) -> Column:
-    found = F.regexp_extract_all(text, F.lit(_UNIX_LINES + pattern), F.lit(group))
+    found = F.regexp_extract_all(text, F.lit(_UNIX_LINES + _from_the_start(pattern)), F.lit(group))
     return F.when(_possible(text, needed), found).otherwise(F.array().cast("array<string>"))
 
 
 def tag_requests(df: DataFrame, column: str) -> DataFrame:
     """Add request (lower case, trimmed), operations (one kind per matching pattern), sources,
-    columns, conditions and complexity. Everything is row-wise; no shuffle."""
+    columns, conditions and complexity. Everything is row-wise, in time linear in the texts; no shuffle."""
     request = F.col("request")
     plain = F.translate(request, _RARE_SPACE, " " * len(_RARE_SPACE))
     text = F.col("_text")
     operations = F.array_compact(F.array(*[
-        F.when(_matches(text, p, needed), F.lit(kind))
-        for kind, patterns in OPERATION_PATTERNS.items() for p, needed in zip(patterns, _NEEDED[kind])
+        F.when(_matches(kind, place, p), F.lit(kind))
+        for kind, patterns in OPERATION_PATTERNS.items() for place, p in enumerate(patterns)
     ]))
     sources = F.filter(
         F.concat(*[_all(text, p, 1, n) for p, n in zip(SOURCE_PATTERNS, _NEEDED["source"])]),
@@ -111,9 +171,10 @@ def tag_requests(df: DataFrame, column: str) -> DataFrame:
         for p, needed in zip(CONDITION_PATTERNS, _NEEDED["condition"])
     ])
     tagged = df.withColumn("request", F.btrim(F.lower(F.col(column)), F.lit(WHITE_SPACE))).withColumn("_text", plain)
+    tagged = tagged.withColumn("_short", F.when(text.rlike(r"\s\s"), _short_spaces(text)).otherwise(text))
     tagged = tagged.withColumns(
         {"operations": operations, "sources": sources, "columns": columns, "conditions": conditions})
-    return tagged.drop("_text").withColumn("complexity", complexity())
+    return tagged.drop("_text", "_short").withColumn("complexity", complexity())
 
 
 def complexity() -> Column:

@@ -1,9 +1,13 @@
 import json
+import random
+import re
+import time
 from graphlib import CycleError
 
 import pytest
 
-from sluice.plans.requests import count_by_kind, tag_requests
+from sluice.plans.requests import (COLUMN_PATTERNS, CONDITION_PATTERNS, OPERATION_PATTERNS, SOURCE_PATTERNS, TIME_WORDS,
+                                   count_by_kind, tag_requests)
 from sluice.plans.steps import read_spec_file, run_file_spec, run_graph, run_steps, run_task
 from tests.conftest import rows
 
@@ -112,3 +116,36 @@ def test_requests(spark):
         assert got[text] == (operations, sources, columns, conditions, complexity), text
     kinds = {(r.complexity, r.kind): r.requests for r in count_by_kind(tag_requests(df, "text")).collect()}
     assert kinds[("complex", "schedule")] == 1 and kinds[("simple", "extract")] == 2
+
+
+def test_linear_patterns_find_the_same(spark):
+    """Against the patterns as they are written, over random requests with all kinds of white space."""
+    rng = random.Random(4)
+    words = ["get", "target", "join", "save", "move", "copy", "from", "to", "into", "with", "x", "1a", "a1", "7", "07", "table",
+             "views", "tableview", "column", "field", "days", "weeks", "ago", "last", "é", "clean", "a_b-c"]
+    spaces = [" ", " ", " ", "\n", "\n", " \n", "  ", "   ", "\n\n", " \n ", "\n  \n", "  \n", "", "     ", "\n \n \n"]
+    texts = sorted({"".join(w for _ in range(rng.randrange(1, 11)) for w in (rng.choice(words), rng.choice(spaces))).strip(" \n")
+                    for _ in range(6000)})
+    got = tag_requests(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()
+    for r in got:
+        kinds = [k for k, patterns in OPERATION_PATTERNS.items() for p in patterns if re.search(p, r.text)]
+        sources = [w for p in SOURCE_PATTERNS for w in re.findall(p, r.text) if w not in TIME_WORDS and len(w) > 2]
+        columns = [w for p in COLUMN_PATTERNS for w in re.findall(p, r.text)]
+        conditions = [" ".join(m) for p in CONDITION_PATTERNS for m in re.findall(p, r.text)]
+        assert (r.operations, r.sources, r.columns, r.conditions) == (kinds, sources, columns, conditions), r.text
+    assert sum(bool(r.operations) for r in got) > 1000
+
+
+def test_long_lines_take_linear_time(spark):
+    """A text four times as long takes nowhere near sixteen times as long."""
+    def seconds(n):
+        texts = ["extract rows " * n, "move a from b " * n, "copy\n" * n, "w" * 12 * n, "7" * 12 * n, "join" + " " * 12 * n + "x",
+                 "load a b" + "\n" * 12 * n + "to", "x table" * n + " from"]
+        df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+        started = time.monotonic()
+        tag_requests(df, "text").write.format("noop").mode("overwrite").save()
+        return time.monotonic() - started
+
+    seconds(100)
+    small, large = min(seconds(25_000) for _ in range(2)), min(seconds(100_000) for _ in range(2))
+    assert large < 30 and large < 10 * small + 1
