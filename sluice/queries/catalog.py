@@ -71,7 +71,7 @@ def _(t: Tables) -> DataFrame:
 SELECT table_name, row_count, (SELECT count(*) FROM duckdb_columns() WHERE duckdb_columns.table_name = c.table_name)
   AS column_count FROM ({_COUNTS}) AS c""")
 def _(t: Tables) -> DataFrame:
-    return catalog.table_metadata(_all(t), "files").select(
+    return catalog.table_metadata(_all(t), "files", {n: t.path(n) for n in NAMES}).select(
         "table_name", "row_count", F.col("column_count").cast("long").alias("column_count"))
 
 
@@ -127,9 +127,9 @@ _KIND = """CASE WHEN table_name IN ('documents', 'embeddings', 'pages', 'benchma
 
 def _discovered(t: Tables) -> DataFrame:
     text = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-    return catalog.discover({
-        "texts": ("text", {n: t(n) for n in NAMES if n in text}),
-        "rows": ("tabular", {n: t(n) for n in NAMES if n not in text})})
+    parts = {"texts": ("text", [n for n in NAMES if n in text]), "rows": ("tabular", [n for n in NAMES if n not in text])}
+    return catalog.discover({sid: (kind, {n: t(n) for n in names}) for sid, (kind, names) in parts.items()},
+                            {sid: {n: t.path(n) for n in names} for sid, (_, names) in parts.items()})
 
 
 @query("a17_discover", f"SELECT {_KIND} AS source_type, table_name, row_count FROM ({_COUNTS}) AS c")

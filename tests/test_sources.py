@@ -2,6 +2,7 @@ import sqlite3
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from sluice import build_session, scratch_path
@@ -200,3 +201,23 @@ def test_query_leaves_session_views_alone(spark):
     assert out.first().n == 7 and spark.table("kept_view").count() == 3
     assert not spark.catalog.tableExists("other_view")
     spark.catalog.dropTempView("kept_view")
+
+
+def test_many_tables_in_one_scan(spark, tmp_path):
+    root = f"file://{tmp_path}/with space"
+    spark.range(10).repartition(3).write.parquet(f"{root}/a.parquet")
+    spark.range(100).withColumn("day", F.col("id") % 4).write.partitionBy("day").parquet(f"{root}/days")
+    spark.range(7).selectExpr("cast(id as string) AS `no column`").write.parquet(f"{root}/days-more")
+    spark.range(0).write.parquet(f"{root}/empty")
+    paths = {n: f"{root}/{n}" for n in ("a.parquet", "days", "days-more", "empty")}
+    counts = catalog.file_counts(spark, paths)
+    assert {r.name: r.row_count for r in counts.collect()} == {"a.parquet": 10, "days": 100, "days-more": 7, "empty": 0}
+    size = sum(f.stat().st_size for f in (tmp_path / "with space" / "days").rglob("*.parquet"))
+    assert {r.name: (r.bytes == size, r.files >= 4) for r in counts.where("name = 'days'").collect()} == {"days": (True, True)}
+    tables = {n: spark.read.parquet(p) for n, p in paths.items()}
+    mixed = catalog.discover({"one": ("lake", tables), "two": ("memory", {"days": spark.range(3)})}, {"one": paths})
+    assert {(r.source_id, r.source_type, r.table_name, r.row_count, r.column_count) for r in mixed.collect()} == {
+        ("one", "lake", "a.parquet", 10, 1), ("one", "lake", "days", 100, 2), ("one", "lake", "days-more", 7, 1),
+        ("one", "lake", "empty", 0, 1), ("two", "memory", "days", 3, 1)}
+    plan = catalog.table_metadata(tables, "one", paths)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "ReadSchema: struct<>" in plan
