@@ -1,18 +1,21 @@
 """Metric streams: collection, newest values, sliding means, ticks, alerts, run metrics.
 
 A metric stream has the columns metric_name, ts (timestamp), value and id. Sinks are
-folders; nothing is kept in driver memory. Trigger `availableNow` processes what is there
-and stops; pass `every` for a stream that keeps running.
+folders, or the state store itself; nothing is kept in driver memory. Trigger `availableNow`
+processes what is there and stops; pass `every` for a stream that keeps running.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 from datetime import datetime
+from itertools import chain
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sluice.metrics import alerts
 from sluice.metrics.batch import KEEP_VALUES, MonitoringRule, retain_values, with_types
@@ -40,13 +43,23 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, every: str | None =
     return writer.start(path)
 
 
+KEPT_RESULTS = 10  # complete results that stay, so that a reader may be that many triggers late
+PARTS = 8  # tasks that share one metric's retained values
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def replace_stream(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write the whole result again at each trigger (complete mode): for small results only.
 
-    Every batch has a folder of its own; `replaced` reads the newest one that is complete.
+    Every batch has a folder of its own; `replaced` reads the newest one that is complete, and
+    folders before the last few are deleted.
     """
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+        for old in _complete(spark, path)[:-KEPT_RESULTS]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(old)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
     writer = df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
@@ -62,26 +75,70 @@ def _complete(spark: SparkSession, path: str) -> list[str]:
 
 
 def replaced(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete result that `replace_stream` or `retain` has written."""
+    """The newest complete result that `replace_stream` has written."""
     complete = _complete(spark, path)
     if not complete:
         raise FileNotFoundError(f"no complete batch in {path}")
     return spark.read.parquet(complete[-1])
 
 
-def retain(stream: DataFrame, path: str, checkpoint: str, keep: int = KEEP_VALUES, every: str | None = None) -> StreamingQuery:
-    """Keep the last `keep` values of each metric: each batch writes the former result and its new
-    rows, cut to `keep`, to a folder of its own, which `replaced` reads. A batch that runs again
-    starts from the one before it."""
-    def write(batch: DataFrame, number: int) -> None:
-        spark, own = batch.sparkSession, f"{path}/batch={number:012d}"
-        former = [x for x in _complete(spark, path) if x.rsplit("=", 1)[1] < f"{number:012d}"]
-        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(former[-1])) if former else batch
-        retain_values(rows, keep).write.mode("overwrite").parquet(own)
+class _Newest(StatefulProcessor):
+    """Keeps the newest rows of a key in list state: by the first column, then by the second, nulls oldest."""
+
+    def __init__(self, keep: int, schema: T.StructType) -> None:
+        self.keep, self.schema = keep, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", self.schema)
+
+    def handleInputRows(self, key: Row, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        def age(row: tuple) -> tuple:
+            return tuple((v is not None, v) for v in row[:2])
+
+        held = (tuple(r) for r in self.kept.get()) if self.kept.exists() else ()
+        new = (tuple(r[n] for n in self.schema.names) for r in rows)
+        self.kept.put(heapq.nlargest(self.keep, chain(held, new), key=age))
+        return iter([])
 
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    def close(self) -> None:
+        pass
+
+
+def _stored(schema: T.StructType) -> list[tuple[str, T.DataType]]:
+    """The columns of a metric row beside its name, order columns first; times as microseconds."""
+    names = ["ts", "id", *(f.name for f in schema.fields if f.name not in ("metric_name", "ts", "id"))]
+    return [(n, T.LongType() if isinstance(schema[n].dataType, T.TimestampType) else schema[n].dataType) for n in names]
+
+
+def retain(stream: DataFrame, checkpoint: str, keep: int = KEEP_VALUES, every: str | None = None) -> StreamingQuery:
+    """Keep the last `keep` values of each metric, in the state of the query: list state on RocksDB, read by `retained`.
+
+    Nothing is written besides the state, which Spark retires by itself, so a stream may run for any time. A metric is
+    dealt out over PARTS keys that keep `keep` values each, so a hot one is shared by as many tasks; that is also the
+    bound on the state. A query that starts again on its checkpoint goes on where it was.
+    """
+    spark, stored = stream.sparkSession, _stored(stream.schema)
+    columns = [F.unix_micros(n).alias(n) if isinstance(stream.schema[n].dataType, T.TimestampType) else F.col(n) for n, _ in stored]
+    dealt = stream.select("metric_name", F.pmod(F.xxhash64("ts", "id"), F.lit(PARTS)).cast("int").alias("part"), *columns)
+    newest = _Newest(keep, T.StructType([T.StructField(n, kind) for n, kind in stored]))
+    state = dealt.groupBy("metric_name", "part").transformWithState(newest, "metric_name string", "Append", "None")
+    writer = state.writeStream.format("noop").outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, ROCKSDB)  # a query takes its settings with it when it starts
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+
+
+def retained(spark: SparkSession, checkpoint: str, schema: T.StructType, keep: int = KEEP_VALUES) -> DataFrame:
+    """The values that `retain` keeps, as of its last finished trigger. `schema` is that of its stream."""
+    state = spark.read.format("statestore").option("stateVarName", "kept").load(checkpoint)
+    named = [F.timestamp_micros(f"list_element.{f.name}").alias(f.name) if isinstance(f.dataType, T.TimestampType)
+             else F.col("key.metric_name") if f.name == "metric_name" else F.col(f"list_element.{f.name}") for f in schema.fields]
+    return retain_values(state.select(*named), keep)
 
 
 def collect(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

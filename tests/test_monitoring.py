@@ -226,6 +226,38 @@ def test_retention(spark):
     assert sorted(r.value for r in batch.retain_values(data, 3).collect()) == [47, 48, 49]
 
 
+def test_streamed_retention_over_restarts(spark, tmp_path):
+    """Rows that come late, in several files and runs; nulls and repeated times; the state stays bounded."""
+    source, checkpoint = str(tmp_path / "in"), scratch_path(spark, "kept")
+    schema = "metric_name string, ts timestamp, value double, id long"
+    rng, data = random.Random(1), []
+    for run in range(3):
+        for _ in range(2):
+            new = [(rng.choice(["hot", "hot", "hot", "cold", None]), rng.choice([None, T0 + timedelta(seconds=rng.randrange(500))]),
+                    rng.choice([None, float(rng.randrange(9))]), len(data) + i) for i in range(60)]
+            data += new
+            spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(source)
+        rows_in = stream.read_stream(spark, source, schema, files_per_trigger=1)
+        stream.retain(rows_in, checkpoint, keep=5).awaitTermination()
+        got = stream.retained(spark, checkpoint, rows_in.schema, keep=5)
+        assert got.columns == ["metric_name", "ts", "value", "id"]
+        want = batch.retain_values(spark.createDataFrame(data, schema), 5)
+        assert rows(got) == rows(want)
+    held = spark.read.format("statestore").option("stateVarName", "kept").load(checkpoint)
+    assert held.groupBy("key").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_old_results_are_deleted(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "metric_name string, ts timestamp, value double, id long"
+    for i in range(stream.KEPT_RESULTS + 4):
+        spark.createDataFrame([("cpu", T0 + timedelta(seconds=i), float(i), i)], schema).coalesce(1).write.mode("append").parquet(source)
+    latest = stream.latest(stream.read_stream(spark, source, schema, files_per_trigger=1))
+    stream.replace_stream(latest, path, path + "-checkpoint").awaitTermination()
+    assert rows(stream.replaced(spark, path)) == [("cpu", float(stream.KEPT_RESULTS + 3))]
+    assert len(list((tmp_path / "out").glob("batch=*"))) == stream.KEPT_RESULTS
+
+
 def test_run_metrics(spark):
     got = stream.run_metrics(spark, 7, T0, 12.5, 100, True)
     assert rows(got.select("metric_name", "value", "metric_type")) == [
