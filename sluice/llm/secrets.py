@@ -1,4 +1,5 @@
-"""Secret scans: long words with digits are candidates, and a random forest removes the false ones.
+"""Secret scans: long words with digits, and values given to the name of a credential, are candidates; a random forest
+removes the false ones.
 
 The forest looks at the candidate's length and characters, its character transitions under a model of the corpus's words,
 its dictionary coverage, the path it was found under, and the words before it. Everything runs as column expressions inside
@@ -24,6 +25,7 @@ TRAIN_ROWS = 20_000      # labelled findings the forest is fitted on, half of ea
 TREES = 24
 DEPTH = 5
 MIN_LENGTH = 16
+MIN_NAMED = 6            # of a value given to the name of a credential
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPACE = r"[ \t\n\x0B\f\r]+"
@@ -82,10 +84,32 @@ def _bind(value: Column, use) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Runs of at least MIN_LENGTH characters of keys, numbers and addresses, with a digit: an array of (word, name, before,
-    value): number of the word, the name that the word begins with where it assigns one, the two words before, and the run
-    without name and final stops."""
-    return _bind(F.split(text, _SPACE), _candidates)
+    """An array of (word, name, before, value): number of the word, the name that the word begins with where it assigns one,
+    the two words before, and the value.
+
+    Runs of at least MIN_LENGTH characters of keys, numbers and addresses, with a digit, without name and final stops. And
+    whatever is given to the name of a credential, in the same word or the next one (also `bearer` and a word), the name
+    quoted or not: MIN_NAMED characters of any kind, but no plain word.
+    """
+    return _bind(F.split(text, _SPACE), lambda words: F.concat(_candidates(words), _named(words)))
+
+
+_NAME = rf"[A-Za-z0-9_\-]{{0,40}}?(?:{_CREDENTIAL.replace('(', '(?:')})(?:[0-9_\-][A-Za-z0-9_\-]{{0,20}})?"
+_GIVEN = rf"(?i)^[\"'`(\[{{,]*({_NAME})[\"'`]?[=:]+[\"'`]?"
+_GIVES_NEXT = rf"(?i)^[\"'`(\[{{,]*(?:{_NAME}[\"'`]?[=:]+|(?:authorization[=:]+)?bearer)$"
+
+
+def _named(words: Column) -> Column:
+    """Candidates by context. What a run of key characters already covers is left out."""
+    numbers = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1))
+    word = lambda i: F.get(words, i)
+    after = lambda i: F.coalesce(word(i - 1).rlike(_GIVES_NEXT), F.lit(False))
+    spots = F.filter(numbers, lambda i: (F.length(word(i)) >= MIN_NAMED) & (word(i).rlike(_GIVEN) | after(i)))
+    found = F.transform(spots, lambda i: F.struct(
+        i.alias("word"), F.regexp_extract(word(i), _GIVEN, 1).alias("name"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"),
+        F.btrim(F.regexp_replace(word(i), _GIVEN, ""), F.lit(_AROUND.replace("!", "").replace("?", ""))).alias("value")))
+    plain = rf"^[A-Za-z]?[a-z]*$|^[A-Z]+$|^\[SECRET|^{_KEY}{{{MIN_LENGTH},}}$"
+    return F.filter(found, lambda x: (F.length(x.value) >= MIN_NAMED) & ~x.value.rlike(plain))
 
 
 def _candidates(words: Column) -> Column:
@@ -211,12 +235,18 @@ def scan(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFra
 
 
 def redact(df: DataFrame, key: str, text: str, path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """The rows of `df` with every secret in `text` replaced by `mark`; all rows and other columns stay as they are."""
+    """The rows of `df` with every secret in `text` replaced by `mark`, wherever in the text it stands; all rows and other
+    columns stay as they are.
+
+    A secret that is part of another one goes with it: longer values are replaced first. Null and empty texts stay, repeated
+    rows stay alike, and an empty table gives no rows. Columns of any name are kept.
+    """
     known, forest = train(df, key, text, path)
     where = F.col(path).cast("string") if path else F.lit("")
     real = F.filter(findings(F.col(text), where, known, forest), lambda x: x.score >= 0.5)
     rows = whole_row(df, F.col(text).alias("text"), F.transform(real, lambda x: x.value).alias("secrets"))
-    clean = F.aggregate(F.array_distinct("secrets"), F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
+    longest = F.reverse(F.array_sort(F.transform(F.array_distinct("secrets"), lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))))
+    clean = F.aggregate(longest, F.col("text"), lambda t, x: F.replace(t, x.s, F.lit(mark)))
     return rows.select(*((F.when(F.size("secrets") > 0, clean).otherwise(F.col("text")) if c == text else F.col("row")[c]).alias(c)
                          for c in df.columns))
 
