@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.tables import cut, hash_sample, whole_row
 
-TRAIN_ROWS = 20_000      # labelled documents the scorer is fitted on, picked by hash
+TRAIN_ROWS = 20_000      # labelled documents the scorer is fitted on, half of each label at least where there are as many
 MODEL_FEATURES = 100_000  # words and beginnings of words tried as features
 MIN_DOCUMENTS = 3        # toxic documents a feature must be in
 STRONGEST = 5            # words that count as evidence in one document
@@ -226,13 +226,14 @@ def _weights(counts: list, toxic: int, clean: int, tried: int) -> dict[str, floa
     return out
 
 
-def _line(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and base of a logistic curve, by Newton's method with a weak pull to zero."""
+def _line(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and base of a logistic curve, by Newton's method with a weak pull to zero; `weight` is how many documents one
+    stands for."""
     x = np.column_stack([evidence, np.ones(len(evidence))])
     at, pull = np.zeros(2), np.array([0.05, 0.05])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (toxic - p) - pull * at)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (weight * (toxic - p)) - pull * at)
         at = at + step
         if np.abs(step).max() < 1e-9:
             break
@@ -260,15 +261,21 @@ def _mapped(df: DataFrame, restorer: Restorer, schema: str, use) -> DataFrame:
 def fit(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, restorer: Restorer) -> Scorer:
     """A scorer from at most TRAIN_ROWS labelled documents, none of them held out.
 
-    Conflicting labels of a key: toxic counts. Without toxic or without clean documents every score is the same.
+    Each label is sampled by itself, so a rare one is learned at any size of the table; documents then weigh as many as
+    they stand for. Conflicting labels of a key: toxic counts. Rows that share a key: one text of them is taken. Without
+    toxic or without clean documents every score is the same.
     """
     known = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
              .groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic")))
-    picked = hash_sample(cut(known, "toxic-labels"), ["key"], TRAIN_ROWS)
+    known = cut(known.select("key", (F.col("toxic") == 1).cast("int").alias("toxic")), "toxic-labels")
+    labelled = {r.toxic: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    limits = [TRAIN_ROWS - min(labelled.get(1 - v, 0), TRAIN_ROWS // 2) for v in (0, 1)]
+    picked = [hash_sample(known.where(F.col("toxic") == v), ["key"], limit) for v, limit in enumerate(limits)]
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sample = cut(texts.join(F.broadcast(picked), "key").select("text", "toxic"), "toxic-sample")
+    sample = cut(texts.join(F.broadcast(picked[0].union(picked[1])), "key").groupBy("key").agg(
+        F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxic-sample")
     sizes = {r.toxic: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Scorer({}, 0.0, 2.0 if toxic else -2.0)
 
@@ -296,7 +303,9 @@ def fit(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, resto
         return [pa.array([scorer.evidence(own.words(t)) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)]
 
     seen = _mapped(sample.repartition(16), restorer, "evidence double, toxic int", weighed).toPandas()
-    scorer.slope, scorer.base = _line(seen.evidence.to_numpy(float), (seen.toxic == 1).to_numpy(float))
+    stands_for = np.array([max(1.0, labelled[v] / limit) for v, limit in enumerate(limits)])
+    is_toxic = seen.toxic.to_numpy(int)
+    scorer.slope, scorer.base = _line(seen.evidence.to_numpy(float), is_toxic.astype(float), stands_for[is_toxic])
     return scorer
 
 

@@ -231,3 +231,14 @@ def test_cut_off_archives_are_errors():
     for bad in (data[:-3], b"x" + data):
         with pytest.raises(ValueError):
             warc.parse(bad)
+
+
+def test_rare_label_is_learned(spark, monkeypatch):
+    """Few toxic documents among many labelled ones, and a bound on the sample far below their number."""
+    docs = [(i, f"quiet words about gardens and rivers number {i % 97} here") for i in range(4000)]
+    docs += [(4000 + i, f"you are a zorgblat and nothing but a zorgblat {i}") for i in range(24)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i >= 4000)) for i, _ in docs], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 120)
+    got = {r.doc_id: r.predicted for r in toxicity.document_toxicity(df, known).collect()}
+    assert all(got[i] == (i >= 4000) for i in got)
