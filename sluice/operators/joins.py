@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.operators.order import cut_number
 from sluice.session import broadcast_if_small
 
 # The names a join type goes by.
@@ -119,10 +120,7 @@ def range_join(left: DataFrame, right: DataFrame, value: str, low: str | None =
     step = max(1, int(buckets ** 0.5))
 
     def bucket(of: Column) -> Column:
-        """How many cuts are not above a value: first among every `step`-th, then among those that follow."""
-        before = F.size(F.filter("_cuts", lambda c, i: (i % step == 0) & (c <= of)))
-        block = F.greatest(before - 1, F.lit(0)) * step
-        return F.when(of.isNotNull(), block + F.size(F.filter(F.slice("_cuts", block + 1, F.lit(step)), lambda c: c <= of)))
+        return cut_number("_cuts", of, step)
 
     placed = l.select(F.struct("l.*").alias("l"), F.expr(value).alias("_v"), cuts.alias("_cuts"))
     placed = placed.select("l", "_v", bucket(F.col("_v")).alias("_bucket"))

@@ -183,6 +183,17 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).filter("o_orderpriority = '5-LOW'").select("o_orderkey", "o_totalprice")
 
 
+@query("a23_clustered_layout", """
+SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate FROM lineitem
+WHERE l_extendedprice BETWEEN 20000 AND 30000 AND l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1995-07-01'""")
+def _(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "clustered")
+    columns = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
+    files.cluster(t("lineitem").select(*columns), path, ["l_extendedprice", "l_shipdate"], 32, lookups=["l_orderkey"])
+    return t.spark.read.parquet(path).filter(
+        "l_extendedprice BETWEEN 20000 AND 30000 AND l_shipdate >= TIMESTAMP_NTZ '1995-01-01' AND l_shipdate < TIMESTAMP_NTZ '1995-07-01'")
+
+
 @query("a23_bucketed_join", """
 SELECT o_orderpriority, count(*) AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority""")
 def _(t: Tables) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.operators.order import cut_number
+
 # Formats by file name extension; anything else is CSV.
 EXTENSIONS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 _OWN_OPTIONS = {"table_name"}
@@ -137,3 +139,47 @@ def bucket(df: DataFrame, table: str, columns: Sequence[str], buckets: int, path
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
+
+
+RANK_BITS = 8  # a column's place among the others is one of 2**8
+
+
+def _sortable(df: DataFrame, column: str) -> Column:
+    """A column as something quantiles exist of: text by its first seven bytes, as a number in the same order."""
+    c = F.col(f"`{column}`")
+    if isinstance(df.schema[column].dataType, T.StringType | T.BinaryType):
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return c.cast("int") if isinstance(df.schema[column].dataType, T.BooleanType) else c
+
+
+def cluster(df: DataFrame, path: str, columns: Sequence[str], files: int = 64, lookups: Sequence[str] = ()) -> None:
+    """Store for ranges on several columns at once: rows that are near in all of them lie in the same files, so the minima
+    and maxima that Parquet keeps rule out most files whichever of the columns a filter names.
+
+    Quantiles turn each column into a rank of RANK_BITS bits, and the bits of all ranks taken in turn are one number (a Z
+    curve) that files are ranges of. Ranks follow the data, so a column's skew does not matter, and rows equal in all
+    columns are spread over files. Nulls go with the smallest values. At most seven columns. `lookups` get Bloom
+    filters, which rule files out for single values.
+    """
+    columns = list(columns)
+    if not 0 < len(columns) <= 7:
+        raise ValueError("one to seven columns")
+    points = [i / 2 ** RANK_BITS for i in range(1, 2 ** RANK_BITS)]
+    found = df.select(*[F.array_distinct(F.percentile_approx(_sortable(df, c), points, 10 * 2 ** RANK_BITS)).alias(f"q{i}")
+                        for i, c in enumerate(columns)])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    ranked = df.select(row, *[_sortable(df, c).alias(f"v{i}") for i, c in enumerate(columns)],
+                       *[F.coalesce(found.select(f"q{i}").scalar(), F.array()).alias(f"q{i}") for i in range(len(columns))])
+    ranked = ranked.select("row", *[F.coalesce(cut_number(f"q{i}", F.col(f"v{i}"), 2 ** (RANK_BITS // 2)), F.lit(0)).alias(f"r{i}")
+                                    for i in range(len(columns))])
+    curve = F.lit(0).cast("long")
+    for bit in range(RANK_BITS):
+        for i in range(len(columns)):
+            one = F.shiftright(f"r{i}", bit).bitwiseAND(F.lit(1)).cast("long")
+            curve = curve.bitwiseOR(F.shiftleft(one, bit * len(columns) + i))
+    placed = ranked.select("row", curve.alias("curve"), F.monotonically_increasing_id().alias("spread"))
+    writer = placed.repartitionByRange(files, "curve", "spread").sortWithinPartitions("curve").select(
+        *[F.col("row")[c].alias(c) for c in df.columns]).write.mode("overwrite")
+    for c in lookups:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)

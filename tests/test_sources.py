@@ -1,6 +1,8 @@
 import sqlite3
 
+import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
@@ -221,3 +223,40 @@ def test_many_tables_in_one_scan(spark, tmp_path):
         ("one", "lake", "empty", 0, 1), ("two", "memory", "days", 3, 1)}
     plan = catalog.table_metadata(tables, "one", paths)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "ReadSchema: struct<>" in plan
+
+
+def test_clustered_layout_reads_few_files(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    n = 40_000
+    table = pd.DataFrame({"a": rng.lognormal(3, 2, n), "b": rng.integers(0, 10 ** 6, n), "name": rng.permutation(n).astype(str),
+                          "key": rng.permutation(n) * 3, "same": 7})
+    df = spark.createDataFrame(table).withColumn("a", F.when(F.col("key") % 50 == 0, None).otherwise(F.col("a")))
+    path = str(tmp_path / "clustered")
+    files.cluster(df, path, ["a", "b"], 64, lookups=["key"])
+    back = spark.read.parquet(path)
+    assert back.columns == df.columns and back.exceptAll(df).isEmpty() and back.count() == n
+
+    def scanned(condition):
+        """Rows that the scan handed on: those of the row groups it could not rule out."""
+        found = back.where(condition)
+        assert rows(found) == rows(df.where(condition))
+        plan = found._jdf.queryExecution().executedPlan()  # the plan that `rows` has run
+        return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    low, high = (float(table.a.quantile(q)) for q in (0.3, 0.4))
+    both = f"a BETWEEN {low} AND {high} AND b BETWEEN 300000 AND 400000"
+    assert 0 < scanned(both) < n * 0.15
+    assert scanned(f"a BETWEEN {low} AND {high}") < n * 0.4 and scanned("b BETWEEN 300000 AND 400000") < n * 0.4
+    assert scanned("key = 60001") < n * 0.1  # not there, though inside the bounds of every file
+
+    files.cluster(df, path + "-three", ["name", "b", "a"], 64)
+    back = spark.read.parquet(path + "-three")
+    assert scanned("name >= '5' AND name < '6'") < n * 0.6 and scanned(both) < n * 0.4
+
+    files.cluster(df.select("same"), str(tmp_path / "one"), ["same"], 8)
+    parts = [pq.read_metadata(f).num_rows for f in (tmp_path / "one").glob("*.parquet")]
+    assert len(parts) == 8 and max(parts) < n / 4
+    files.cluster(df.limit(0), str(tmp_path / "none"), ["a"], 4)
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError, match="seven"):
+        files.cluster(df, path, [])
