@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +30,14 @@ SAMPLES = 3
 SMOOTHING = 1.0          # powers below 1 flatten the distribution of segmentations
 SEED = 11
 TEXT_BLOCK = 1 << 19     # characters of text worked on at a time
-LEARN_BLOCK = 1 << 16    # characters of new chunks whose lattices are made at a time
-CACHED_EDGES = 5_000_000  # edges of lattices a task remembers before it starts afresh
+LEARN_BLOCK = 1 << 16    # nodes of new lattices made at a time
+CACHED_EDGES = 3_000_000  # edges of lattices a task remembers before it starts afresh
 
 FAINT = 40.0             # below exp(-40) a probability is less than the last digit of 1
 DRAWN = 64               # random numbers made for each text at once
 
 _SPACE = "▁"
 _CHUNK = re.compile(f"{_SPACE}+[^{_SPACE}]*")
-_SLOTS = 1 << 20
 _SHIFT = np.uint64(11)
 
 
@@ -87,9 +87,9 @@ def _uniform(keys: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     return ((_mix(keys + counted) >> _SHIFT).astype(np.float64) + 0.5) / 2.0 ** 53
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    """Where a step of the trie is first looked for."""
-    return (keys * 0x9E3779B97F4A7C1 >> 20) % _SLOTS
+def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
+    """Where a step of the trie is first looked for; the number of slots is a power of two."""
+    return (keys * 0x9E3779B97F4A7C1 >> 20) & (slots - 1)
 
 
 def _below(location: np.ndarray, bound: float | np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -98,6 +98,11 @@ def _below(location: np.ndarray, bound: float | np.ndarray, u: np.ndarray) -> np
         return -np.logaddexp(-bound, -location + np.log(-np.log(u)))
 
 
+def _plain(text: str) -> bool:
+    """Whether every space of a text starts a chunk and nothing else does."""
+    return bool(text) and "  " not in text and _SPACE not in text and text[0] != " "
+
+
 class Lattices:
     """Lattices of chunks of text, node after node in flat arrays, remembered by chunk.
 
@@ -117,19 +122,20 @@ class Lattices:
         self.ends = np.array([vocabulary.pieces.get(p, -1) for p in states], np.int64)
         steps = [(states[p[:-1]], ord(p[-1]), i) for p, i in states.items() if p]
         begin, sign, child = (np.array(x, np.int64) for x in zip(*steps))
-        self.step_keys, self.step_child = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, np.int64)
         keys = begin << 21 | sign
-        slots = _slot(keys)
+        self.slots = 1 << (3 * len(keys)).bit_length()
+        self.step_keys, self.step_child = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32)
+        slots = _slot(keys, self.slots)
         while len(keys):  # one step a slot; the others go to the next one
             _, first = np.unique(slots, return_index=True)
             first = first[self.step_keys[slots[first]] < 0]
             self.step_keys[slots[first]], self.step_child[slots[first]] = keys[first], child[first]
             keys, child, slots = (np.delete(x, first) for x in (keys, child, slots))
-            slots = (slots + 1) % _SLOTS
+            slots = (slots + 1) & (self.slots - 1)
         self.log_p = np.full(max(vocabulary.log_p) + 1, -np.inf)
         for i, x in vocabulary.log_p.items():
             self.log_p[i] = x
-        self.first, self.source, self.target, self.piece = (np.empty(0, np.int32) for _ in range(4))
+        self.first, self.target, self.piece = (np.empty(0, np.int32) for _ in range(3))
         self.sure, self.upto = np.empty(0), np.empty(0)
         self.clear()
 
@@ -151,148 +157,172 @@ class Lattices:
         """Chunks that no piece crosses, each without the space it begins with; an empty text has none."""
         if not text:
             return []
-        if "  " not in text and _SPACE not in text and text[0] != " ":
+        if _plain(text):
             return text.split(" ")
         return [c[1:] for c in _CHUNK.findall(_SPACE + text.replace(" ", _SPACE))]
 
     def _follow(self, states: np.ndarray, signs: np.ndarray) -> np.ndarray:
         """The states one sign further, or -1."""
         keys = states << 21 | signs
-        slots, out = _slot(keys), np.full(len(keys), -1, np.int64)
-        open_ = np.arange(len(keys))
+        slots = _slot(keys, self.slots)
+        held = self.step_keys[slots]
+        out = np.where(held == keys, self.step_child[slots], -1).astype(np.int64)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
         while len(open_):
-            held = self.step_keys[slots]
+            slots[open_] = (slots[open_] + 1) & (self.slots - 1)
+            held = self.step_keys[slots[open_]]
             hit = held == keys[open_]
-            out[open_[hit]] = self.step_child[slots[hit]]
-            on = ~hit & (held >= 0)
-            open_, slots = open_[on], (slots[on] + 1) % _SLOTS
+            out[open_[hit]] = self.step_child[slots[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
         return out
 
+    def _bare(self, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, log probability) of signs without a piece, spelled in bytes."""
+        distinct, which = np.unique(signs, return_inverse=True)
+        numbers, weights = np.empty(len(distinct), np.int64), np.empty(len(distinct))
+        for i, code in enumerate(distinct.tolist()):
+            if code not in self.spelled:
+                raw = [self.vocabulary.bytes_from + b for b in chr(code).replace(_SPACE, " ").encode("utf-8", "surrogatepass")]
+                self.fallback = np.vstack([self.fallback, np.array([raw + [-1] * (4 - len(raw))], np.int32)])
+                self.spelled[code] = len(self.fallback)
+            numbers[i] = -self.spelled[code]
+            row = self.fallback[self.spelled[code] - 1]
+            weights[i] = self.log_p[row[row >= 0]].sum()
+        return numbers[which], weights[which]
+
     def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(node, length, piece, log weight) of all pieces that start at nodes with `left` signs to the end of their chunk;
-        a sign without a piece becomes its bytes."""
-        found, at = [], np.flatnonzero(left > 0)
-        states = np.zeros(len(at), np.int64)
+        """(edges of each node; node, length, piece, log weight of each edge, node after node, longest first) for all pieces
+        that start at nodes with `left` signs to the end of their chunk; a sign without a piece becomes its bytes."""
+        at = np.flatnonzero(left > 0)
+        states, held, found = np.zeros(len(at), np.int64), np.zeros(len(codes), np.int64), []
         for n in range(1, self.longest + 1):
-            on = left[at] >= n
-            at, states = at[on], states[on]
+            if n > 1:
+                on = left[at] >= n
+                at, states = at[on], states[on]
+            if not len(at):
+                break
             states = self._follow(states, codes[at + n - 1])
+            piece = np.where(states >= 0, self.ends[states], -1)
+            node = at if n == 1 else at[piece >= 0]
+            weight = self.log_p[piece] if n == 1 else self.log_p[piece[piece >= 0]]
+            if n == 1:
+                bare = np.flatnonzero(piece < 0)
+                piece[bare], weight[bare] = self._bare(codes[at[bare]])
+            found.append((node, held[node], n, piece if n == 1 else piece[piece >= 0], weight))
+            held[node] += 1
             at, states = at[states >= 0], states[states >= 0]
-            piece = self.ends[states]
-            whole = piece >= 0
-            found.append((at[whole], np.full(int(whole.sum()), n), piece[whole]))
-        node, length, piece = (np.concatenate(x) for x in zip(*found[::-1]))  # longest first
-        weight = self.log_p[piece]
-        bare = left > 0
-        bare[node[length == 1]] = False
-        bare = np.flatnonzero(bare)
-        if len(bare):
-            signs, which = np.unique(codes[bare], return_inverse=True)
-            numbers, weights = np.empty(len(signs), np.int64), np.empty(len(signs))
-            for i, code in enumerate(signs.tolist()):
-                if code not in self.spelled:
-                    raw = [self.vocabulary.bytes_from + b for b in chr(code).replace(_SPACE, " ").encode("utf-8", "surrogatepass")]
-                    self.fallback = np.vstack([self.fallback, np.array([raw + [-1] * (4 - len(raw))], np.int32)])
-                    self.spelled[code] = len(self.fallback)
-                numbers[i] = -self.spelled[code]
-                row = self.fallback[self.spelled[code] - 1]
-                weights[i] = self.log_p[row[row >= 0]].sum()
-            node, length = np.concatenate([node, bare]), np.concatenate([length, np.ones(len(bare), np.int64)])
-            piece, weight = np.concatenate([piece, numbers[which]]), np.concatenate([weight, weights[which]])
-        return node, length, piece, self.smoothing * weight
-
-    def learn(self, chunks: set[str]) -> None:
-        """Add the lattices of chunks that are not remembered, all at once."""
-        new = [c for c in chunks if c not in self.chunks]
-        while new:
-            sizes = np.cumsum([len(c) for c in new])
-            count = max(1, int(np.searchsorted(sizes, LEARN_BLOCK)))
-            self._learn(new[:count])
-            new = new[count:]
+        last = np.cumsum(held) - 1
+        size = int(last[-1]) + 1
+        length, pieces, weights = np.empty(size, np.int64), np.empty(size, np.int32), np.empty(size)
+        for node, shorter, n, piece, weight in found:
+            place = last[node] - shorter
+            length[place], pieces[place], weights[place] = n, piece, weight
+        return held, np.repeat(np.arange(len(codes)), held), length, pieces, self.smoothing * weights
+
+    def learn(self, new: list[str]) -> None:
+        """Add the lattices of different chunks that are not remembered, many at once."""
+        ends, start = np.cumsum([len(c) + 2 for c in new]), 0
+        while start < len(new):
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + LEARN_BLOCK)))
+            self._learn(new[start:stop])
+            start = stop
 
     def _learn(self, new: list[str]) -> None:
-        whole = "".join(f"{_SPACE}{c}\0" for c in new)
+        whole = "".join([f"{_SPACE}{c}\0" for c in new])
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.array([len(c) + 2 for c in new])
         ends = np.cumsum(sizes) - 1  # the end nodes
-        left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(codes))
+        left = np.repeat(ends, sizes) - np.arange(len(codes))
         base, edges = self.nodes, self.edges
         self.chunks.update(zip(new, (base + ends + 1 - sizes).tolist()))
-        node, length, piece, weight = self._edges(codes, left)
-        # Log of the summed weights of all ways from a node to the end of its chunk, from the end backwards.
-        order = np.argsort(node.astype(np.uint32), kind="stable")
-        node, length, piece, weight = node[order], length[order], piece[order], weight[order]
-        starts = np.flatnonzero(np.diff(node, prepend=-1))
-        sizes = np.diff(np.append(starts, len(node)))
-        total, to = np.zeros(len(codes)), node + length
-        behind = left[node].astype(np.uint16 if len(left) < 1 << 16 else np.uint32)
-        by_left = np.argsort(behind, kind="stable")
-        borders = np.append(np.flatnonzero(np.diff(behind[by_left].astype(np.int64), prepend=-1)), len(node)).tolist()
-        for i in range(len(borders) - 1):
-            here = by_left[borders[i]:borders[i + 1]]
-            own = node[here]
-            ways, heads = weight[here] + total[to[here]], np.flatnonzero(np.diff(own, prepend=-1))
-            top = np.maximum.reduceat(ways, heads)
-            spread = np.exp(ways - np.repeat(top, np.diff(np.append(heads, len(ways)))))
-            total[own[heads]] = top + np.log(np.add.reduceat(spread, heads))
+        held, node, length, piece, weight = self._edges(codes, left)
+        # Log of the summed weights of all ways from a node to the end of its chunk, from the end backwards: nodes as far
+        # from their ends go together.
+        to = node + length
+        behind = left[node]
+        by_left = np.argsort(behind.astype(np.uint16 if len(left) < 1 << 16 else np.uint32), kind="stable")
+        levels, own, onto, ahead = behind[by_left], node[by_left], to[by_left], weight[by_left]
+        heads = np.flatnonzero(np.diff(own, prepend=-1) | np.diff(levels, prepend=-1))
+        starts = np.append(np.flatnonzero(np.diff(levels, prepend=-1)), len(levels))
+        cuts, repeats, owners = np.searchsorted(heads, starts).tolist(), np.diff(np.append(heads, len(own))), own[heads]
+        total, starts = np.zeros(len(codes)), starts.tolist()
+        for a, b, x, y in zip(starts, starts[1:], cuts, cuts[1:]):
+            ways, groups = ahead[a:b] + total[onto[a:b]], heads[x:y] - a
+            top = np.maximum.reduceat(ways, groups)
+            spread = np.exp(ways - np.repeat(top, repeats[x:y]))
+            total[owners[x:y]] = top + np.log(np.add.reduceat(spread, groups))
         sure = np.minimum(0.0, weight + total[to] - total[node])
         odds = np.exp(sure)
-        first = np.searchsorted(node, np.arange(len(codes)))
+        after = np.cumsum(held)
+        first, some = after - held, held > 0
         run = np.cumsum(odds)
-        upto = run - np.repeat(run[starts] - odds[starts], sizes)
-        upto[starts + sizes - 1] = 2.0
+        upto = run - np.repeat(run[first[some]] - odds[first[some]], held[some])
+        upto[after[some] - 1] = 2.0
         target = np.where(left[to] > 0, to + base, -1)
         self._put("first", base, first + edges)
-        for name, part in (("source", node + base), ("target", target), ("piece", piece), ("sure", sure), ("upto", upto)):
+        for name, part in (("target", target), ("piece", piece), ("sure", sure), ("upto", upto)):
             self._put(name, edges, part)
         self.nodes, self.edges = base + len(codes), edges + len(node)
 
+    def places(self, texts: list[str]) -> list[np.ndarray]:
+        """The first nodes of the chunks of each text; lattices that are not remembered are made."""
+        plain = [i for i, t in enumerate(texts) if _plain(t)]
+        odd = [i for i, t in enumerate(texts) if not _plain(t)]
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        others = [self.split(texts[i]) for i in odd]
+        flat = pa.concat_arrays([lists.flatten(), pa.array([c for chunks in others for c in chunks], pa.string())]).dictionary_encode()
+        different = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.edges > CACHED_EDGES:
+            self.clear()
+        self.learn([c for c in different if c not in self.chunks])
+        nodes = np.array([self.chunks[c] for c in different], np.int64)[flat.indices.to_numpy()]
+        sizes = [*pc.list_value_length(lists).to_pylist(), *map(len, others)]
+        out = [nodes[:0]] * len(texts)
+        for i, end, size in zip([*plain, *odd], np.cumsum(sizes, dtype=np.int64).tolist(), sizes):
+            out[i] = nodes[end - size:end]
+        return out
+
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One random path from each node to the end of its chunk: (walker, edge), in order of walker and step."""
-        walker, step, found = np.arange(len(nodes)), 0, []
+        """One random path from each node to the end of its chunk: its edges, walker after walker, and how many each took."""
+        walker, counts, found = np.arange(len(nodes)), np.zeros(len(nodes), np.int64), []
         while len(walker):
-            u = _uniform(keys[walker], step)
+            u = _uniform(keys, len(found))
             edge = self.first[nodes]
             over = np.flatnonzero(u >= self.upto[edge])
             while len(over):
                 edge[over] += 1
                 over = over[u[over] >= self.upto[edge[over]]]
             found.append((walker, edge))
-            to = self.target[edge]
-            walker, nodes = walker[to >= 0], to[to >= 0]
-            step += 1
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        walkers, edges = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(walkers, kind="stable")
-        return walkers[order], edges[order]
-
-    def rest(self, path: np.ndarray) -> np.ndarray:
-        """Log probabilities of the other edges of each edge's node together; minus infinity where there are none."""
-        nodes = self.source[path]
-        with np.errstate(divide="ignore"):
-            rest = np.log(-np.expm1(self.sure[path]))
-        rest[self.first[nodes + 1] - self.first[nodes] == 1] = -np.inf
-        return rest
+            nodes = self.target[edge]
+            on = nodes >= 0
+            counts[walker[~on]] = len(found)
+            walker, nodes, keys = walker[on], nodes[on], keys[on]
+        starts = np.cumsum(counts) - counts
+        edges = np.empty(int(counts.sum()), np.int32)
+        for step, (walker, edge) in enumerate(found):
+            edges[starts[walker] + step] = edge
+        return edges, counts
 
     def others(self, edge: int, out: frozenset[int]) -> list[int]:
         """Edges of the same node, without those that are ruled out."""
-        node = self.source[edge]
+        node = int(np.searchsorted(self.first[:self.nodes], np.int32(edge), side="right")) - 1  # behind ends of chunks, which have none
         end = self.first[node + 1]  # a node that has edges is not the last
         return [e for e in range(int(self.first[node]), int(end)) if e not in out]
 
-    def numbers(self, path: np.ndarray) -> np.ndarray:
-        """The pieces of a path."""
-        pieces = self.piece[path]
+    def numbers(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """The pieces of each path."""
+        ends = np.cumsum([len(p) for p in paths], dtype=np.int64)
+        pieces = self.piece[np.concatenate(paths)] if paths else self.piece[:0]
         spelled = np.flatnonzero(pieces < 0)
-        if not len(spelled):
-            return pieces
-        raw = self.fallback[-pieces[spelled] - 1]
-        sizes = np.ones(len(pieces), np.int64)
-        sizes[spelled] = (raw >= 0).sum(axis=1)
-        out = np.repeat(pieces, sizes)
-        out[out < 0] = raw[raw >= 0]
-        return out
+        if len(spelled):
+            raw = self.fallback[-pieces[spelled] - 1]
+            sizes = np.ones(len(pieces), np.int64)
+            sizes[spelled] = (raw >= 0).sum(axis=1)
+            pieces = np.repeat(pieces, sizes)
+            pieces[pieces < 0] = raw[raw >= 0]
+            ends = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        return [pieces[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 class _Search:
@@ -351,6 +381,21 @@ class _Search:
                 for top, path, p in self.done]
 
 
+def _smallest(values: np.ndarray, own: np.ndarray, owners: int, wanted: int) -> np.ndarray:
+    """Places of the `wanted` smallest finite values of each owner; values of an owner are neighbours."""
+    sizes = np.bincount(own, minlength=owners)
+    starts, left, found = (np.cumsum(sizes) - sizes)[sizes > 0], values.copy(), []
+    for _ in range(min(wanted, int(sizes.max(initial=0)))):
+        least = np.minimum.reduceat(left, starts)
+        if not np.isfinite(least).any():
+            break
+        here = np.flatnonzero((left == np.repeat(least, sizes[sizes > 0])) & (left < np.inf))
+        here = here[np.diff(own[here], prepend=-1) > 0]  # of equal values the first
+        found.append(here)
+        left[here] = np.inf
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
 def _left_aside(lattices: Lattices, edges: np.ndarray, ends: np.ndarray, turns: list[tuple], turn: int, wanted: int
                 ) -> tuple[list[list[tuple[float, int, float]]], list[float]]:
     """For the walks of all texts at once: the best sets that each left aside, and the log probability of its path.
@@ -358,26 +403,27 @@ def _left_aside(lattices: Lattices, edges: np.ndarray, ends: np.ndarray, turns:
     Places before which a path has less than exp(-FAINT) of the mass of its set are beyond what a double can tell.
     """
     counts = np.diff(ends, prepend=0)
-    owner = np.repeat(np.arange(len(turns)), counts)
+    first = ends - counts
     begun = np.array([t[4] for t in turns])
     sure = lattices.sure[edges]
     run = np.concatenate([[0.0], np.cumsum(sure)])
-    first = ends - counts
-    upto = run[1:] - run[first][owner] + begun[owner]
-    ahead = upto - sure
+    owner = np.repeat(np.arange(len(turns)), counts)
+    within = run[:-1] - run[first][owner]
     log_p = (run[ends] - run[first] + begun).tolist()
-    near = np.flatnonzero(ahead >= begun[owner] - FAINT)
-    location = ahead[near] + lattices.rest(edges[near])
-    near, location = near[location > -np.inf], location[location > -np.inf]
-    own = owner[near]
-    keys, tops = np.concatenate([t[0].key for t in turns]), np.array([t[1] for t in turns])
-    within = near - first[own]
-    maxima = _below(location, tops[own], _uniform(keys[own], within + ((turn + 1) << 32)))
-    order = np.lexsort((-maxima, own))
-    rank = np.arange(len(order)) - np.searchsorted(own, own[order])
+    near = np.flatnonzero(within >= -FAINT)
+    own, within = owner[near], within[near]
+    # A Gumbel number is minus the log of an exponential one over its mass, so the largest are the first to come.
+    place = near - first[own]
+    keys = np.concatenate([t[0].key for t in turns])
+    drawn = -np.log(_uniform(keys[own], place + ((turn + 1) << 32)))
+    with np.errstate(divide="ignore"):
+        times = drawn / (np.exp(within) * (0.0 - np.expm1(sure[near])))  # where nothing else leaves a node: never
+    few = _smallest(times, own, len(turns), wanted)
+    own, within, place = own[few], within[few] + begun[own[few]], place[few]
+    maxima = -np.logaddexp(-np.array([t[1] for t in turns])[own], np.log(times[few]) - begun[own])
     aside: list[list[tuple[float, int, float]]] = [[] for _ in turns]
-    for i in order[rank < wanted].tolist():
-        aside[own[i]].append((float(maxima[i]), turns[own[i]][3] + int(within[i]), float(ahead[near[i]])))
+    for i, top, at, ahead in zip(own.tolist(), maxima.tolist(), place.tolist(), within.tolist()):
+        aside[i].append((top, turns[i][3] + at, ahead))
     return aside, log_p
 
 
@@ -386,45 +432,53 @@ def segmentations(lattices: Lattices, texts: list[str], keys: list[str], wanted:
 
     Each text is a function of itself, its key and the seed alone. The walks of all texts go in step.
     """
-    split = [lattices.split(t) for t in texts]
-    if lattices.edges > CACHED_EDGES:
-        lattices.clear()
-    lattices.learn({c for chunks in split for c in chunks})
+    nodes = lattices.places(texts)
     hashed = np.array([xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), seed) for key in keys], dtype=np.uint64)
     drawn = _uniform(hashed[:, None], np.arange(DRAWN)) if keys else []
-    place = lattices.chunks.__getitem__
-    searches = [_Search(lattices, np.fromiter(map(place, chunks), np.int64, len(chunks)), hashed[i:i + 1], drawn[i], wanted)
-                for i, chunks in enumerate(split)]
+    searches = [_Search(lattices, own, hashed[i:i + 1], drawn[i], wanted) for i, own in enumerate(nodes)]
     turns = [(s, s.begin(), np.empty(0, np.int64), 0, 0.0) for s in searches]
     turn = 0
     while turns:
-        starts, walker_keys, sizes = [], [], []
+        starts, before = [], []
         for search, _, path, place, _ in turns:
             # Chunks behind the fixed beginning; the last fixed piece may end inside its chunk.
             inside = int(lattices.target[path[place - 1]]) if place else -1
             ended = int((lattices.target[path[:place]] < 0).sum())
-            own = search.nodes[ended:] if inside < 0 else np.concatenate([[inside], search.nodes[ended + 1:]])
-            places = np.arange(ended, ended + len(own), dtype=np.uint64)
-            starts.append(own)
-            walker_keys.append(_mix(search.key + _mix(places + np.uint64((turn + 1) << 40))))
-            sizes.append(len(own))
-        walkers, edges = lattices.walk(np.concatenate(starts), np.concatenate(walker_keys))
-        ends = np.searchsorted(walkers, np.cumsum(sizes))
+            starts.append(search.nodes[ended:] if inside < 0 else np.concatenate([[inside], search.nodes[ended + 1:]]))
+            before.append(ended)
+        sizes = np.array([len(own) for own in starts])
+        to = np.cumsum(sizes)
+        places = np.arange(to[-1]) + np.repeat(np.array(before) - (to - sizes), sizes)
+        text_keys = np.repeat(np.concatenate([t[0].key for t in turns]), sizes)
+        counted = (places + ((turn + 1) << 40)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        edges, steps = lattices.walk(np.concatenate(starts), _mix(text_keys + counted))
+        ends = np.concatenate([[0], np.cumsum(steps)])[to]
         aside, log_p = _left_aside(lattices, edges, ends, turns, turn, wanted)
         again = []
         for i, ((search, top, path, place, before), piece) in enumerate(zip(turns, np.split(edges, ends[:-1]))):
             # What the fixed beginning left aside is held already; the free piece's own set too.
-            search.accept(top, np.concatenate([path, piece]), log_p[i], aside[i])
+            search.accept(top, np.concatenate([path, piece]) if place else piece, log_p[i], aside[i])
             following = search.turn()
             if following:
                 again.append((search, *following))
         turns, turn = again, turn + 1
-    return [[(lattices.numbers(path), p, top, share) for path, p, top, share in s.result()] for s in searches]
+    results = [s.result() for s in searches]
+    ids = iter(lattices.numbers([way[0] for ways in results for way in ways]))
+    return [[(next(ids), *way[1:]) for way in ways] for ways in results]
 
 
 def decode_pieces(ids: list[int] | np.ndarray, texts: np.ndarray) -> str:
     """The text of pieces: their bytes, without the space that encoding puts first."""
-    return b"".join(texts[np.asarray(ids, dtype=np.int64)].tolist()).decode("utf-8", "replace")[1:]
+    return b"".join(texts[np.asarray(ids, dtype=np.int64)].tolist())[1:].decode("utf-8", "replace")
+
+
+def _restored(flat: np.ndarray, ends: np.ndarray, spelled: pa.Array, texts: list[str | None]) -> list[bool | None]:
+    """Whether pieces, one list behind the other, decode to their texts; null for null."""
+    taken = spelled.take(pa.array(flat))
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int64, len(flat) + 1)[ends].tolist()
+    whole = memoryview(data) if data else b""
+    return [None if t is None else bytes(whole[a:b])[1:] == t.encode() for t, a, b in zip(texts, at, at[1:])]
 
 
 def encode(df: DataFrame, key: str, text: str, samples: int = SAMPLES, model: str = MODEL, smoothing: float = SMOOTHING,
@@ -441,24 +495,23 @@ def encode(df: DataFrame, key: str, text: str, samples: int = SAMPLES, model: st
     vocabulary = Vocabulary.read(model)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices, spelled = Lattices(vocabulary, smoothing), vocabulary.texts()
+        lattices, spelled = Lattices(vocabulary, smoothing), pa.array(vocabulary.texts().tolist(), pa.large_binary())
 
         def flush(keys: list, texts: list[str | None]) -> pa.RecordBatch:
             places = [i for i, t in enumerate(texts) if t is not None]
             found = segmentations(lattices, [texts[i] for i in places], ["null" if keys[i] is None else str(keys[i]) for i in places],
                                   samples, seed)
-            rows = [(keys[i], None, None, None, None, None, None) for i, t in enumerate(texts) if t is None]
-            for i, ways in zip(places, found):
-                rows += [(keys[i], rank, ids, p, top, share, decode_pieces(ids, spelled) == texts[i])
-                         for rank, (ids, p, top, share) in enumerate(ways)]
+            rows = [(i, None, None, None, None, None) for i, t in enumerate(texts) if t is None]
+            rows += [(i, rank, *way) for i, ways in zip(places, found) for rank, way in enumerate(ways)]
             ids = [r[2] for r in rows]
-            ends = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in ids])])
+            ends = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in ids], dtype=np.int64)])
             flat = np.concatenate([np.empty(0, np.int32), *(x for x in ids if x is not None)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([x is None for x in ids] + [False])),
-                                             pa.array(flat.astype(np.int32), pa.int32()))
+                                             pa.array(flat, pa.int32()))
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int32()), lists,
-                 *(pa.array([r[j] for r in rows], pa.float64()) for j in (3, 4, 5)), pa.array([r[6] for r in rows], pa.bool_())],
+                [pa.array([keys[r[0]] for r in rows], kind), pa.array([r[1] for r in rows], pa.int32()), lists,
+                 *(pa.array([r[j] for r in rows], pa.float64()) for j in (3, 4, 5)),
+                 pa.array(_restored(flat, ends, spelled, [texts[r[0]] for r in rows]), pa.bool_())],
                 ["key", "rank", "ids", "log_prob", "perturbed", "inclusion", "restored"])
 
         kind, keys, texts, held = None, [], [], 0
