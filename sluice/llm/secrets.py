@@ -9,7 +9,6 @@ the row: a document is never exploded or shuffled to be scanned, and the fitted
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.tables import cut, hash_sample, whole_row
 
-DICTIONARY_WORDS = 2048  # most frequent words of the corpus, the dictionary and the source of the transition model
+DICTIONARY_SHARE = 1 / 20_000  # least share of a dictionary word in all words, so there are at most 20,000
 TRAIN_ROWS = 20_000      # labelled findings the forest is fitted on, half of each label at most, picked by hash
 TREES = 24
 DEPTH = 5
@@ -43,32 +42,31 @@ FEATURES = ["length", "digit_share", "upper_share", "lower_share", "other_share"
 
 @dataclass(frozen=True)
 class Words:
-    """Frequent words, and log probabilities of one letter after another in them (27 x 27, the first for no letter)."""
+    """Frequent words, and log probabilities of one letter after another in all words (27 x 27, the first for no letter)."""
 
     words: tuple[str, ...]
     transitions: tuple[float, ...]
 
 
 def corpus_words(df: DataFrame, text: str) -> Words:
-    """The dictionary and the transition model, from counts of all words of all rows.
+    """The dictionary and the transition model, from all words of two letters or more (a to z) of all rows.
 
-    Counts are combined before the shuffle; what reaches the driver is DICTIONARY_WORDS rows. Ties go by spelling.
+    Counts are combined before the shuffle and written; what reaches the driver is the words that make up at least
+    DICTIONARY_SHARE of all, and 27 x 27 sums of pairs of letters. Without words the dictionary is empty and all
+    transitions are alike.
     """
     word = F.explode(F.split(F.translate(F.col(text), _UPPER, _LOWER), _SPACE)).alias("word")
-    counts = df.select(word).where(F.col("word").rlike("^[a-z]{2,12}$")).groupBy("word").count()
-    # Written first, so that tasks hand their best rows to one another and not to the driver.
-    top = cut(counts.orderBy(F.desc("count"), "word").limit(DICTIONARY_WORDS), "words").collect()
-    top.sort(key=lambda r: (-r["count"], r.word))
-    pairs: Counter = Counter()
-    for row in top:
-        spots = [0] + [ord(c) - 96 for c in row.word] + [0]
-        for a, b in zip(spots, spots[1:]):
-            pairs[a, b] += row["count"]
-    after = Counter()
-    for (a, _), n in pairs.items():
-        after[a] += n
-    table = (math.log((pairs[a, b] + 1) / (after[a] + 27)) for a in range(27) for b in range(27))
-    return Words(tuple(r.word for r in top), tuple(round(x, 6) for x in table))
+    counts = cut(df.select(word).where(F.col("word").rlike("^[a-z]{2,}$")).groupBy("word").count(), "words")
+    least = (counts.agg(F.sum("count")).first()[0] or 0) * DICTIONARY_SHARE
+    frequent = counts.where(F.col("count") >= least).collect()
+    frequent.sort(key=lambda r: (-r["count"], r.word))
+    spots = F.transform(F.split("word", ""), lambda c: F.instr(F.lit(_LOWER), c))
+    steps = F.zip_with(F.concat(F.array(F.lit(0)), spots), F.concat(spots, F.array(F.lit(0))), lambda a, b: a * 27 + b)
+    pairs = {r.pair: r.n for r in counts.select(F.explode(steps).alias("pair"), "count").groupBy("pair").agg(
+        F.sum("count").alias("n")).collect()}
+    after = [sum(pairs.get(a * 27 + b, 0) for b in range(27)) for a in range(27)]
+    table = (math.log((pairs.get(a * 27 + b, 0) + 1) / (after[a] + 27)) for a in range(27) for b in range(27))
+    return Words(tuple(r.word for r in frequent), tuple(round(x, 6) for x in table))
 
 
 def _listed(values: tuple, kind: str = "string") -> Column:

@@ -1,5 +1,10 @@
 """Secrets: training samples with rare or absent labels."""
 
+import math
+import re
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import secrets
@@ -55,3 +60,24 @@ def test_candidates_by_context(spark):
                                 ("password=abc1",), ("author=Name99x",), ("x Authorization: Bearer ab12.cd34-ef y",)], "text string")
     got = [[(x.word, x["name"], x.value) for x in r[0]] for r in df.select(secrets.candidates(F.col("text"))).collect()]
     assert got == [[(1, "password", "Tr0ub4dor&3")], [(0, "api_key", "a1!b2?c3")], [(1, "", "x1y2z3")], [], [], [], [(3, "", "ab12.cd34-ef")]]
+
+
+def test_words_of_the_corpus(spark, monkeypatch):
+    """Dictionary and transitions come from all words, however rare or long."""
+    texts = ["The the cat", "a cat Sat on 1the dot.", None, "", "supercalifragilistic the\tcat"]
+    seen = Counter(w for t in texts if t for w in re.split(r"[ \t]+", t.lower()) if re.fullmatch("[a-z]{2,}", w))
+    monkeypatch.setattr(secrets, "DICTIONARY_SHARE", 2 / sum(seen.values()))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    known = secrets.corpus_words(df, "text")
+    assert known.words == tuple(sorted((w for w, n in seen.items() if n >= 2), key=lambda w: (-seen[w], w)))
+    pairs = Counter()
+    for word, n in seen.items():
+        spots = [0, *(ord(c) - 96 for c in word), 0]
+        for pair in zip(spots, spots[1:]):
+            pairs[pair] += n
+    for a in range(27):
+        after = sum(pairs[a, b] for b in range(27))
+        for b in range(27):
+            assert known.transitions[a * 27 + b] == pytest.approx(math.log((pairs[a, b] + 1) / (after + 27)), abs=1e-6)
+    none = secrets.corpus_words(df.limit(0), "text")
+    assert none.words == () and len(set(none.transitions)) == 1
