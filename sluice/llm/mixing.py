@@ -22,6 +22,7 @@ ROUNDS = 5        # between two looks at how far the weights still move
 STALLED = 4       # looks in which the furthest factor has not halved: it will not get to 1
 LIMIT = 10.0      # bound of a weight's distance from its tempered cell, for given targets that contradict each other
 SEED = "mix-1"
+RATE = 0.5        # share of the tokens that a sample holds where none is asked for
 MARGINS = ["source", "lang", "topic"]
 _log = logging.getLogger(__name__)
 _NULL = "\u0001null"  # a category of its own
@@ -131,40 +132,57 @@ def residuals(weights: DataFrame, given: dict[str, dict[str, float]] | None = No
     parts = []
     for m in MARGINS:
         shares = weights.groupBy(m).agg(F.sum(F.col("weight") * F.col("tokens")).alias("own")).crossJoin(total).select(
-            m, (F.col("own") / F.col("all")).alias("share"))
+            m, F.try_divide("own", "all").alias("share"))
         parts.append(shares.join(_targets(cells, m, (given or {}).get(m)), m).select(
             F.lit(m).alias("margin"), F.col(m).alias("category"), "target", "share", (F.col("share") - F.col("target")).alias("residual")))
     return parts[0].union(parts[1]).union(parts[2])
 
 
 def _weighted(df: DataFrame, key: str, text: str, source: str, lang: str,
-              given: dict[str, dict[str, float]] | None) -> tuple[DataFrame, DataFrame]:
-    """(row, key, tokens, source, lang, topic) for every row, and the raked cells."""
+              given: dict[str, dict[str, float]] | None, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(row, key, tokens, source, lang, topic) for every row, and the raked cells.
+
+    Without `whole` the rows come without `row`, and are written, so that texts are read once.
+    """
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NULL)).alias
     rows = whole_row(df, F.col(key).alias("key"), tokens_of(F.col(text)).alias("tokens"), label(source)("source"),
                      label(lang)("lang"), topic_of(F.col(text)).alias("topic"))
+    if not whole:
+        rows = cut(rows.drop("row"), "counted")
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
-    return rows, rake(cells, given)
+    return rows, cut(rake(cells, given), "weights")
 
 
 def calibrated(df: DataFrame, key: str, text: str, source: str = "source", lang: str = "lang",
-               given: dict[str, dict[str, float]] | None = None, seed: str = SEED) -> DataFrame:
-    """(row, key, tokens, source, lang, topic, weight, probability, sampled) for every row; `row` is the whole input row.
-
-    The probability is the weight over the largest weight of a cell with tokens, so nothing is drawn twice, no probability
-    is cut off, and the tokens of the rows marked `sampled` have the target shares in expectation; the largest weight, that of
-    a rare cell mostly, sets how many they are. `sample` has a stated size instead. A row is marked if the uniform number
-    of its key is below; rows that share a key share the number, and the result is the same in every run. Null sources and
-    languages are categories. Rows without tokens count in no marginal; a cell of such rows alone has weight 1, or less
-    through its other categories. An empty table gives no rows. Cells are one row per source, language and topic, joined by broadcast
-    while their size allows, else by a join whose hot keys Spark splits.
+               given: dict[str, dict[str, float]] | None = None, seed: str = SEED, rate: float = RATE) -> DataFrame:
+    """(key, tokens, source, lang, topic, weight, probability, sampled, residual) for every row.
+
+    Probabilities are the weights times one number, and at most 1, so that the rows marked `sampled` hold `rate` of the tokens
+    in expectation, and none comes twice: cells due more than that are taken whole, the others keep their proportions, and a
+    rare cell takes no more than its own tokens from them. `sample` hands on the rows themselves. A row is marked if the uniform
+    number of its key is below its probability; rows that share a key share the number, and the result is the same in every
+    run. `residual` is how far the share of the row's source, language or topic is from its target after raking, whichever is
+    furthest: near 0 where the targets agree, and visible where they contradict each other; null without tokens in any of the
+    three. Null sources and languages are categories. Rows without tokens count in no marginal; a cell of such rows alone has
+    weight 1, or less through its other categories. An empty table gives no rows. Cells are one row per source, language and
+    topic, joined by broadcast while their size allows, else by a join whose hot keys Spark splits.
     """
-    rows, weights = _weighted(df, key, text, source, lang, given)
-    most = weights.where("tokens > 0").agg(F.max("weight").alias("most"))
-    chances = cut(weights.crossJoin(F.broadcast(most)).select(
-        *MARGINS, "weight", F.least(F.lit(1.0), F.col("weight") / F.coalesce("most", F.lit(1.0))).alias("probability")), "chances")
-    out = rows.join(broadcast_if_small(chances), MARGINS)
-    return out.withColumn("sampled", uniform(F.col("key"), seed) < F.col("probability"))
+    rows, weights = _weighted(df, key, text, source, lang, given, whole=False)
+    left = cut(residuals(weights, given), "residuals")
+    chances = weights.withColumn("probability", _chance(weights, rate))
+    for m in MARGINS:
+        part = left.where(F.col("margin") == m).select(F.col("category").alias(m), F.abs("residual").alias(f"{m}_off"))
+        chances = chances.join(broadcast_if_small(part), m, "left")
+    chances = cut(chances.select(*MARGINS, "weight", "probability", F.greatest(*[f"{m}_off" for m in MARGINS]).alias("residual")),
+                  "chances")
+    return rows.join(broadcast_if_small(chances), MARGINS).select(
+        "key", "tokens", *MARGINS, "weight", "probability", (uniform(F.col("key"), seed) < F.col("probability")).alias("sampled"),
+        "residual")
+
+
+def _chance(weights: DataFrame, rate: float) -> Column:
+    """The probability of a cell's rows, none drawn twice."""
+    return F.lit(1.0) if rate >= 1 else F.least(F.lit(1.0), F.col("weight") * _filling(weights, rate))
 
 
 def _filling(weights: DataFrame, rate: float) -> float:
@@ -193,9 +211,7 @@ def sample(df: DataFrame, key: str, text: str, source: str = "source", lang: str
     proportions to each other, scaled by one number so that the size is `rate` all the same.
     """
     rows, weights = _weighted(df, key, text, source, lang, given)
-    weights = cut(weights, "weights")
-    due = F.col("weight") * rate if repeat else F.when(F.lit(rate >= 1), 1.0).otherwise(
-        F.least(F.lit(1.0), F.col("weight") * (_filling(weights, rate) if rate < 1 else 1.0)))
+    due = F.col("weight") * rate if repeat else _chance(weights, rate)
     dues = weights.select(*MARGINS, due.alias("due"))
     times = (F.floor("due") + (uniform(F.col("key"), seed) < F.col("due") - F.floor("due")).cast("long")).cast("int")
     drawn = rows.join(broadcast_if_small(dues), MARGINS).withColumn("times", times).where("times > 0")
@@ -205,10 +221,10 @@ def sample(df: DataFrame, key: str, text: str, source: str = "source", lang: str
 
 
 def document_mix(documents: DataFrame) -> DataFrame:
-    """Weight, probability and draw of every document, all marginals tempered."""
-    rows = calibrated(documents.select("doc_id", "text", "source", "lang"), "doc_id", "text")
+    """Weight, probability and draw of every document, all marginals tempered, for a sample of half of the tokens."""
+    rows = calibrated(documents, "doc_id", "text")
     return rows.select(F.col("key").alias("doc_id"), "tokens", "topic", F.round("weight", 6).alias("weight"),
-                       F.round("probability", 6).alias("probability"), "sampled")
+                       F.round("probability", 6).alias("probability"), "sampled", F.round("residual", 6).alias("residual"))
 
 
 DOCUMENT_MIX_SQL = r"""
@@ -232,8 +248,19 @@ it AS (SELECT 0 AS k, *, 1.0::DOUBLE AS w FROM aims
     SELECT k, source, lang, topic, t, s, l, o, w * coalesce(l / nullif(sum(w * t) OVER (PARTITION BY lang), 0), 1) AS w FROM (
       SELECT k, source, lang, topic, t, s, l, o, w * coalesce(s / nullif(sum(w * t) OVER (PARTITION BY source), 0), 1) AS w FROM it))
   WHERE k < 60),
-f AS (SELECT source, lang, topic, w, least(1.0, w / (SELECT max(w) FROM it WHERE k = 60 AND t > 0)) AS p FROM it WHERE k = 60)
+z AS (SELECT source, lang, topic, t, w, s, l, o FROM it WHERE k = 60),
+-- Cells from the largest weight down: c fills the rate if the cells before are taken whole; the first c that leaves a cell below 1.
+o AS (SELECT w, (0.5 * (SELECT sum(t) FROM z) - coalesce(sum(t) OVER (ORDER BY w DESC, source, lang, topic
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(w * t) OVER (ORDER BY w DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+      FROM z WHERE t > 0),
+fill AS (SELECT arg_max(c, w) AS c FROM o WHERE c * w < 1),
+m AS (SELECT source, lang, topic, w, greatest(
+        CASE WHEN s > 0 THEN abs(sum(w * t) OVER (PARTITION BY source) - s) END, CASE WHEN l > 0 THEN abs(sum(w * t) OVER (PARTITION BY lang) - l) END,
+        CASE WHEN o > 0 THEN abs(sum(w * t) OVER (PARTITION BY topic) - o) END) / (SELECT sum(t) FROM z) AS residual FROM z),
+f AS (SELECT source, lang, topic, w, least(1.0, w * (SELECT c FROM fill)) AS p, residual FROM m)
 SELECT doc_id, tokens::BIGINT AS tokens, topic, round(w, 6) AS weight, round(p, 6) AS probability,
-       ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, chr(1) || 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < p AS sampled
+       ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, chr(1) || 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < p AS sampled,
+       round(residual, 6) AS residual
 FROM d JOIN f USING (source, lang, topic)
 """

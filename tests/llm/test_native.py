@@ -86,6 +86,7 @@ def test_mix_odd_rows(spark):
     assert len(twice) == 2 and twice[0].sampled == twice[1].sampled
     assert {r.topic for r in rows if r.key in (2, 3)} == {"empty"}
     assert mixing.sample(odd(spark), "doc_id", "text").columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    assert all(r.residual is None or r.residual >= 0 for r in rows)
     assert mixing.document_mix(odd(spark).limit(0)).count() == 0
     assert mixing.document_mix(odd(spark).where("doc_id IN (2, 3)")).count() == 2
 
@@ -99,6 +100,11 @@ def test_a_rare_cell_does_not_shrink_the_sample(spark):
     kept = mixing.sample(rare, "doc_id", "text", rate=0.5, repeat=False).cache()
     assert abs(kept.count() / 4001 - 0.5) < 0.03 and kept.distinct().count() == kept.count()
     assert kept.where("doc_id = 9999").count() == 1
+    drawn = lambda t: mixing.calibrated(t, "doc_id", "text").agg(
+        F.sum(F.col("tokens") * F.col("probability")) / F.sum("tokens"), F.max("residual"), F.sum(F.col("sampled").cast("int"))).first()
+    for t in (df, rare):
+        share, residual, rows = drawn(t)
+        assert abs(share - 0.5) < 1e-9 and residual < 1e-6 and abs(rows / 4000 - 0.5) < 0.03
 
 
 def test_contradicting_targets_keep_all_cells(spark, caplog):
