@@ -1,10 +1,13 @@
 """Window functions, with a split form for partitions too big for one task.
 
 A plain window sorts each partition in one task. When one partition may hold a large
-share of the table, pass `bucket="auto"`: rows are dealt out by ranges of partition and order
-columns, whose bounds follow the data, and written to the scratch folder, so their number per
-task is the same at any size. `bucket` may also be an expression that never decreases along the
-first order column (a day of a timestamp, a block of an id). Each bucket is then windowed on
+share of the table, pass `bucket="auto"`: rows are dealt out by ranges of partition columns, order
+columns and a hash of the row, whose bounds follow the data, so their number per task is the
+same at any size, also where many rows are equal in all order columns. Rank and row number are
+then read off the places of rows in sorted files. Running values are the same for all rows that
+are equal in partition and order columns, so these are first added up to one row each. Lag and
+lead window each range on its own. `bucket` may also be an expression that never decreases along
+the first order column (a day of a timestamp, a block of an id): each bucket is then windowed on
 its own, and the small table of bucket totals supplies what came before it.
 """
 
@@ -76,9 +79,9 @@ def window(df: DataFrame, fn: str, alias: str, column: str | None = None, partit
     if isinstance(bucket, str) and bucket == "auto":
         if not order:
             raise ValueError("buckets follow an order")
-        out = window(_ranged(df, list(partition), list(order), descending), fn, alias, column, partition, order, offset,
-                     descending, frame, F.col("_range"))
-        return out.drop("_range")
+        if frame is not None:
+            raise ValueError("a bucketed window takes the default frame")
+        return _by_ranges(df, fn, alias, column, list(partition), list(order), offset, descending)
     if isinstance(bucket, str):
         bucket = F.expr(bucket)
     if bucket is not None and order:
@@ -106,17 +109,81 @@ def _whole_partition(df: DataFrame, fn: str, alias: str, column: str | None, par
     return df.withColumn("_g", _key(partition)).join(broadcast_if_small(side) if few_groups else side, "_g", "left").drop("_g")
 
 
-def _ranged(df: DataFrame, partition: list[str], order: list[str], descending: bool) -> DataFrame:
-    """The rows with `_range`, which never decreases along the order within a partition. Rows
-    that are equal in all of these columns have the same range."""
+def _by_ranges(df: DataFrame, fn: str, alias: str, column: str | None, partition: list[str], order: list[str], offset: int,
+               descending: bool) -> DataFrame:
+    """Rows equal in all order columns are taken in the order of a hash of the row, so only rows equal
+    in all columns share a range."""
+    if fn in RUNNING:
+        return _by_value(df, fn, alias, column, partition, order, descending)
+    if fn not in RANKING + SHIFTING:
+        raise ValueError(f"{fn} has no bucketed form")
+    df = df.withColumn("_tie", _row_hash(df))
+    if fn in RANKING:
+        return _by_place(df, fn, alias, partition, order, descending)
+    out = _split_window(_ranged(df, partition, [*order, "_tie"], descending), fn, alias, column, partition, [*order, "_tie"],
+                        offset, descending, F.col("_range"))
+    return out.drop("_range", "_tie")
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that Spark can hash (maps it cannot)."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind])
+
+
+def _ranged(df: DataFrame, partition: list[str], order: list[str], descending: bool, ordered: bool = False) -> DataFrame:
+    """The rows, written, with `_range`, which never decreases along the order within a partition. Rows
+    that are equal in all of these columns have the same range. `ordered` sorts the rows of a file."""
     path = scratch_path(df.sparkSession, "ranges")
-    dealt = df.repartitionByRange(*[F.col(p) for p in partition], *_order(order, descending))
+    along = [*[F.col(p) for p in partition], *_order(order, descending)]
+    dealt = df.repartitionByRange(*along)
+    if ordered:
+        dealt = dealt.sortWithinPartitions(*along)
     number = F.spark_partition_id()
     dealt = dealt.withColumn("_range", -number if descending else number)
     dealt.write.parquet(path)
     return df.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
+def _by_place(df: DataFrame, fn: str, alias: str, partition: list[str], order: list[str], descending: bool) -> DataFrame:
+    """Rank and row number from the place of a row among all rows: rows in the files before its file, and
+    its place in the file. The row number counts from the first place of its partition, the rank is
+    that of the first row with its order values. One row per file is broadcast: a file is what one
+    task of the exchange wrote."""
+    files = _ranged(df, partition, [*order, "_tie"], descending, ordered=True)
+    files = files.select("*", F.col("_metadata.row_index").alias("_row"), F.col("_metadata.file_name").alias("_file"))
+    earlier = Window.orderBy(F.abs("_range"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.groupBy("_range", "_file").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_range", "_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    placed = files.join(F.broadcast(before), ["_range", "_file"]).withColumn("_at", F.col("_before") + F.col("_row")).drop(
+        "_range", "_file", "_row", "_before", "_tie")
+    number = F.col("_at") + 1
+    if fn == "rank":
+        keys = list(dict.fromkeys([*partition, *order]))
+        values = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
+        if partition:
+            starts = values.groupBy(_key(partition).alias("_p")).agg(F.min("_first").alias("_start"))
+            values = values.withColumn("_p", _key(partition)).join(starts, "_p").withColumn("_first", F.col("_first") - F.col("_start"))
+        side = values.select(_key(keys).alias("_g"), "_first")
+        placed, number = placed.withColumn("_g", _key(keys)).join(side, "_g"), F.col("_first") + 1
+    elif partition:
+        starts = placed.groupBy(_key(partition).alias("_g")).agg(F.min("_at").alias("_start"))
+        placed, number = placed.withColumn("_g", _key(partition)).join(starts, "_g"), number - F.col("_start")
+    return placed.withColumn(alias, number.cast("int")).drop("_g", "_at", "_start", "_first")
+
+
+def _by_value(df: DataFrame, fn: str, alias: str, column: str | None, partition: list[str], order: list[str],
+              descending: bool) -> DataFrame:
+    """A running value, from totals of the rows that are equal in partition and order columns. The frame is
+    read twice, so it must give the same rows again."""
+    keys = list(dict.fromkeys([*partition, *order]))
+    totals = df.groupBy(*keys).agg(aggregate_column(fn, column).alias("_total_here"))
+    run = _split_window(_ranged(totals, partition, order, descending), "sum" if fn == "count" else fn, "_run", "_total_here",
+                        partition, order, 1, descending, F.col("_range"))
+    side = run.select(_key(keys).alias("_g"), F.col("_run").cast(totals.schema["_total_here"].dataType).alias("_run"))
+    return df.withColumn("_g", _key(keys)).join(side, "_g", "left").withColumn(alias, F.col("_run")).drop("_g", "_run")
+
+
 def _split_window(df: DataFrame, fn: str, alias: str, column: str | None, partition: list[str],
                   order: list[str], offset: int, descending: bool, bucket: Column) -> DataFrame:
     if fn == "lead":  # the same as lag in the opposite order

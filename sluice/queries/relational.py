@@ -472,6 +472,37 @@ def _(t: Tables) -> DataFrame:
         "o_orderkey", "o_orderpriority", "rk")
 
 
+# Two line statuses hold half of the rows each, so nearly all rows tie.
+@query("g2_rank_hot_tie", """
+SELECT l_orderkey, l_linenumber, CAST(rank() OVER (ORDER BY l_linestatus) AS INT) AS rk,
+       CAST(rank() OVER (PARTITION BY l_returnflag ORDER BY l_linestatus DESC) AS INT) AS rk_flag FROM lineitem""")
+def _(t: Tables) -> DataFrame:
+    items = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    ranked = windows.window(items, "rank", "rk", order=["l_linestatus"])
+    return windows.window(ranked, "rank", "rk_flag", partition=["l_returnflag"], order=["l_linestatus"], descending=True,
+                          bucket="auto").select("l_orderkey", "l_linenumber", "rk", "rk_flag")
+
+
+# Which of the tied rows has which number is not defined; the numbers that a status has are.
+@query("g1_row_number_hot_tie", """
+SELECT l_returnflag, l_linestatus, min(rn) AS first, max(rn) AS last, count(DISTINCT rn) AS numbers
+FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_linestatus) AS rn FROM lineitem) GROUP BY 1, 2""")
+def _(t: Tables) -> DataFrame:
+    items = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    numbered = windows.window(items, "row_number", "rn", partition=["l_returnflag"], order=["l_linestatus"], bucket="auto")
+    return numbered.groupBy("l_returnflag", "l_linestatus").agg(
+        F.min("rn").cast("long").alias("first"), F.max("rn").cast("long").alias("last"), F.countDistinct("rn").alias("numbers"))
+
+
+@query("g5_running_hot_tie", """
+SELECT l_orderkey, l_linenumber, CAST(sum(l_linenumber) OVER (PARTITION BY l_returnflag ORDER BY l_linestatus) AS BIGINT) AS running
+FROM lineitem""")
+def _(t: Tables) -> DataFrame:
+    items = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return windows.window(items, "sum", "running", "l_linenumber", ["l_returnflag"], ["l_linestatus"], bucket="auto").select(
+        "l_orderkey", "l_linenumber", "running")
+
+
 def _shift(t: Tables, fn: str) -> DataFrame:
     return windows.window(t("events"), fn, "other", "value", ["user_id"], ["ts", "event_id"], 2).select(
         "event_id", "user_id", "other")

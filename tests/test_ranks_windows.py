@@ -118,6 +118,50 @@ def test_split_windows(series, fn, descending):
         windows.window(whole, fn, "w", column, ["one"], order, 2, descending))
 
 
+@pytest.fixture(scope="module")
+def tied(spark):
+    """Half of the rows are equal in partition and order columns; some have nulls there, some are equal in all columns."""
+    return spark.range(6000).select(
+        F.when(F.col("id") % 11 == 0, None).otherwise("hot").alias("k"),
+        F.when(F.col("id") % 2 == 0, 5).when(F.col("id") % 7 != 0, F.col("id") % 40).cast("int").alias("t"),
+        (F.col("id") - F.col("id") % 3).alias("id"), F.create_map(F.lit("a"), "id").alias("m")).repartition(6)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("partition", [["k"], []])
+def test_hot_ties(tied, partition, descending):
+    whole = tied.withColumn("one", F.lit(1))
+    for fn, column in (("rank", None), ("sum", "id"), ("count", "id"), ("max", "id")):
+        split = windows.window(tied, fn, "w", column, partition, ["t"], descending=descending, bucket="auto")
+        plain = windows.window(whole, fn, "w", column, partition or ["one"], ["t"], descending=descending)
+        assert split.schema["w"].dataType == plain.schema["w"].dataType and split.columns == [*tied.columns, "w"]
+        assert rows(split.drop("m")) == rows(plain.drop("m", "one"))
+    numbered = windows.window(tied, "row_number", "w", None, partition, ["t"], descending=descending, bucket="auto")
+    ranked = windows.window(numbered, "rank", "r", None, partition, ["t"], descending=descending, bucket="auto")
+    per = ranked.groupBy(*partition).agg(F.count("w").alias("n"), F.countDistinct("w").alias("d"), F.min("w").alias("a"), F.max("w").alias("z"))
+    assert all(r.n == r.d == r.z and r.a == 1 for r in per.collect())
+    # A value's numbers start at its rank, without gaps.
+    ties = ranked.groupBy(*partition, "t", "r").agg(F.count("w").alias("n"), F.min("w").alias("a"), F.max("w").alias("z")).collect()
+    assert all(r.a == r.r and r.z == r.r + r.n - 1 for r in ties)
+
+
+def test_hot_ties_spread_over_ranges(spark, tied):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        dealt = windows._ranged(tied.withColumn("_tie", windows._row_hash(tied)), ["k"], ["t", "_tie"], False, ordered=True)
+        most = dealt.where("t = 5").groupBy("_range").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set(name, before)
+    assert most < tied.where("t = 5").count() / 2
+
+
+def test_split_windows_over_nothing(tied):
+    for fn in ("rank", "row_number", "sum", "lag"):
+        assert windows.window(tied.limit(0), fn, "w", "id", ["k"], ["t"], bucket="auto").count() == 0
+
+
 def test_a_lag_over_split_windows_scans_its_table_twice(spark, sf):
     from sluice.queries import QUERIES
 
