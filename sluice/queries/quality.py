@@ -9,7 +9,9 @@ from sluice.quality import report
 from sluice.quality.dedup import drop_duplicates
 from sluice.quality.profile import profile, quality_summary, suggest_rules
 from sluice.quality.rules import Rule, RuleBook, assess, mark_rows, split_rows
+from sluice.quality.states import day_states, merged, read_states, save_states
 from sluice.queries.registry import Tables, query
+from sluice.session import scratch_path
 
 # Orders with gaps, blanks and orphans, which the test tables do not have.
 _DIRTY = """SELECT o_orderkey,
@@ -228,6 +230,26 @@ def _(t: Tables) -> DataFrame:
     return profile(big).select("column_name", "unique_count", "min_exact", "max_exact", "median_exact")
 
 
+_KEPT = {"custkey": "bigint", "priority": "string", "totalprice": "double"}
+
+
+def _state_sql(name: str, kind: str) -> str:
+    d = f"CAST({name} AS DOUBLE)" if kind != "string" else "NULL::DOUBLE"
+    return f"""SELECT '{name}' AS column_name, '{kind}' AS data_type, count(*) AS total_values, count(*) - count({name}) AS null_count,
+  min({d}) AS min_value, max({d}) AS max_value, round(avg({d}), 4) AS mean_value, round(stddev_samp({d}), 4) AS std_dev FROM d"""
+
+
+# Months are profiled and kept in two runs, those of 1993 in both.
+@query("f15_profile_from_states", f"WITH d AS ({_DIRTY}) " + " UNION ALL ".join(_state_sql(*c) for c in _KEPT.items()))
+def _(t: Tables) -> DataFrame:
+    path, rows = scratch_path(t.spark, "states"), _dirty(t)
+    for part in ("year(o_orderdate) <= 1993", "year(o_orderdate) >= 1993"):
+        save_states(day_states(rows.where(part), "o_orderdate", list(_KEPT), "month"), path)
+    return merged(read_states(t.spark, path)).select(
+        "column_name", "data_type", "total_values", "null_count", "min_value", "max_value",
+        F.round("mean_value", 4).alias("mean_value"), F.round("std_dev", 4).alias("std_dev"))
+
+
 @query("f16_quality_summary", f"""
 WITH d AS ({_DIRTY}), p AS ({_profile_sql("d", _DIRTY_COLUMNS)}),
      s AS (SELECT column_name, (total_values - null_count) / total_values AS share FROM p)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.quality import report
 from sluice.quality.dedup import drop_duplicates
@@ -160,3 +161,30 @@ def test_drop_duplicates_sorts_only_ties(spark):
     plan = drop_duplicates(df, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
     first, second = plan[plan.index("Union"):].split("\n   +- ", 1)
     assert "Sort" not in first and second.count("SortAggregate") == 2  # a partial and a final one in the branch of ties
+
+
+def test_merged_states_are_the_profile_of_all_rows(spark, tmp_path):
+    from sluice.quality.states import day_states, merged, read_states, save_states
+
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 50 != 0, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)).alias("ts"),
+        F.when(F.col("id") % 9 != 0, F.lit(1e9) + F.sin(F.col("id"))).alias("x"), (F.col("id") % 700).alias("n"),
+        F.when(F.col("id") % 4 != 0, F.concat(F.lit("w"), F.col("id") % 900)).alias("w"), F.lit(None).cast("int").alias("none"))
+    late = F.col("ts").isNull() | (F.to_date("ts") >= "2023-11-17")
+    path = str(tmp_path / "states")
+    for rows_of in (df.where(~late), df.where(late), df.where(late)):  # days given again count once
+        save_states(day_states(rows_of, "ts"), path)
+    got = {r.column_name: r for r in merged(read_states(spark, path)).collect()}
+    want = {r.column_name: r for r in profile(df).collect()}
+    assert got.keys() == want.keys()
+    for name, w in want.items():
+        g = got[name]
+        assert [g.data_type, g.total_values, g.null_count, g.min_value, g.max_value] == [
+            w.data_type, w.total_values, w.null_count, w.min_value, w.max_value]
+        assert abs(g.unique_estimate - w.unique_count) <= 0.05 * w.unique_count
+    for name in ("x", "n"):
+        assert got[name].mean_value == pytest.approx(want[name].mean_value, rel=1e-12)
+        assert got[name].std_dev == pytest.approx(want[name].std_dev, rel=1e-6)
+    assert abs(got["n"].median_estimate - want["n"].median_value) < 0.03 * 700
+    assert got["none"].std_dev is None and got["none"].median_estimate is None and got["w"].mean_value is None
+    assert day_states(df.limit(0), "ts").count() == 0 and merged(day_states(df.limit(0), "ts")).count() == 0
