@@ -31,13 +31,14 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, fraction: floa
 
     `ranks` maps an output name to a 0-based rank, as an expression over `n`. The ranks must
     lie near `fraction` of the count; if they do not, the result is still right but brackets
-    are narrowed more often. `few_groups` is for callers that know the number of groups is
-    bounded by their code, which lets the brackets be broadcast if their size is small too.
+    are narrowed more often. Brackets are broadcast while their size is small. `few_groups` is for
+    callers that know the number of groups is bounded by their code: the first brackets are then
+    broadcast as they are, and not written first to learn their size.
 
     Three scans of two columns, and two more for each time a bracket is narrowed; only the
     rows inside the brackets are shuffled by value. The larger a group, the narrower its
-    bracket: five standard errors of the sample. The brackets, one row per group, are written
-    to the scratch folder, as their sizes decide whether to go on.
+    bracket: five standard errors of the sample. Sketches and brackets, one row
+    per group, are written to the scratch folder, as their sizes decide how to join and whether to go on.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).alias("_v")).filter("_v IS NOT NULL")
@@ -53,22 +54,26 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, fraction: floa
         F.expr("count(1) AS n"), F.expr("min(_v) AS _min"), F.expr("max(_v) AS _max"),
         F.expr(f"percentile_approx(_s, array({', '.join(f'{p}D' for p in points)}), {ACCURACY}) AS _q"))
     named = [f"`{k}`" for k in keys]
+    if keys and not few_groups:  # written, so that its size is known and the rows need no shuffle where it is small
+        path = scratch_path(df.sparkSession, "sketches")
+        sketch.write.parquet(path)
+        sketch = df.sparkSession.read.schema(sketch.schema).parquet(path)
     bracket = sketch.selectExpr(*named, "n", "_min", "_max", f"{side(0, '_min')} AS _lo",
                                 f"{side(len(LEVELS), '_max')} AS _hi")
 
-    counted = _with_side(data, bracket, keys, few_groups).groupBy(*keys, "n", "_min", "_max", "_lo", "_hi").agg(
+    counted = _with_side(data, F.broadcast(bracket) if few_groups else bracket, keys).groupBy(*keys, "n", "_min", "_max", "_lo", "_hi").agg(
         F.expr("count_if(_v < _lo) AS _below"), F.expr("count_if(_v <= _hi) AS _upto"))
     low, high = f"least({', '.join(ranks.values())}, n)", f"greatest({', '.join(ranks.values())}, 0)"
     bounds = counted.selectExpr(
         *named, "n", f"if({low} < _below, _min, _lo) AS _lo", f"if({high} >= _upto, _max, _hi) AS _hi",
         f"if({low} < _below, 0L, _below) AS _before")
-    bounds, most = _sized(data, bounds, keys, few_groups)
-    before = most + 1
-    while RANKED_ROWS < most < before:  # ranks that are far apart cannot be brought together
-        before = most
-        bounds, most = _sized(data, _narrowed(data, bounds, keys, low, high, few_groups), keys, few_groups)
+    bounds, left = _sized(data, bounds, keys)
+    before = left + 1
+    while 0 < left < before:  # as long as any large bracket shrinks; ranks that are far apart cannot be brought together
+        before = left
+        bounds, left = _sized(data, _narrowed(data, bounds, keys, low, high), keys)
 
-    inside = _with_side(data, bounds, keys, few_groups).filter("_v >= _lo AND _v <= _hi")
+    inside = _with_side(data, bounds, keys).filter("_v >= _lo AND _v <= _hi")
     counts = inside.groupBy(*keys, "n", "_before", "_v").agg(F.expr("count(1) AS _c"))
     running = Window.partitionBy(*keys).orderBy("_v")
     ranked = counts.withColumn("_cum", F.col("_before") + F.sum("_c").over(running))
@@ -76,30 +81,30 @@ def value_at_rank(df: DataFrame, keys: Sequence[str], value: str, fraction: floa
         *[F.expr(f"min(if(_cum > {at}, _v, NULL)) AS `{name}`") for name, at in ranks.items()])
 
 
-def _sized(data: DataFrame, bounds: DataFrame, keys: list[str], few_groups: bool) -> tuple[DataFrame, int]:
-    """The brackets with `_between`, the rows strictly inside, and the largest such number. Rows
+def _sized(data: DataFrame, bounds: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """The brackets with `_between`, the rows strictly inside, and their sum over the brackets that hold too many. Rows
     at the ends are one row per task before they are shuffled, however many they are."""
     path = scratch_path(data.sparkSession, "brackets")
-    _with_side(data, bounds, keys, few_groups).groupBy(*keys, "n", "_lo", "_hi", "_before").agg(
+    _with_side(data, bounds, keys).groupBy(*keys, "n", "_lo", "_hi", "_before").agg(
         F.expr("count_if(_v > _lo AND _v < _hi) AS _between")).write.parquet(path)
     sized = data.sparkSession.read.parquet(path)
-    return sized, sized.agg(F.max("_between")).first()[0] or 0
+    return sized, sized.where(F.col("_between") > RANKED_ROWS).agg(F.sum("_between")).first()[0] or 0
 
 
-def _narrowed(data: DataFrame, bounds: DataFrame, keys: list[str], low: str, high: str, few_groups: bool) -> DataFrame:
+def _narrowed(data: DataFrame, bounds: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
     """Brackets of a few of the STEPS quantiles of the rows strictly inside; small ones stay."""
     named = [f"`{k}`" for k in keys]
     large = bounds.filter(F.col("_between") > RANKED_ROWS)
     points = f"CAST(split('{' '.join(str(i / STEPS) for i in range(STEPS + 1))}', ' ') AS array<double>)"
     fields = [*named, "n", "_lo", "_hi", "_before"]
-    sketch = _with_side(data, large, keys, few_groups).groupBy(*keys, "n", "_lo", "_hi", "_before", "_between").agg(
+    sketch = _with_side(data, large, keys).groupBy(*keys, "n", "_lo", "_hi", "_before", "_between").agg(
         F.expr(f"percentile_approx(if(_v > _lo AND _v < _hi, _v, NULL), {points}, {ACCURACY}) AS _q"),
         F.expr("count_if(_v = _lo) AS _first"))
     at = "int(floor(({} - _before - _first) * {}D / _between))"
     # A rank before or behind the rows strictly inside is that of an end.
     ends = sketch.selectExpr(
         *fields, f"coalesce(get(_q, {at.format(low, STEPS)} - 2), _lo) AS _a", f"coalesce(get(_q, {at.format(high, STEPS)} + 3), _hi) AS _b")
-    counted = _with_side(data, ends, keys, few_groups).groupBy(*keys, "n", "_lo", "_hi", "_before", "_a", "_b").agg(
+    counted = _with_side(data, ends, keys).groupBy(*keys, "n", "_lo", "_hi", "_before", "_a", "_b").agg(
         F.expr("count_if(_v >= _lo AND _v < _a) AS _skipped"), F.expr("count_if(_v >= _lo AND _v <= _b) AS _reached"))
     misses = f"{low} < _before + _skipped OR {high} >= _before + _reached"
     closer = counted.selectExpr(
@@ -109,12 +114,12 @@ def _narrowed(data: DataFrame, bounds: DataFrame, keys: list[str], low: str, hig
     return closer.unionByName(small)
 
 
-def _with_side(data: DataFrame, side: DataFrame, keys: list[str], few_groups: bool) -> DataFrame:
+def _with_side(data: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
         return data.crossJoin(F.broadcast(side))  # one row
     side = side.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = " AND ".join(f"`{k}` <=> `_k_{k}`" for k in keys)
-    return data.join(broadcast_if_small(side) if few_groups else side, F.expr(same)).drop(*[f"_k_{k}" for k in keys])
+    return data.join(broadcast_if_small(side), F.expr(same)).drop(*[f"_k_{k}" for k in keys])
 
 
 def _wide(kind: T.DataType) -> str:
