@@ -45,9 +45,9 @@ def order_of(df: DataFrame, columns: Sequence[str]) -> Column:
     return (wide[0].cast("decimal(19,0)") * F.lit(_WIDTH).cast("decimal(20,0)") + wide[1].cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
-def cut_number(cuts: str, value: Column, step: int) -> Column:
-    """How many of the ascending values in the array column `cuts` are not above a value: looked up first among every
-    `step`-th of them, then among those that follow. Null for null."""
-    before = F.size(F.filter(cuts, lambda c, i: (i % step == 0) & (c <= value)))
-    block = F.greatest(before - 1, F.lit(0)) * step
-    return F.when(value.isNotNull(), block + F.size(F.filter(F.slice(cuts, block + 1, F.lit(step)), lambda c: c <= value)))
+def cut_number(cuts: str, value: Column, most: int) -> Column:
+    """How many of the ascending values in the array column `cuts`, which are at most `most`, are not above a value: halved
+    until it is found, so a lookup takes as many comparisons as `most` has bits. Null for null."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(max(1, most.bit_length())))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) <= value, step).otherwise(0))
+    return F.when(value.isNotNull(), found)

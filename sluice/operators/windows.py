@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sluice.operators.aggregates import aggregate_column
-from sluice.session import broadcast_if_small, scratch_path
+from sluice.session import broadcast_if_small, scratch_path, written
 
 RANKING = ("row_number", "rank")
 SHIFTING = ("lag", "lead")
@@ -105,6 +105,8 @@ def _whole_partition(df: DataFrame, fn: str, alias: str, column: str | None, par
     totals = df.groupBy(*partition).agg(aggregate_column(fn, column).alias(alias))
     if not partition:
         return df.crossJoin(F.broadcast(totals))  # one row
+    if few_groups:
+        totals = written(totals, "totals")
     side = totals.select(_key(partition).alias("_g"), alias)
     return df.withColumn("_g", _key(partition)).join(broadcast_if_small(side) if few_groups else side, "_g", "left").drop("_g")
 
@@ -158,18 +160,20 @@ def _by_place(df: DataFrame, fn: str, alias: str, partition: list[str], order: l
     placed = files.join(F.broadcast(before), ["_range", "_file"]).withColumn("_at", F.col("_before") + F.col("_row")).drop(
         "_range", "_file", "_row", "_before", "_tie")
     number = F.col("_at") + 1
+    # First places are written, so that their size is known: few are broadcast, and no task reads all rows of a value.
     if fn == "rank":
         keys = list(dict.fromkeys([*partition, *order]))
-        values = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
-        if partition:
-            starts = values.groupBy(_key(partition).alias("_p")).agg(F.min("_first").alias("_start"))
-            values = values.withColumn("_p", _key(partition)).join(starts, "_p").withColumn("_first", F.col("_first") - F.col("_start"))
-        side = values.select(_key(keys).alias("_g"), "_first")
-        placed, number = placed.withColumn("_g", _key(keys)).join(side, "_g"), F.col("_first") + 1
-    elif partition:
-        starts = placed.groupBy(_key(partition).alias("_g")).agg(F.min("_at").alias("_start"))
-        placed, number = placed.withColumn("_g", _key(partition)).join(starts, "_g"), number - F.col("_start")
-    return placed.withColumn(alias, number.cast("int")).drop("_g", "_at", "_start", "_first")
+        firsts = written(placed.groupBy(*keys).agg(F.min("_at").alias("_first")), "firsts")
+        placed = placed.withColumn("_g", _key(keys)).join(broadcast_if_small(firsts.select(_key(keys).alias("_g"), "_first")), "_g")
+        number = F.col("_first") + 1
+        starts = firsts.groupBy(*partition).agg(F.min("_first").alias("_start"))
+    else:
+        starts = placed.groupBy(*partition).agg(F.min("_at").alias("_start"))
+    if partition:
+        side = written(starts, "starts").select(_key(partition).alias("_p"), "_start")
+        placed = placed.withColumn("_p", _key(partition)).join(broadcast_if_small(side), "_p")
+        number = number - F.col("_start")
+    return placed.withColumn(alias, number.cast("int")).drop("_g", "_p", "_at", "_start", "_first")
 
 
 def _by_value(df: DataFrame, fn: str, alias: str, column: str | None, partition: list[str], order: list[str],
@@ -180,7 +184,8 @@ def _by_value(df: DataFrame, fn: str, alias: str, column: str | None, partition:
     totals = df.groupBy(*keys).agg(aggregate_column(fn, column).alias("_total_here"))
     run = _split_window(_ranged(totals, partition, order, descending), "sum" if fn == "count" else fn, "_run", "_total_here",
                         partition, order, 1, descending, F.col("_range"))
-    side = run.select(_key(keys).alias("_g"), F.col("_run").cast(totals.schema["_total_here"].dataType).alias("_run"))
+    run = written(run.select(*keys, F.col("_run").cast(totals.schema["_total_here"].dataType).alias("_run")), "running")
+    side = broadcast_if_small(run.select(_key(keys).alias("_g"), "_run"))
     return df.withColumn("_g", _key(keys)).join(side, "_g", "left").withColumn(alias, F.col("_run")).drop("_g", "_run")
 
 

@@ -483,6 +483,9 @@ def _(t: Tables) -> DataFrame:
                           bucket="auto").select("l_orderkey", "l_linenumber", "rk", "rk_flag")
 
 
+_NUMBERS_PER_TASK = 500_000
+
+
 # Which of the tied rows has which number is not defined; the numbers that a status has are.
 @query("g1_row_number_hot_tie", """
 SELECT l_returnflag, l_linestatus, min(rn) AS first, max(rn) AS last, count(DISTINCT rn) AS numbers
@@ -490,6 +493,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_linestat
 def _(t: Tables) -> DataFrame:
     items = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
     numbered = windows.window(items, "row_number", "rn", partition=["l_returnflag"], order=["l_linestatus"], bucket="auto")
+    # Numbers are dealt out before they are counted: a task would hold all numbers of its files.
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), items.count() // _NUMBERS_PER_TASK)
+    numbered = numbered.repartition(tasks, "l_returnflag", "l_linestatus", "rn")
     return numbered.groupBy("l_returnflag", "l_linestatus").agg(
         F.min("rn").cast("long").alias("first"), F.max("rn").cast("long").alias("last"), F.countDistinct("rn").alias("numbers"))
 

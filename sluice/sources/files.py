@@ -170,7 +170,7 @@ def cluster(df: DataFrame, path: str, columns: Sequence[str], files: int = 64, l
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     ranked = df.select(row, *[_sortable(df, c).alias(f"v{i}") for i, c in enumerate(columns)],
                        *[F.coalesce(found.select(f"q{i}").scalar(), F.array()).alias(f"q{i}") for i in range(len(columns))])
-    ranked = ranked.select("row", *[F.coalesce(cut_number(f"q{i}", F.col(f"v{i}"), 2 ** (RANK_BITS // 2)), F.lit(0)).alias(f"r{i}")
+    ranked = ranked.select("row", *[F.coalesce(cut_number(f"q{i}", F.col(f"v{i}"), len(points)), F.lit(0)).alias(f"r{i}")
                                     for i in range(len(columns))])
     curve = F.lit(0).cast("long")
     for bit in range(RANK_BITS):

@@ -188,3 +188,13 @@ def test_window_rejections(series):
         windows.window(series, "rank", "w", partition=["k"])
     with pytest.raises(ValueError, match="bucketed"):
         windows.window(series, "avg", "w", "v", ["k"], ["t"], bucket=F.col("t"))
+
+
+def test_rows_of_few_large_partitions_are_not_shuffled_by_them(spark):
+    df = spark.range(2000).selectExpr("id", "if(id % 3 = 0, NULL, id % 3) AS k", "id % 2 AS t")
+    for fn, column, args in (("row_number", None, {"bucket": "auto", "order": ["t"]}), ("rank", None, {"bucket": "auto", "order": ["t"]}),
+                             ("sum", "id", {"bucket": "auto", "order": ["t"]}), ("sum", "id", {"few_groups": True})):
+        out = windows.window(df, fn, "x", column, ["k"], **args)
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        if fn != "row_number":
+            assert rows(out) == rows(windows.window(df, fn, "x", column, ["k"], args.get("order", [])))

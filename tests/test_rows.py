@@ -1,10 +1,14 @@
+import bisect
+import math
 import random
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from sluice.functions import cleaning
 from sluice.operators import aggregates, joins, rows as ops
+from sluice.operators.order import cut_number
 from sluice.plans.spec import check_spec, run_spec
 from tests.conftest import rows
 
@@ -202,3 +206,57 @@ def test_range_join_of_one_bound_and_of_nothing(spark):
         joins.range_join(l, r, "l.v", low="r.k", how="full")
     with pytest.raises(ValueError, match="bound"):
         joins.range_join(l, r, "l.v")
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_range_join_with_cells_by_brute_force(spark, monkeypatch, buckets):
+    monkeypatch.setattr(joins, "ROWS_PER_CELL", 4)
+    monkeypatch.setattr(joins, "MOST_COPIES", 100)
+    rng = random.Random(buckets)
+    left = [(i, rng.choice([None, float("nan"), float("inf"), -0.0, rng.random() * 50, 7.0])) for i in range(400)]
+    right = [(i, rng.choice([None, (a := rng.random() * 90 - 20)]), a + rng.choice([-1.0, 0.0, 0.2, 1.0, 30.0])) for i in range(300)]
+    l, r = spark.createDataFrame(left, "id int, v double"), spark.createDataFrame(right, "rid int, lo double, hi double")
+    met = "v >= lo AND v < hi"
+    args = dict(low="r.lo", high="r.hi", high_open=True, buckets=buckets)
+    for how in ("left", "left_anti"):
+        assert _texts(joins.range_join(l, r, "l.v", how=how, **args)) == _texts(l.join(r, F.expr(met), how))
+    assert _texts(joins.range_join(l, r, "l.v", high="r.hi", buckets=buckets)) == _texts(l.join(r, F.expr("v <= hi")))
+    assert _texts(joins.range_join(l, r, "l.v", low="r.lo", buckets=buckets)) == _texts(l.join(r, F.expr("v >= lo")))
+
+
+def _texts(df):
+    """Rows as texts, since NaN is not equal to NaN."""
+    return list(map(repr, rows(df)))
+
+
+def _compared(spark, left, right):
+    """How many pairs of rows meet in cells."""
+    placed, ranges = joins._in_cells(left.alias("l"), right.alias("r"), "l.v", "r.lo", "r.hi", None)
+    held = placed.groupBy("_bucket").count().join(ranges.groupBy("_bucket").agg(F.count("*").alias("n")), "_bucket")
+    return held.agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0
+
+
+def test_range_join_compares_few_pairs_in_narrow_ranges(spark):
+    left = spark.range(40_000).selectExpr("id", "id / 4 AS v")
+    right = spark.range(40_000).selectExpr("id", "id / 4 + 0.1D AS lo", "id / 4 + 0.3D AS hi")
+    assert _compared(spark, left, right) < 40_000 * 1000
+
+
+def test_range_join_compares_nothing_with_ranges_beyond_all_values(spark):
+    left = spark.range(1000).selectExpr("id", "1000000D + id AS v")
+    right = spark.range(30_000).selectExpr("id", "CAST(id AS double) AS lo", "id + 1D AS hi")
+    assert _compared(spark, left, right) == 0
+    gap = spark.range(1000).selectExpr("id", "if(id < 500, -1D, 1000000D) + id AS v")  # all ranges but few lie between its values
+    assert _compared(spark, gap, right) < 1000 * 1500
+
+
+def test_cut_number_by_bisection(spark):
+    cuts = [1.5, 2.0, 2.0, 7.25, 9.0]
+    values = [None, -3.0, 1.5, 1.6, 2.0, 7.0, 7.25, 8.0, 9.0, 50.0, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in range(6):
+        held = df.withColumn("c", F.array(*[F.lit(c) for c in cuts[:n]]).cast("array<double>"))
+        number = cut_number("c", F.col("v"), 5)
+        want = [None if v is None else n if math.isnan(v) else bisect.bisect_right(cuts[:n], v) for v in values]
+        assert [x[0] for x in held.select(number).collect()] == want
+    assert "filter" not in str(number)  # which looks at every cut
