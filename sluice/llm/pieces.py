@@ -31,7 +31,7 @@ SMOOTHING = 1.0          # powers below 1 flatten the distribution of segmentati
 SEED = 11
 TEXT_BLOCK = 1 << 19     # characters of text worked on at a time
 LEARN_BLOCK = 1 << 16    # nodes of new lattices made at a time
-CACHED_EDGES = 3_000_000  # edges of lattices a task remembers before it starts afresh
+CACHED_EDGES = 1_000_000  # edges of lattices a task remembers before it starts afresh: about 50 MB with room to grow
 
 FAINT = 40.0             # below exp(-40) a probability is less than the last digit of 1
 DRAWN = 64               # random numbers made for each text at once

@@ -242,3 +242,10 @@ def test_rare_label_is_learned(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "TRAIN_ROWS", 120)
     got = {r.doc_id: r.predicted for r in toxicity.document_toxicity(df, known).collect()}
     assert all(got[i] == (i >= 4000) for i in got)
+
+
+def test_remembered_lattices_stay_small():
+    lattices, rng = pieces.Lattices(pieces.Vocabulary.read(), 1.0), np.random.default_rng(5)
+    for _ in range(14):
+        lattices.places([" ".join("".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (10_000, 8)))])
+        assert lattices.edges < 1_400_000  # 24 bytes each, and room for as many more
