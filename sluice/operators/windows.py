@@ -25,6 +25,7 @@ from sluice.session import broadcast_if_small, scratch_path, written
 RANKING = ("row_number", "rank")
 SHIFTING = ("lag", "lead")
 RUNNING = ("sum", "count", "min", "max")
+ROWS_PER_RANGE = 1_000_000  # that one task sorts
 
 
 def _order(columns: Sequence[str], descending: bool) -> list[Column]:
@@ -135,16 +136,21 @@ def _row_hash(df: DataFrame) -> Column:
 
 def _ranged(df: DataFrame, partition: list[str], order: list[str], descending: bool, ordered: bool = False) -> DataFrame:
     """The rows, written, with `_range`, which never decreases along the order within a partition. Rows
-    that are equal in all of these columns have the same range. `ordered` sorts the rows of a file."""
-    path = scratch_path(df.sparkSession, "ranges")
+    that are equal in all of these columns have the same range. `ordered` sorts the rows of a file. The
+    rows are counted, so that a range has as many at any number of shuffle partitions."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "ranges")
     along = [*[F.col(p) for p in partition], *_order(order, descending)]
-    dealt = df.repartitionByRange(*along)
+    ranges = -(-df.count() // ROWS_PER_RANGE)
+    # Where the shuffle partitions are enough, Spark joins small ones; a stated number it keeps.
+    few = ranges <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(*along) if few else df.repartitionByRange(ranges, *along)
     if ordered:
         dealt = dealt.sortWithinPartitions(*along)
     number = F.spark_partition_id()
     dealt = dealt.withColumn("_range", -number if descending else number)
     dealt.write.parquet(path)
-    return df.sparkSession.read.schema(dealt.schema).parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
 
 
 def _by_place(df: DataFrame, fn: str, alias: str, partition: list[str], order: list[str], descending: bool) -> DataFrame:

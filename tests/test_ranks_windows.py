@@ -157,6 +157,20 @@ def test_hot_ties_spread_over_ranges(spark, tied):
     assert most < tied.where("t = 5").count() / 2
 
 
+@pytest.mark.parametrize("fn", ["row_number", "rank", "lag"])
+def test_ranges_hold_as_many_rows_at_any_number_of_shuffle_partitions(spark, monkeypatch, fn):
+    made = []
+    ranged = windows._ranged
+    monkeypatch.setattr(windows, "_ranged", lambda *args, **named: made.append(ranged(*args, **named)) or made[-1])
+    monkeypatch.setattr(windows, "ROWS_PER_RANGE", 500)
+    df = spark.range(20_000).selectExpr("id", "id % 3 AS k", "id % 2 AS t")  # 40 ranges, the session has 4 shuffle partitions
+    order = ["t"] if fn == "rank" else ["t", "id"]
+    split = windows.window(df, fn, "w", "id", ["k"], order, bucket="auto")
+    assert rows(split) == rows(windows.window(df, fn, "w", "id", ["k"], order))
+    # Bounds come from samples, so ranges differ a little.
+    assert made[0].groupBy("_range").count().agg(F.max("count")).first()[0] < 1500
+
+
 def test_split_windows_over_nothing(tied):
     for fn in ("rank", "row_number", "sum", "lag"):
         assert windows.window(tied.limit(0), fn, "w", "id", ["k"], ["t"], bucket="auto").count() == 0
