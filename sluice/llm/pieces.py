@@ -39,6 +39,7 @@ DRAWN = 64               # random numbers made for each text at once
 _SPACE = "▁"
 _CHUNK = re.compile(f"{_SPACE}+[^{_SPACE}]*")
 _SHIFT = np.uint64(11)
+_END = 0x110000  # stands at the end of a chunk: above every sign, so no piece goes on behind it
 
 
 @dataclass(frozen=True)
@@ -124,7 +125,7 @@ class Lattices:
         begin, sign, child = (np.array(x, np.int64) for x in zip(*steps))
         keys = begin << 21 | sign
         self.slots = 1 << (3 * len(keys)).bit_length()
-        self.step_keys, self.step_child = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32)
+        self.step_keys, self.step_child = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int64)
         slots = _slot(keys, self.slots)
         while len(keys):  # one step a slot; the others go to the next one
             _, first = np.unique(slots, return_index=True)
@@ -161,20 +162,21 @@ class Lattices:
             return text.split(" ")
         return [c[1:] for c in _CHUNK.findall(_SPACE + text.replace(" ", _SPACE))]
 
-    def _follow(self, states: np.ndarray, signs: np.ndarray) -> np.ndarray:
-        """The states one sign further, or -1."""
+    def _follow(self, states: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, states one sign further) of the states from which a piece goes on, in their order."""
         keys = states << 21 | signs
         slots = _slot(keys, self.slots)
-        held = self.step_keys[slots]
-        out = np.where(held == keys, self.step_child[slots], -1).astype(np.int64)
-        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        held = self.step_keys.take(slots)
+        hit = held == keys
+        open_ = np.flatnonzero(~hit & (held >= 0))
         while len(open_):
-            slots[open_] = (slots[open_] + 1) & (self.slots - 1)
-            held = self.step_keys[slots[open_]]
-            hit = held == keys[open_]
-            out[open_[hit]] = self.step_child[slots[open_[hit]]]
-            open_ = open_[~hit & (held >= 0)]
-        return out
+            slots[open_] = further = (slots.take(open_) + 1) & (self.slots - 1)
+            held = self.step_keys.take(further)
+            found = held == keys.take(open_)
+            hit[open_[found]] = True
+            open_ = open_[~found & (held >= 0)]
+        on = np.flatnonzero(hit)
+        return on, self.step_child.take(slots.take(on))
 
     def _bare(self, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, log probability) of signs without a piece, spelled in bytes."""
@@ -193,29 +195,30 @@ class Lattices:
     def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
         """(edges of each node; node, length, piece, log weight of each edge, node after node, longest first) for all pieces
         that start at nodes with `left` signs to the end of their chunk; a sign without a piece becomes its bytes."""
-        at = np.flatnonzero(left > 0)
+        begin = at = np.flatnonzero(left > 0)
         states, held, found = np.zeros(len(at), np.int64), np.zeros(len(codes), np.int64), []
         for n in range(1, self.longest + 1):
-            if n > 1:
-                on = left[at] >= n
-                at, states = at[on], states[on]
+            on, states = self._follow(states, codes.take(at + (n - 1)))
+            at, piece = at.take(on), self.ends.take(states)
+            some = np.flatnonzero(piece >= 0)
+            node, piece = at.take(some), piece.take(some)
+            weight = self.log_p.take(piece)
+            if n == 1:
+                had = np.zeros(len(codes), bool)
+                had[node] = True
+                bare = begin[~had.take(begin)]
+                number, bare_weight = self._bare(codes.take(bare))
+                node, piece, weight = (np.concatenate(x) for x in ((node, bare), (piece, number), (weight, bare_weight)))
+            shorter = held.take(node)
+            found.append((node, shorter, n, piece, weight))
+            held[node] = shorter + 1
             if not len(at):
                 break
-            states = self._follow(states, codes[at + n - 1])
-            piece = np.where(states >= 0, self.ends[states], -1)
-            node = at if n == 1 else at[piece >= 0]
-            weight = self.log_p[piece] if n == 1 else self.log_p[piece[piece >= 0]]
-            if n == 1:
-                bare = np.flatnonzero(piece < 0)
-                piece[bare], weight[bare] = self._bare(codes[at[bare]])
-            found.append((node, held[node], n, piece if n == 1 else piece[piece >= 0], weight))
-            held[node] += 1
-            at, states = at[states >= 0], states[states >= 0]
         last = np.cumsum(held) - 1
         size = int(last[-1]) + 1
         length, pieces, weights = np.empty(size, np.int64), np.empty(size, np.int32), np.empty(size)
         for node, shorter, n, piece, weight in found:
-            place = last[node] - shorter
+            place = last.take(node) - shorter
             length[place], pieces[place], weights[place] = n, piece, weight
         return held, np.repeat(np.arange(len(codes)), held), length, pieces, self.smoothing * weights
 
@@ -233,6 +236,7 @@ class Lattices:
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.array([len(c) + 2 for c in new])
         ends = np.cumsum(sizes) - 1  # the end nodes
+        codes[ends] = _END
         left = np.repeat(ends, sizes) - np.arange(len(codes))
         base, edges = self.nodes, self.edges
         self.chunks.update(zip(new, (base + ends + 1 - sizes).tolist()))
@@ -240,26 +244,26 @@ class Lattices:
         # Log of the summed weights of all ways from a node to the end of its chunk, from the end backwards: nodes as far
         # from their ends go together.
         to = node + length
-        behind = left[node]
+        behind = np.repeat(left, held)
         by_left = np.argsort(behind.astype(np.uint16 if len(left) < 1 << 16 else np.uint32), kind="stable")
-        levels, own, onto, ahead = behind[by_left], node[by_left], to[by_left], weight[by_left]
-        heads = np.flatnonzero(np.diff(own, prepend=-1) | np.diff(levels, prepend=-1))
-        starts = np.append(np.flatnonzero(np.diff(levels, prepend=-1)), len(levels))
+        own, onto, ahead = node.take(by_left), to.take(by_left), weight.take(by_left)
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        starts = np.unique(np.append(0, np.cumsum(np.bincount(behind))))
         cuts, repeats, owners = np.searchsorted(heads, starts).tolist(), np.diff(np.append(heads, len(own))), own[heads]
         total, starts = np.zeros(len(codes)), starts.tolist()
         for a, b, x, y in zip(starts, starts[1:], cuts, cuts[1:]):
-            ways, groups = ahead[a:b] + total[onto[a:b]], heads[x:y] - a
+            ways, groups = ahead[a:b] + total.take(onto[a:b]), heads[x:y] - a
             top = np.maximum.reduceat(ways, groups)
             spread = np.exp(ways - np.repeat(top, repeats[x:y]))
             total[owners[x:y]] = top + np.log(np.add.reduceat(spread, groups))
-        sure = np.minimum(0.0, weight + total[to] - total[node])
+        sure = np.minimum(0.0, weight + total.take(to) - np.repeat(total, held))
         odds = np.exp(sure)
         after = np.cumsum(held)
         first, some = after - held, held > 0
         run = np.cumsum(odds)
         upto = run - np.repeat(run[first[some]] - odds[first[some]], held[some])
         upto[after[some] - 1] = 2.0
-        target = np.where(left[to] > 0, to + base, -1)
+        target = np.where(behind > length, to + base, -1)
         self._put("first", base, first + edges)
         for name, part in (("target", target), ("piece", piece), ("sure", sure), ("upto", upto)):
             self._put(name, edges, part)
@@ -288,20 +292,20 @@ class Lattices:
         walker, counts, found = np.arange(len(nodes)), np.zeros(len(nodes), np.int64), []
         while len(walker):
             u = _uniform(keys, len(found))
-            edge = self.first[nodes]
-            over = np.flatnonzero(u >= self.upto[edge])
+            edge = self.first.take(nodes)
+            over = np.flatnonzero(u >= self.upto.take(edge))
             while len(over):
-                edge[over] += 1
-                over = over[u[over] >= self.upto[edge[over]]]
+                edge[over] = further = edge.take(over) + 1
+                over = over[u.take(over) >= self.upto.take(further)]
             found.append((walker, edge))
-            nodes = self.target[edge]
-            on = nodes >= 0
-            counts[walker[~on]] = len(found)
-            walker, nodes, keys = walker[on], nodes[on], keys[on]
+            counts[walker] = len(found)
+            nodes = self.target.take(edge)
+            on = np.flatnonzero(nodes >= 0)
+            walker, nodes, keys = walker.take(on), nodes.take(on), keys.take(on)
         starts = np.cumsum(counts) - counts
         edges = np.empty(int(counts.sum()), np.int32)
         for step, (walker, edge) in enumerate(found):
-            edges[starts[walker] + step] = edge
+            edges[starts.take(walker) + step] = edge
         return edges, counts
 
     def others(self, edge: int, out: frozenset[int]) -> list[int]:
@@ -490,12 +494,13 @@ def encode(df: DataFrame, key: str, text: str, samples: int = SAMPLES, model: st
     vocabulary uses for a space. An empty text has one segmentation, of no pieces; a null text gives one row with null
     ids. Rows that share key and text get the same segmentations; a null key is hashed as the text `null`. An empty table
     gives no rows. Whole texts are encoded, however long; rows never meet, so there is no shuffle. Only the driver reads
-    the model; tasks get its pieces.
+    the model; tasks get its pieces, and lattices that hold nothing but the trie of them.
     """
     vocabulary = Vocabulary.read(model)
+    lattices = Lattices(vocabulary, smoothing)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices, spelled = Lattices(vocabulary, smoothing), pa.array(vocabulary.texts().tolist(), pa.large_binary())
+        spelled = pa.array(vocabulary.texts().tolist(), pa.large_binary())
 
         def flush(keys: list, texts: list[str | None]) -> pa.RecordBatch:
             places = [i for i, t in enumerate(texts) if t is not None]

@@ -163,6 +163,23 @@ def test_blocks_do_not_change_results(lattices, monkeypatch):
     assert [[(w[0].tolist(), round(w[2], 9)) for w in r] for r in whole] == [[(w[0].tolist(), round(w[2], 9)) for w in r] for r in single]
 
 
+def test_tasks_get_a_trie_that_is_made(spark, monkeypatch):
+    made, own = [], pieces.Lattices.__init__
+    monkeypatch.setattr(pieces.Lattices, "__init__", lambda self, *args: made.append(1) or own(self, *args))
+    out = pieces.encode(spark.createDataFrame([(1, "a\0b c\0")], "doc_id long, text string"), "doc_id", "text")
+    assert made  # before any task runs
+    assert [r.restored for r in out.collect()] == [True] * 3
+
+
+def test_no_piece_goes_on_behind_a_chunk(lattices):
+    vocabulary = pieces.Vocabulary({"▁": 0, "a": 1, "\0": 2, "a\0": 3, "\0▁": 4}, dict.fromkeys(range(300), -1.0), 20)
+    own = pieces.Lattices(vocabulary, 1.0)
+    for ways in pieces.segmentations(own, ["a a\0a", "a"], ["1", "2"], 9, 3):
+        assert all(4 not in w[0].tolist() for w in ways)
+    assert len(ways) == 1 and ways[0][0].tolist() == [0, 1]
+    assert own.edges == sum(len(c) + 1 for c in own.chunks) + 1  # one edge for each sign, one more for the piece of two
+
+
 def test_encode_and_decode(spark):
     rows = [(1, "Hello  world"), (1, "Hello  world"), (2, ""), (3, None), (None, "null key"), (4, "x" * 60000), (5, "a▁b"), (6, "long text " * 9000)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, ids string")
